@@ -62,3 +62,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         base = base[len("file:"):]
     path = os.path.join(base, "tidemark", f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem (works on shared cluster storage)."""
+    p, fs = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def list_dir(spark: SparkSession, path: str) -> list[str]:
+    """Child names of a directory through the Hadoop FileSystem ([] when missing)."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(p)]
