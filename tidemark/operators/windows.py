@@ -72,7 +72,8 @@ def _monthly(spark, sf):
     return monthly_mart(D(spark, sf))
 
 
-_CHRONO = Window.orderBy("year", "month_number")
+def _chrono():
+    return Window.orderBy("year", "month_number")
 
 
 @query("w04_lag_growth", oracle(
@@ -81,7 +82,7 @@ _CHRONO = Window.orderBy("year", "month_number")
   FROM mart_monthly""", "mart_monthly"))
 def w04(spark, sf):
     m = _monthly(spark, sf)
-    prev = F.lag("created_count").over(_CHRONO)
+    prev = F.lag("created_count").over(_chrono())
     return m.select("month", "created_count", round_half_up(growth_pct(F.col("created_count"), prev), 2).alias("growth_pct"))
 
 
@@ -90,7 +91,7 @@ def w04(spark, sf):
     "mart_monthly"))
 def w05(spark, sf):
     m = _monthly(spark, sf)
-    return m.select("month", "published_count", F.lag("published_count").over(_CHRONO).alias("prev_published"))
+    return m.select("month", "published_count", F.lag("published_count").over(_chrono()).alias("prev_published"))
 
 
 @query("w06_latest_and_previous", oracle(

@@ -256,7 +256,24 @@ ORACLE_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def oracle(body: str, *views: str, extra: list[tuple[str, str]] | None = None) -> str:
+class OracleSQL:
+    """Oracle text rendered on first use, so views registered by later-imported modules resolve."""
+
+    def __init__(self, body: str, views: tuple, extra):
+        self.body, self.views, self.extra = body, views, extra
+        self._text = None
+
+    def __str__(self) -> str:
+        if self._text is None:
+            self._text = render_oracle(self.body, *self.views, extra=self.extra)
+        return self._text
+
+
+def oracle(body: str, *views: str, extra: list[tuple[str, str]] | None = None) -> OracleSQL:
+    return OracleSQL(body, views, extra)
+
+
+def render_oracle(body: str, *views: str, extra: list[tuple[str, str]] | None = None) -> str:
     """Prefix ``body`` with the CTEs for ``views`` (dependencies first) and ``extra`` CTEs."""
     order: list[str] = []
 
