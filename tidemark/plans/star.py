@@ -64,8 +64,14 @@ register_oracle_view("detail_mart", DETAIL_SQL, ("clips",))
 # ---------------------------------------------------------------------------------
 # Distributed dense surrogate ids
 # ---------------------------------------------------------------------------------
+# Dimensions at or under this many members are numbered by a window over the (checkpointed,
+# deterministic) distinct values in one task; larger ones take the distributed path.
+SMALL_DIM_ROWS = 200_000
+
+
 def dense_ids(keys: DataFrame, order: list[str], id_col: str, checkpoint: bool = True) -> DataFrame:
-    """Add ``id_col`` = 1-based dense rank of the (distinct) rows of ``keys`` ordered by ``order``."""
+    """Add ``id_col`` = 1-based dense rank of the (distinct) rows of ``keys`` ordered by ``order``
+    (distributed: no single-partition window)."""
     d = keys.distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     d = d.withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
@@ -79,19 +85,35 @@ def dense_ids(keys: DataFrame, order: list[str], id_col: str, checkpoint: bool =
     return out.drop("_mid", "_pid", "_pos", "_off")
 
 
-def dim_user(detail: DataFrame) -> DataFrame:
-    u = dense_ids(detail.select(F.col("uploaded_by").alias("user_name")), ["user_name"], "user_id")
-    return u.select("user_id", "user_name", qa_exact_mask("user_name").alias("is_qa_account"))
+def dense_ids_checked(distinct_keys: DataFrame, order: list[str], id_col: str) -> DataFrame:
+    """W08 with a size check: a measured-small member set is ranked by one window over its
+    rows (bounded by SMALL_DIM_ROWS); anything larger uses the distributed ``dense_ids``.
+    ``distinct_keys`` must already be distinct and deterministic (checkpointed)."""
+    n = distinct_keys.count()
+    if n <= SMALL_DIM_ROWS:
+        return distinct_keys.withColumn(id_col, F.dense_rank().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in order])).cast("int"))
+    return dense_ids(distinct_keys, order, id_col)
+
+
+DIM_SOURCES = {  # dim -> (detail column, dim value column, id column)
+    "dim_user": ("uploaded_by", "user_name", "user_id"),
+    "dim_input_type": ("input_type", "input_type_name", "input_type_id"),
+    "dim_platform": ("published_platform", "platform_name", "platform_id"),
+    "dim_team": ("team_name", "team_name", "team_id"),
+}
 
 
-def dim_simple(detail: DataFrame, src: str, name: str, id_col: str) -> DataFrame:
-    d = dense_ids(detail.select(F.col(src).alias(name)), [name], id_col)
-    return d.select(id_col, name)
+def dim_values(detail: DataFrame) -> DataFrame:
+    """Distinct (dim, value) members of every dimension from ONE scan and one shuffle of the
+    detail rows; checkpointed (one row per member, far smaller than the detail)."""
+    v = detail.select(F.inline(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(src).alias("value"))
+                                         for d, (src, _, _) in DIM_SOURCES.items()])))
+    return v.distinct().checkpoint(eager=True)
 
 
 def dim_date(dom: Domain) -> DataFrame:
-    m = monthly_mart(dom).select("month", "year", "month_number")
-    d = dense_ids(m, ["year", "month_number"], "date_id")
+    m = monthly_mart(dom).select("month", "year", "month_number").checkpoint(eager=True)
+    d = dense_ids_checked(m, ["year", "month_number"], "date_id")
     return d.select("date_id", "month", "year", "month_number", quarter_of_month("month_number").alias("quarter"))
 
 
@@ -118,19 +140,21 @@ class Star:
         self.dom = dom
         self.detail = detail_mart(dom)
         self._dims = {}
+        self._values = None
 
     def dim(self, name: str) -> DataFrame:
         if name not in self._dims:
-            if name == "dim_user":
-                self._dims[name] = dim_user(self.detail)
-            elif name == "dim_input_type":
-                self._dims[name] = dim_simple(self.detail, "input_type", "input_type_name", "input_type_id")
-            elif name == "dim_platform":
-                self._dims[name] = dim_simple(self.detail, "published_platform", "platform_name", "platform_id")
-            elif name == "dim_team":
-                self._dims[name] = dim_simple(self.detail, "team_name", "team_name", "team_id")
-            elif name == "dim_date":
+            if name == "dim_date":
                 self._dims[name] = dim_date(self.dom)
+            else:
+                if self._values is None:
+                    self._values = dim_values(self.detail)
+                _, col, id_col = DIM_SOURCES[name]
+                vals = self._values.where(F.col("dim") == name).select(F.col("value").alias(col))
+                d = dense_ids_checked(vals, [col], id_col).select(id_col, col)
+                if name == "dim_user":
+                    d = d.withColumn("is_qa_account", qa_exact_mask("user_name"))
+                self._dims[name] = d
         return self._dims[name]
 
     def fact(self, apportioned: bool = True) -> DataFrame:
