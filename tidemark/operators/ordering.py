@@ -7,7 +7,7 @@ input. Paging uses a stable unique sort key; deep pages use keyset paging (``aft
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.marts import marts_for, monthly_mart, publishing_long
@@ -132,10 +132,10 @@ def u03(spark, sf):
     """SELECT DISTINCT ON (video_id) video_id, headline, created_secs FROM clips ORDER BY video_id, created_secs DESC, headline""",
     "clips"))
 def u04(spark, sf):
-    from tidemark.operators.windows import top_n_per_group
+    from tidemark.operators.windows import top1_per_group
 
     c = D(spark, sf).clips("video_id", "headline", "created_secs")
-    return top_n_per_group(c, ["video_id"], [F.col("created_secs").desc(), "headline"])
+    return top1_per_group(c, ["video_id"], [("created_secs", True), ("headline", False)])
 
 
 def ordered_dedup(lists: list[DataFrame], value: str) -> DataFrame:
@@ -158,11 +158,9 @@ def u06(spark, sf):
     m = marts_for(D(spark, sf), "users")
     lists = []
     for c in ("created_count", "published_count", "uploaded_count"):
-        top = m.orderBy(F.col(c).desc(), "user_name").limit(5).select("user_name")
-        # Positions 1..5 inside a bounded (5-row) list.
-        from pyspark.sql import Window
-
-        lists.append(top.withColumn("pos", F.row_number().over(Window.orderBy(F.lit(1)))))
+        top = m.orderBy(F.col(c).desc(), "user_name").limit(5).select("user_name", c)
+        # Positions 1..5: a window over the bounded (5-row) top-k, in the same order.
+        lists.append(top.withColumn("pos", F.row_number().over(Window.orderBy(F.col(c).desc(), "user_name"))))
     return ordered_dedup(lists, "user_name").withColumn("gpos", F.col("gpos").cast("bigint"))
 
 

@@ -106,8 +106,10 @@ def alias_normalise(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     a = F.broadcast(aliases)  # fixed-size alias lists
     cand = tokens.crossJoin(a).withColumn("s", sim(F.col("token"), F.col("alias"))).where(
         (F.col("token") == F.col("alias")) | ((F.col("kind") != "platform") & (F.col("s") >= F.col("cutoff"))))
-    w = Window.partitionBy("conv_id", "turn", "token", "kind").orderBy(F.col("s").desc(), "alias")
-    best = cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("conv_id", "turn", "kind", "canonical")
+    from tidemark.operators.windows import top1_per_group
+
+    best = top1_per_group(cand.select("conv_id", "turn", "token", "kind", "s", "alias", "canonical"),
+                          ["conv_id", "turn", "token", "kind"], [("s", True), ("alias", False)]).select("conv_id", "turn", "kind", "canonical")
     years = tokens.where(F.col("token").rlike("^20[0-9]{2}$")).select("conv_id", "turn", F.col("token").alias("year"))
     months = best.where(F.col("kind") == "month").join(years, ["conv_id", "turn"]).select(
         "conv_id", "turn", F.lit("month_label").alias("kind"), F.concat("canonical", F.lit(", "), "year").alias("canonical"))
@@ -168,8 +170,11 @@ def fuzzy_match(tokens: DataFrame, catalogue: DataFrame, low: float = LOW, high:
     t = t.select("token", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("vl"))
     v = catalogue.select("label", "value", F.lower("value").alias("v")).withColumn("vl", F.length("v"))
     pairs = t.join(v, "vl").withColumn("s", sim(F.col("token"), F.col("v"))).where(F.col("s") >= low)
-    w = Window.partitionBy("token", "label").orderBy(F.col("s").desc(), "value")
-    best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    from tidemark.operators.windows import top_n_per_group
+
+    # two-stage (salted by value) so a token with many candidates is not ranked in one task
+    best = top_n_per_group(pairs, ["token", "label"], [F.col("s").desc(), "value"], top, salt=["value"])
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("token", "label").orderBy(F.col("s").desc(), "value")))
     return best.select("token", "label", "value", round_half_up(F.col("s"), 6).alias("similarity"),
                        F.when(F.col("s") >= high, "high").otherwise("low").alias("confidence"), "rank")
 

@@ -26,12 +26,36 @@ def D(spark, sf):
     return Domain(spark, sf)
 
 
-def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int = 1) -> DataFrame:
-    """Rows ranked 1..n per group by ``order`` (include a unique tie-break column)."""
+def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int = 1, salt: list[str] | None = None,
+                    buckets: int = 32) -> DataFrame:
+    """Rows ranked 1..n per group by ``order`` (include a unique tie-break column).
+
+    With ``salt`` the ranking runs in two exact stages: first inside (group, hash(salt) mod
+    buckets), keeping n rows per bucket, then over the ≤ n·buckets survivors of each group — a
+    hot group is spread over ``buckets`` tasks instead of one."""
+    if salt:
+        b = F.pmod(F.xxhash64(*[F.col(c) for c in salt]), F.lit(buckets))
+        w1 = Window.partitionBy(*group, b).orderBy(*order)
+        df = df.withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= n).drop("_rn")
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def top1_per_group(df: DataFrame, group: list[str], order: list[tuple[str, bool]]) -> DataFrame:
+    """W01 as an aggregate: the first row per group by ``order`` = [(column, descending)], ties
+    broken by the rest of the row. ``min(struct(keys…, row))`` is a partial + final aggregate,
+    so a group holding a third of the rows is reduced map-side, never ranked in one task.
+    Descending keys must be numeric and non-null (they are negated)."""
+    keys = []
+    for i, (c, desc) in enumerate(order):
+        if desc and dict(df.dtypes)[c] not in ("bigint", "int", "double", "float", "smallint", "tinyint"):
+            raise ValueError(f"descending key {c} must be numeric")
+        keys.append((-F.col(c) if desc else F.col(c)).alias(f"_k{i}"))
+    rest = [c for c in df.columns if c not in group]
+    best = df.groupBy(*group).agg(F.min(F.struct(*keys, F.struct(*[F.col(c) for c in rest]).alias("_row"))).alias("_b"))
+    return best.select(*[F.col(c) if c in group else F.col(f"_b._row.{c}").alias(c) for c in df.columns])
+
+
 @query("w01_top1_per_group", oracle(
     """SELECT channel_name, user_name, created_count FROM (
   SELECT channel_name, user_name, created_count,
@@ -39,7 +63,7 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int = 1) ->
     FROM mart_channel_user) x WHERE rn = 1""", "mart_channel_user"))
 def w01(spark, sf):
     m = marts_for(D(spark, sf), "channel_user").select("channel_name", "user_name", "created_count")
-    return top_n_per_group(m, ["channel_name"], [F.col("created_count").desc(), "user_name"])
+    return top1_per_group(m, ["channel_name"], [("created_count", True), ("user_name", False)])
 
 
 @query("w02_top1_over_aggregate", oracle(
@@ -50,7 +74,7 @@ def w01(spark, sf):
 def w02(spark, sf):
     c = D(spark, sf).clips("user_name", "platform").where(F.col("platform").isNotNull())
     g = c.groupBy("user_name", "platform").agg(F.count(F.lit(1)).alias("n"))
-    return top_n_per_group(g, ["user_name"], [F.col("n").desc(), "platform"])
+    return top1_per_group(g, ["user_name"], [("n", True), ("platform", False)])
 
 
 @query("w03_top1_after_unpivot", oracle(
@@ -65,7 +89,7 @@ def w03(spark, sf):
     long = w.unpivot(["channel_name"], PLATFORM_COLS, "pcol", "publish_count").select(
         "channel_name", _brand_from_col("pcol").alias("platform"), "publish_count")
     # Lexicographic platform tie-break, same as the oracle.
-    return top_n_per_group(long, ["channel_name"], [F.col("publish_count").desc(), "platform"])
+    return top1_per_group(long, ["channel_name"], [("publish_count", True), ("platform", False)])
 
 
 def _monthly(spark, sf):
@@ -128,7 +152,7 @@ def w07(spark, sf):
     "clips"))
 def w09(spark, sf):
     c = D(spark, sf).clips("video_id", "upload_id", "created_secs", "created_ts")
-    return top_n_per_group(c, ["video_id"], ["created_ts", "created_secs", "upload_id"])
+    return top1_per_group(c, ["video_id"], [("created_ts", False), ("created_secs", False), ("upload_id", False)])
 
 
 @query("w10_share_of_max", oracle(

@@ -247,14 +247,14 @@ def incremental_clean(df: DataFrame) -> DataFrame:
 
     Keep-first is defined on content (smallest (headline, source, …) per id): the reference's
     file order does not exist in a distributed read."""
-    from tidemark.operators.windows import top_n_per_group
+    from tidemark.operators.windows import top1_per_group
 
     d = rename_columns(strip_strings(df), DETAIL_MAP)
     d = d.withColumn("published", X.bool_from_text_strict("published"))
     d = d.where(F.col("video_id").isNotNull() & (F.col("video_id") != "")).withColumn("video_id", F.col("video_id").try_cast("bigint"))
     d = d.where(F.col("video_id").isNotNull())
     others = ["headline", "source", "team_name", "input_type", "uploaded_by", "published_platform", "published_url"]
-    return top_n_per_group(d, ["video_id"], [F.col(c).asc_nulls_first() for c in others] + ["published"])
+    return top1_per_group(d, ["video_id"], [(c, False) for c in others] + [("published", False)])
 
 
 # ---------------------------------------------------------------------------------
@@ -435,10 +435,10 @@ def k03(spark, sf):
 
 def upsert_ledger(old: DataFrame | None, new: DataFrame, key: str, order: str) -> DataFrame:
     """Insert-or-update by key: union, latest ``order`` per key wins."""
-    from tidemark.operators.windows import top_n_per_group
+    from tidemark.operators.windows import top1_per_group
 
     u = new if old is None else old.unionByName(new)
-    return top_n_per_group(u, [key], [F.col(order).desc()])
+    return top1_per_group(u, [key], [(order, True)])
 
 
 @query("k04_upsert_ledger", oracle(

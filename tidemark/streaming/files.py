@@ -175,8 +175,8 @@ def st06(spark, sf):
 
     q = time_rollup(events_stream(spark, sf)).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", ck)
     run_once(q)
-    from tidemark.operators.windows import top_n_per_group
+    from tidemark.operators.windows import top1_per_group
 
     r = spark.read.parquet(sink)
     # latest emitted value per window key wins (update mode re-emits changed windows)
-    return top_n_per_group(r, ["day", "event_type"], [F.col("batch_id").desc()]).drop("batch_id")
+    return top1_per_group(r, ["day", "event_type"], [("batch_id", True)]).drop("batch_id")
