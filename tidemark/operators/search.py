@@ -169,7 +169,13 @@ def fuzzy_match(tokens: DataFrame, catalogue: DataFrame, low: float = LOW, high:
     hi = F.floor(F.col("tl") / F.lit(low) + F.lit(1e-9))
     t = t.select("token", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("vl"))
     v = catalogue.select("label", "value", F.lower("value").alias("v")).withColumn("vl", F.length("v"))
-    pairs = t.join(v, "vl").withColumn("s", sim(F.col("token"), F.col("v"))).where(F.col("s") >= low)
+    # The catalogue (dimension members) is broadcast when its measured size is under the bound,
+    # so the length join is a map-side lookup; a larger catalogue is shuffled on length and AQE
+    # splits skewed length buckets.
+    from tidemark.operators.joins import BROADCAST_ROW_BOUND, maybe_broadcast
+
+    n_values = v.count()
+    pairs = t.join(maybe_broadcast(v, n_values if n_values <= BROADCAST_ROW_BOUND else None), "vl").withColumn("s", sim(F.col("token"), F.col("v"))).where(F.col("s") >= low)
     from tidemark.operators.windows import top_n_per_group
 
     # two-stage (salted by value) so a token with many candidates is not ranked in one task

@@ -52,12 +52,12 @@ def full_replace_ingest(spark, path: str, filename: str, table_base: str, sep: s
 def incremental_ingest(spark, path: str, table_path: str) -> int:
     """Clean (N17) → rows with unseen ids (left-anti) → DISTINCT ON id → append with ingested_at.
     Returns the number of net new rows."""
+    from tidemark.session import path_exists
+
     batch = incremental_clean(read_export(spark, path))
-    try:
-        existing = spark.read.parquet(table_path).select("video_id")
-        new = batch.join(existing, "video_id", "left_anti")
-    except Exception:  # noqa: BLE001  first load
-        new = batch
+    new = batch
+    if path_exists(spark, table_path):  # not the first load
+        new = batch.join(spark.read.parquet(table_path).select("video_id"), "video_id", "left_anti")
     new = new.withColumn("ingested_at", F.current_timestamp()).checkpoint(eager=True)  # count + write see one result
     n = new.count()
     new.write.mode("append").parquet(table_path)
@@ -87,11 +87,10 @@ def change_detect(spark, fingerprints: DataFrame, ledger: DataFrame | None) -> D
 
 def backfill(spark, base: str, ledger_path: str, table_base: str, force: bool = False) -> DataFrame:
     """Process every known export, skip unchanged ones unless forced, record status per file."""
+    from tidemark.session import path_exists
+
     fps = file_fingerprints(spark, base)
-    try:
-        ledger = spark.read.parquet(ledger_path)
-    except Exception:  # noqa: BLE001
-        ledger = None
+    ledger = spark.read.parquet(ledger_path) if path_exists(spark, ledger_path) else None
     changes = change_detect(spark, fps, ledger).join(route_files(spark, fps), "filename")
     todo = changes.collect()  # one row per export file (bounded by the file count)
     rows = []

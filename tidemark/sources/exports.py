@@ -411,11 +411,11 @@ def k02(spark, sf):
 
 def insert_new_rows(spark, batch: DataFrame, table_path: str, key: str) -> int:
     """Append rows whose key is not yet stored, stamped with ``ingested_at``; returns the count."""
-    try:
-        existing = spark.read.parquet(table_path).select(key)
-        new = batch.join(existing, key, "left_anti")
-    except Exception:  # noqa: BLE001  first load: nothing stored yet
-        new = batch
+    from tidemark.session import path_exists
+
+    new = batch
+    if path_exists(spark, table_path):  # not the first load
+        new = batch.join(spark.read.parquet(table_path).select(key), key, "left_anti")
     new = new.withColumn("ingested_at", F.current_timestamp())
     new.write.mode("append").parquet(table_path)
     return spark.read.parquet(table_path).count()
