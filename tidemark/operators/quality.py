@@ -403,7 +403,7 @@ def all_pass_rows(results: DataFrame) -> DataFrame:
         F.lit(0).alias("count"), F.lit(0.0).alias("pct"), F.lit("").alias("field"), "tbl")
 
 
-_ALLPASS_SQL = """SELECT 'all_checks:' || tbl AS name, 'PASS' AS status, 'no problems' AS message, 0 AS count, 0.0 AS pct, '' AS field, tbl
+_ALLPASS_SQL = """SELECT 'all_checks:' || tbl AS name, 'PASS' AS status, 'no problems' AS message, 0 AS count, CAST(0.0 AS DOUBLE) AS pct, '' AS field, tbl
   FROM checks GROUP BY tbl HAVING COUNT(*) FILTER (WHERE status <> 'PASS') = 0"""
 
 

@@ -231,7 +231,7 @@ SELECT f0.video_id, f0.headline, f0.user_id, f0.input_type_id, f0.platform_id, f
        CAST(1 AS BIGINT) AS uploaded_count, CAST(1 AS BIGINT) AS created_count, CAST(f0.is_published AS BIGINT) AS published_count,
        COALESCE(sh.su, 0.0) AS uploaded_mins, COALESCE(sh.sc, 0.0) AS created_mins,
        CASE WHEN f0.is_published THEN COALESCE(sh.sp, 0.0) ELSE 0.0 END AS published_mins,
-       f0.is_published, f0.published_url, CAST(f0.is_published AS INTEGER) * 100.0 AS publish_rate, 1.0 AS multiplication_ratio,
+       f0.is_published, f0.published_url, CAST(CAST(f0.is_published AS INTEGER) AS DOUBLE) * 100.0 AS publish_rate, 1.0 AS multiplication_ratio,
        CAST(1 - CAST(f0.is_published AS INTEGER) AS BIGINT) AS unpublished_gap
   FROM f0 LEFT JOIN sh ON f0.user_id = sh.user_id"""
 register_oracle_view("fact_video", FACT_SQL, ("detail_mart", "dim_user", "dim_input_type", "dim_platform", "dim_team", "dim_date", "mart_users"))
