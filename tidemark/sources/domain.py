@@ -92,8 +92,11 @@ class Domain:
     """Lazy domain views over one scale-factor directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from tidemark.session import ensure_checkpoint_dir
+
         self.spark = spark
         self.sf_dir = sf_dir
+        ensure_checkpoint_dir(spark)  # checkpoint() needs it; set only when the session has none
 
     def t(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
