@@ -26,17 +26,25 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.shuffle.partitions": "8",
     # Catalyst only broadcasts sides whose *estimated* size is below this.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # AQE sizes post-shuffle partitions to ~128 MB and splits skewed ones (> 5× median, > 256 MB).
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
 }
+# Only for local[N] runs: few shuffle partitions (AQE coalesces further). On a cluster the
+# shuffle partition count is left to the cluster's configuration (sized for the data: at
+# 100 TB, thousands of partitions of ~128 MB) and AQE coalesces/splits at runtime.
+LOCAL_CONF = {"spark.sql.shuffle.partitions": "8"}
 
 
 def get_spark(master: str | None = None, app: str = "tidemark", conf: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
+    local = (master or "").startswith("local")
+    for k, v in {**DEFAULT_CONF, **(LOCAL_CONF if local else {}), **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,13 +53,20 @@ def get_spark(master: str | None = None, app: str = "tidemark", conf: dict | Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create one only if unset (local runs/tests)."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local[N] session without one gets a fresh local folder (tests, local runs); a
+    cluster session without a shared checkpoint folder is an error, never a silent local
+    temp folder on the driver."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
