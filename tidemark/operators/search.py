@@ -8,7 +8,8 @@
   (sim = 1 − lev/max(len) ≥ t ⇒ |la − lb| ≤ (1 − t)·max(la, lb)): each token is exploded into
   the catalogue lengths it can match and joined on length — an equi-join, no nested loop, and
   no pair that could reach the threshold is skipped.
-* Cosine top-k: the query vectors are few (bounded) and broadcast; candidates are scored
+* Cosine top-k: the query vectors (one centroid per label, derived from the whole table) are
+  few — their count is checked before they are broadcast; candidates are scored
   map-side; top-k is taken in two exact stages (per salt bucket, then per query) so no single
   task ranks all candidates of a query.
 """
@@ -200,7 +201,6 @@ def v04(spark, sf):
 # ---------------------------------------------------------------------------------
 # V05–V07 vectors
 # ---------------------------------------------------------------------------------
-N_QUERIES = 10  # queries = vectors with vec_id < 10 (bounded → broadcast)
 TYPES = [(0, 4), (1, 3), (2, 3)]  # (label % 3, k): tables / metrics / examples
 MIN_SIM = 0.20
 SALT = 32
@@ -210,13 +210,29 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def label_centroids(vectors: DataFrame) -> DataFrame:
+    """Query vectors derived from the whole table: the mean embedding of every label.
+    Element-wise means are an aggregation keyed by (label, position); the per-label list is
+    bounded by the embedding dimension."""
+    x = vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
+    g = x.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    c = g.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("s"))
+    return c.select(F.col("label").alias("q_id"), F.transform("s", lambda t: t["m"]).alias("embedding"))
+
+
 def similarity_topk(vectors: DataFrame, queries: DataFrame, k_by_type=TYPES, min_sim: float = MIN_SIM) -> DataFrame:
-    """Per query and type, the top-k vectors by cosine (≥ min_sim), excluding the query itself."""
+    """Per query and type, the top-k stored vectors by cosine similarity (≥ min_sim).
+
+    The query side is broadcast only after its row count is checked against the bound; the
+    store side is scanned once and scored map-side."""
+    from tidemark.operators.joins import BROADCAST_ROW_BOUND, maybe_broadcast
+
     v = vectors.select("vec_id", "label", "embedding", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("n"))
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_emb"),
-                       F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
+    q = queries.select("q_id", F.col("embedding").alias("q_emb"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
+    n_q = q.count()
+    q = maybe_broadcast(q, n_q if n_q <= BROADCAST_ROW_BOUND else None)
     kmap = F.create_map(*[x for t, k in k_by_type for x in (F.lit(t), F.lit(k))])
-    s = v.crossJoin(F.broadcast(q)).where(F.col("vec_id") != F.col("q_id")).select(
+    s = v.crossJoin(q).select(
         "q_id", "vec_id", F.pmod(F.col("label"), F.lit(3)).alias("type"),
         (_dot(F.col("embedding"), F.col("q_emb")) / (F.col("n") * F.col("qn"))).alias("sim"))
     s = s.where(F.col("sim") >= min_sim).withColumn("k", kmap[F.col("type")])
@@ -229,10 +245,12 @@ def similarity_topk(vectors: DataFrame, queries: DataFrame, k_by_type=TYPES, min
 
 
 _VEC_SQL = f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
- q AS (SELECT vec_id AS q_id, e AS qe FROM v WHERE vec_id < {N_QUERIES}),
+ x AS (SELECT label, unnest(range(0, len(e))) AS pos, unnest(e) AS val FROM v),
+ c AS (SELECT label, pos, AVG(val) AS m FROM x GROUP BY label, pos),
+ q AS (SELECT label AS q_id, list(m ORDER BY pos) AS qe FROM c GROUP BY label),
  s AS (SELECT q_id, vec_id, label % 3 AS type,
               list_inner_product(e, qe) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(qe, qe))) AS sim
-         FROM v CROSS JOIN q WHERE vec_id <> q_id),
+         FROM v CROSS JOIN q),
  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY q_id, type ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= {MIN_SIM})
 SELECT q_id, CAST(type AS INTEGER) AS type, vec_id, {round_sql('sim', 6)} AS similarity, CAST(rank AS INTEGER) AS rank FROM r
  WHERE rank <= CASE type {' '.join(f'WHEN {t} THEN {k}' for t, k in TYPES)} END"""
@@ -240,7 +258,7 @@ SELECT q_id, CAST(type AS INTEGER) AS type, vec_id, {round_sql('sim', 6)} AS sim
 
 def _vectors(spark, sf):
     e = D(spark, sf).t("embeddings")
-    return e, e.where(F.col("vec_id") < N_QUERIES)
+    return e, label_centroids(e)
 
 
 @query("v05_similarity_topk", oracle(_VEC_SQL))
@@ -259,14 +277,17 @@ def v06(spark, sf):
     return t.groupBy("q_id", "vec_id").agg(F.min(F.col("type") * 100 + F.col("rank")).alias("pos"))
 
 
+UPDATED_LABELS = 5  # a new version arrives for every vector whose label is below this
+
+
 @query("v07_upsert_vectors", oracle(
-    """SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label + 100 ELSE label END AS label FROM embeddings"""))
+    f"""SELECT vec_id, CASE WHEN label < {UPDATED_LABELS} THEN label + 100 ELSE label END AS label FROM embeddings"""))
 def v07(spark, sf):
     from tidemark.sources.exports import upsert_ledger
 
     e = D(spark, sf).t("embeddings").select("vec_id", "label", "embedding")
     old = e.withColumn("version", F.lit(1))
-    new = e.where(F.pmod("vec_id", F.lit(2)) == 0).withColumn("label", F.col("label") + 100).withColumn("version", F.lit(2))
+    new = e.where(F.col("label") < UPDATED_LABELS).withColumn("label", F.col("label") + 100).withColumn("version", F.lit(2))
     return upsert_ledger(old, new, "vec_id", "version").select("vec_id", "label")
 
 

@@ -446,10 +446,11 @@ def upsert_ledger(old: DataFrame | None, new: DataFrame, key: str, order: str) -
   SELECT o_orderpriority, o_orderkey FROM orders) x GROUP BY 1"""))
 def k04(spark, sf):
     # Ledger rows keyed by a file name; each order is a new version of its priority's "file".
-    o = D(spark, sf).t("orders").select(F.col("o_orderpriority").alias("filename"), F.col("o_orderkey").alias("version"))
+    o = D(spark, sf).t("orders").select(F.col("o_orderpriority").alias("filename"), F.col("o_orderkey").alias("version"), "o_orderdate")
     counts = o.groupBy("filename").agg(F.count(F.lit(1)).alias("row_count"))
-    half = o.where(F.col("version") % 2 == 0)
-    rest = o.where(F.col("version") % 2 == 1)
+    # two arrivals: versions of orders placed before 1998, then the later ones
+    half = o.where(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).drop("o_orderdate")
+    rest = o.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp")).drop("o_orderdate")
     led = upsert_ledger(None, half, "filename", "version")
     led = upsert_ledger(led, rest, "filename", "version")
     return led.join(counts, "filename").select("filename", F.col("version").cast("bigint").alias("version"), "row_count")

@@ -118,8 +118,10 @@ def st04(spark, sf):
     dom = D(spark, sf)
     src, table, ck = scratch_dir(spark, "st04_src"), scratch_dir(spark, "st04_table"), scratch_dir(spark, "st04_ck")
     full = export_frame(dom, "video_list.csv")
-    # Two arrivals: the first half of the ids, then everything (overlapping ids).
-    full.where(F.pmod(F.col("Video ID").cast("bigint"), F.lit(2)) == 0).write.option("header", True).csv(os.path.join(src, "a"))
+    # Two arrivals: rows of clips created before 1999, then everything (overlapping ids).
+    early = dom.clips("video_id", "created_ts").where(F.col("created_ts") < F.lit("1999-01-01").cast("timestamp")).select(
+        F.col("video_id").cast("string").alias("Video ID")).distinct()
+    full.join(early, "Video ID", "left_semi").write.option("header", True).csv(os.path.join(src, "a"))
 
     def sink(batch: DataFrame, batch_id: int):
         b = batch.where(F.col("Video ID").isNotNull()).select(F.col("Video ID").cast("bigint").alias("video_id"))
