@@ -121,7 +121,7 @@ def st04(spark, sf):
     # Two arrivals: rows of clips created before 1999, then everything (overlapping ids).
     early = dom.clips("video_id", "created_ts").where(F.col("created_ts") < F.lit("1999-01-01").cast("timestamp")).select(
         F.col("video_id").cast("string").alias("Video ID")).distinct()
-    full.join(early, "Video ID", "left_semi").write.option("header", True).csv(os.path.join(src, "a"))
+    full.join(early, "Video ID", "left_semi").select(*full.columns).write.option("header", True).csv(os.path.join(src, "a"))
 
     def sink(batch: DataFrame, batch_id: int):
         b = batch.where(F.col("Video ID").isNotNull()).select(F.col("Video ID").cast("bigint").alias("video_id"))
