@@ -26,8 +26,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # Catalyst only broadcasts sides whose *estimated* size is below this.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Catalyst/AQE only broadcast sides whose estimated/measured size is below this (the
+    # Spark default, kept explicit: every broadcast is built on the driver).
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     # AQE sizes post-shuffle partitions to ~128 MB and splits skewed ones (> 5× median, > 256 MB).
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
