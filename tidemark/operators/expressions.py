@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
 from tidemark.functions.expr import round_half_up, round_sql
-from tidemark.operators.filters import HMS_TEXT_SQL, hms_text
+from tidemark.operators.filters import hms_text
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
 from tidemark.sources.domain import QA_PREFIX, Domain, oracle

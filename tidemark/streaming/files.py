@@ -26,7 +26,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark.registry import query
 from tidemark.session import path_exists, scratch_dir
 from tidemark.sources.domain import Domain, oracle
-from tidemark.sources.exports import BLANK_ID_LINE, clean_aggregate, export_frame, write_exports
+from tidemark.sources.exports import clean_aggregate, export_frame, write_exports
 
 DEBOUNCE_SECONDS = 3
 WATERMARK = "1 hour"
