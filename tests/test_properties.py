@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tidemark.operators.aggregates import CROSS_PAIRS, cross_marts, detail_for_cross, group_two_dims
-from tidemark.operators.search import fuzzy_match, sim, similarity_topk
+from tidemark.operators.search import alias_normalise, alias_table, fuzzy_match, sim, similarity_topk
 from tidemark.plans.kpi import totals
 from tidemark.plans.marts import marts_for
 from tidemark.plans.star import dense_ids
@@ -81,3 +81,22 @@ def test_two_stage_topk_equals_brute_force(spark):
                      for i, lab, _ in rows if lab % 3 == t]
             want |= {(qi, t, i) for _, i in sorted(cands)[:k]}
     assert got == want
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.sampled_from(["janury", "febuary", "marc", "engish", "hindi", "hndi", "yt", "insta", "twiter", "x",
+                                 "spansh", "arabc", "octobr", "decmber", "mixd", "2024", "2025", "junee", "may", "foo"]),
+                min_size=1, max_size=12))
+def test_alias_normalise_equals_brute_force(spark, words):
+    toks = spark.createDataFrame([(i % 3, 1, w) for i, w in enumerate(words)], "conv_id int, turn int, token string").distinct()
+    a = alias_table(spark)
+    got = {tuple(r) for r in alias_normalise(toks, a).collect()}
+    # brute force: every token against every alias
+    allp = toks.crossJoin(a).withColumn("s", sim(F.col("token"), F.col("alias"))).where(
+        (F.col("token") == F.col("alias")) | ((F.col("kind") != "platform") & (F.col("s") >= F.col("cutoff"))))
+    w = Window.partitionBy("conv_id", "turn", "token", "kind").orderBy(F.col("s").desc(), "alias")
+    best = allp.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).select("conv_id", "turn", "kind", "canonical")
+    yrs = toks.where(F.col("token").rlike("^20[0-9]{2}$")).select("conv_id", "turn", F.col("token").alias("y"))
+    ml = best.where(F.col("kind") == "month").join(yrs, ["conv_id", "turn"]).select(
+        "conv_id", "turn", F.lit("month_label").alias("kind"), F.concat("canonical", F.lit(", "), "y").alias("canonical"))
+    assert got == {tuple(r) for r in best.unionByName(ml).distinct().collect()}

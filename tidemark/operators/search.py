@@ -2,7 +2,7 @@
 
 * Tokenising is ``regexp_extract_all`` + ``explode`` on whole texts (no prefixes, no caps).
 * Alias normalisation is an equi-join against small fixed alias tables (broadcast: their
-  size is fixed by the lists below).
+  size is fixed by the lists below); close matches join on the alias lengths the cutoff allows.
 * Fuzzy entity matching compares distinct tokens with distinct catalogue values. Candidate
   pairs are generated EXACTLY by the length filter that the similarity threshold implies
   (sim = 1 − lev/max(len) ≥ t ⇒ |la − lb| ≤ (1 − t)·max(la, lb)): each token is exploded into
@@ -101,11 +101,32 @@ def alias_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, alias string, canonical string, cutoff double")
 
 
+def _length_window(length: Column, cutoff: float) -> Column:
+    """Lengths a string may have to reach similarity ``cutoff`` with a string of ``length``
+    (sim = 1 − lev/max(len) ≥ c ⇒ c·la ≤ lb ≤ la/c, since lev ≥ |la − lb|): exact bounds."""
+    lo = F.ceil(length * F.lit(cutoff) - F.lit(1e-9)).cast("int")
+    hi = F.floor(length / F.lit(cutoff) + F.lit(1e-9)).cast("int")
+    return F.sequence(lo, hi)
+
+
 def alias_normalise(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     """Token → canonical value: exact alias, else the closest alias above the kind's cutoff;
-    months combine with year tokens of the same question into 'Mon, YYYY' labels."""
-    a = F.broadcast(aliases)  # fixed-size alias lists
-    cand = tokens.crossJoin(a).withColumn("s", sim(F.col("token"), F.col("alias"))).where(
+    months combine with year tokens of the same question into 'Mon, YYYY' labels.
+
+    Candidates are generated exactly, as equi-joins: platform aliases match on the token itself;
+    month / language aliases on (kind, alias length), each token exploded into the lengths its
+    kind's cutoff allows. No token is paired with an alias that cannot reach the cutoff."""
+    a = aliases.withColumn("alias_len", F.length("alias"))
+    fuzzy_kinds = [("month", MONTH_CUTOFF), ("language", LANGUAGE_CUTOFF)]
+    tl = F.length("token")
+    windows = F.array(*[F.struct(F.lit(k).alias("kind"), _length_window(tl, c).alias("lens")) for k, c in fuzzy_kinds])
+    t_len = (tokens.select("conv_id", "turn", "token", F.inline(windows))
+             .select("conv_id", "turn", "token", "kind", F.explode("lens").alias("alias_len")))
+    # fixed-size alias lists: broadcast (their size is fixed by the lists above)
+    fuzzy = t_len.join(F.broadcast(a.where(F.col("kind") != "platform")), ["kind", "alias_len"])
+    exact = tokens.join(F.broadcast(a.where(F.col("kind") == "platform")), F.col("token") == F.col("alias"))
+    cols = ["conv_id", "turn", "token", "kind", "alias", "canonical", "cutoff"]
+    cand = fuzzy.select(*cols).unionByName(exact.select(*cols)).withColumn("s", sim(F.col("token"), F.col("alias"))).where(
         (F.col("token") == F.col("alias")) | ((F.col("kind") != "platform") & (F.col("s") >= F.col("cutoff"))))
     from tidemark.operators.windows import top1_per_group
 
@@ -166,9 +187,7 @@ def fuzzy_match(tokens: DataFrame, catalogue: DataFrame, low: float = LOW, high:
     """Per (token, label) the best ``top`` values with similarity ≥ ``low``; band high/low."""
     t = tokens.select("token").distinct().withColumn("tl", F.length("token"))
     # lengths a catalogue value may have to reach the threshold with this token (exact bound)
-    lo = F.ceil(F.col("tl") * F.lit(low) - F.lit(1e-9))
-    hi = F.floor(F.col("tl") / F.lit(low) + F.lit(1e-9))
-    t = t.select("token", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("vl"))
+    t = t.select("token", F.explode(_length_window(F.col("tl"), low)).alias("vl"))
     v = catalogue.select("label", "value", F.lower("value").alias("v")).withColumn("vl", F.length("v"))
     # The catalogue (dimension members) is broadcast when its measured size is under the bound,
     # so the length join is a map-side lookup; a larger catalogue is shuffled on length and AQE
