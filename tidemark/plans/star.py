@@ -85,11 +85,13 @@ def dense_ids(keys: DataFrame, order: list[str], id_col: str, checkpoint: bool =
     return out.drop("_mid", "_pid", "_pos", "_off")
 
 
-def dense_ids_checked(distinct_keys: DataFrame, order: list[str], id_col: str) -> DataFrame:
+def dense_ids_checked(distinct_keys: DataFrame, order: list[str], id_col: str, n: int | None = None) -> DataFrame:
     """W08 with a size check: a measured-small member set is ranked by one window over its
     rows (bounded by SMALL_DIM_ROWS); anything larger uses the distributed ``dense_ids``.
-    ``distinct_keys`` must already be distinct and deterministic (checkpointed)."""
-    n = distinct_keys.count()
+    ``distinct_keys`` must already be distinct and deterministic (checkpointed); ``n`` is its
+    row count when the caller has measured it already."""
+    if n is None:
+        n = distinct_keys.count()
     if n <= SMALL_DIM_ROWS:
         return distinct_keys.withColumn(id_col, F.dense_rank().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in order])).cast("int"))
     return dense_ids(distinct_keys, order, id_col)
@@ -141,6 +143,7 @@ class Star:
         self.detail = detail_mart(dom)
         self._dims = {}
         self._values = None
+        self._sizes: dict[str, int] = {}
 
     def dim(self, name: str) -> DataFrame:
         if name not in self._dims:
@@ -149,9 +152,12 @@ class Star:
             else:
                 if self._values is None:
                     self._values = dim_values(self.detail)
+                    # member count of every dimension in one small job over the checkpointed members
+                    self._sizes = {r["dim"]: int(r["n"]) for r in
+                                   self._values.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
                 _, col, id_col = DIM_SOURCES[name]
                 vals = self._values.where(F.col("dim") == name).select(F.col("value").alias(col))
-                d = dense_ids_checked(vals, [col], id_col).select(id_col, col)
+                d = dense_ids_checked(vals, [col], id_col, n=self._sizes.get(name, 0)).select(id_col, col)
                 if name == "dim_user":
                     d = d.withColumn("is_qa_account", qa_exact_mask("user_name"))
                 self._dims[name] = d
@@ -181,7 +187,8 @@ class Star:
              .join(F.broadcast(tm), "team_name", "left")
              .join(F.broadcast(dt), "month", "left"))
         if apportioned:
-            f = apportion(f, marts_for(self.dom, "users"))
+            # one share row per user: bounded by the measured dim_user size
+            f = apportion(f, marts_for(self.dom, "users"), n_users=self._sizes["dim_user"])
         else:
             f = f.withColumns({"uploaded_mins": F.lit(0.0), "created_mins": F.lit(0.0), "published_mins": F.lit(0.0)})
         return f.select(*FACT_COLS)
@@ -192,9 +199,10 @@ FACT_COLS = ["video_id", "headline", "user_id", "input_type_id", "platform_id",
              "published_url", "publish_rate", "multiplication_ratio", "unpublished_gap"]
 
 
-def apportion(fact: DataFrame, user_totals: DataFrame) -> DataFrame:
+def apportion(fact: DataFrame, user_totals: DataFrame, n_users: int | None = None) -> DataFrame:
     """Per-user totals spread evenly over the user's rows (published minutes only over
-    published rows), 4 dp; users without totals get 0."""
+    published rows), 4 dp; users without totals get 0. ``n_users`` bounds the share frame
+    (one row per user) when the caller knows the user count; otherwise it is counted."""
     per_user = fact.groupBy("user_id", "uploaded_by").agg(F.count(F.lit(1)).alias("_cnt"), F.sum(F.col("is_published").cast("int")).alias("_pub"))
     t = user_totals.select(F.col("user_name").alias("uploaded_by"), "uploaded_mins", "created_mins", "published_mins")
     shares = per_user.join(t, "uploaded_by", "left").select(
@@ -203,7 +211,8 @@ def apportion(fact: DataFrame, user_totals: DataFrame) -> DataFrame:
         F.coalesce(round_half_up(F.col("created_mins") / F.col("_cnt"), 4), F.lit(0.0)).alias("_c"),
         F.coalesce(F.when(F.col("_pub") > 0, round_half_up(F.col("published_mins") / F.col("_pub"), 4)), F.lit(0.0)).alias("_p"),
     )
-    n_users = shares.count()  # one row per user: a cheap, bounded count that gates the broadcast
+    if n_users is None:
+        n_users = shares.count()  # one row per user: a bounded count that gates the broadcast
     shares = maybe_broadcast(shares, n_users if n_users <= BROADCAST_ROW_BOUND else None)
     j = fact.join(shares, "user_id", "left")
     return j.withColumns({

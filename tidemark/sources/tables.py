@@ -34,7 +34,9 @@ SPREAD_KEYS = {
 }
 SPREAD_MIN_BYTES = 2 * 1024 * 1024
 
-_SPLITS: dict[tuple[str, str], tuple[int, int]] = {}
+# One relation per (session, table): the file listing and footer reads of a table happen once
+# per session, not once per query branch (at 100 TB a table is many thousands of files).
+_RELATIONS: dict[tuple[str, str], DataFrame] = {}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -42,20 +44,24 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def _splits_and_bytes(spark: SparkSession, df: DataFrame, path: str) -> tuple[int, int]:
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _SPLITS:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        nbytes = int(fs.getContentSummary(p).getLength())
-        _SPLITS[key] = (df.rdd.getNumPartitions(), nbytes)
-    return _SPLITS[key]
+    """Planned scan splits and bytes on storage (metadata only: no job runs)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return df.rdd.getNumPartitions(), int(fs.getContentSummary(p).getLength())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name}")
     path = table_path(sf_dir, name)
+    rkey = (spark.sparkContext.applicationId, path)
+    if rkey not in _RELATIONS:
+        _RELATIONS[rkey] = _open(spark, path, name)
+    return _RELATIONS[rkey]
+
+
+def _open(spark: SparkSession, path: str, name: str) -> DataFrame:
     df = spark.read.parquet(path)
     key = SPREAD_KEYS.get(name)
     if key is None:
