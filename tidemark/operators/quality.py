@@ -57,20 +57,22 @@ class Block:
 # ---------------------------------------------------------------------------------
 # Status / message / pct from a rule (Spark and SQL renderings of the same logic)
 # ---------------------------------------------------------------------------------
-def _status(rule: str, c: Column, d: Column, p: float) -> Column:
-    pct = c * F.lit(100.0) / F.nullif(d.cast("double"), F.lit(0.0))
-    if rule == "fail_if_any" or rule == "missing_fail" or rule == "required":
-        return F.when(c > 0, F.lit(FAIL)).otherwise(F.lit(PASS))
+def _status(rule: str, c: str, d: str, p: float) -> str:
+    """Spark SQL status expression of a rule over counter ``c`` and denominator ``d``
+    (doubles written as ``D`` literals: Spark reads a bare ``0.3`` as a decimal)."""
+    pct = f"({c} * 100.0D / nullif(CAST({d} AS DOUBLE), 0.0D))"
+    if rule in ("fail_if_any", "missing_fail", "required"):
+        return f"CASE WHEN {c} > 0 THEN '{FAIL}' ELSE '{PASS}' END"
     if rule in ("warn_if_any", "missing_warn"):
-        return F.when(c > 0, F.lit(WARN)).otherwise(F.lit(PASS))
+        return f"CASE WHEN {c} > 0 THEN '{WARN}' ELSE '{PASS}' END"
     if rule == "warn_above":
-        return F.when(c > d * F.lit(p), F.lit(WARN)).otherwise(F.lit(PASS))
+        return f"CASE WHEN {c} > {d} * {float(p)!r}D THEN '{WARN}' ELSE '{PASS}' END"
     if rule == "coverage":
-        return F.when(pct > 90, F.lit(FAIL)).when(pct > 50, F.lit(WARN)).otherwise(F.lit(PASS))
+        return f"CASE WHEN {pct} > 90 THEN '{FAIL}' WHEN {pct} > 50 THEN '{WARN}' ELSE '{PASS}' END"
     if rule == "rowcount":
-        return F.when(c > 0, F.lit(PASS)).otherwise(F.lit(FAIL))
+        return f"CASE WHEN {c} > 0 THEN '{PASS}' ELSE '{FAIL}' END"
     if rule == "rowcount12":
-        return F.when(c == 12, F.lit(PASS)).when(c > 13, F.lit(FAIL)).otherwise(F.lit(WARN))
+        return f"CASE WHEN {c} = 12 THEN '{PASS}' WHEN {c} > 13 THEN '{FAIL}' ELSE '{WARN}' END"
     raise ValueError(rule)
 
 
@@ -92,19 +94,22 @@ def _status_sql(rule: str, c: str, d: str, p: float) -> str:
 
 
 def _rows_spark(one: DataFrame, block: Block) -> DataFrame:
+    """One-row counter frame → one result row per check. The rows are a single
+    ``inline(array(named_struct(...)))`` expression handed to Spark as SQL text: one parse on
+    the JVM side instead of hundreds of small expression objects built from Python."""
     structs = []
     for ch in block.checks:
-        c, d = F.col(ch.cnt).cast("bigint"), F.col(ch.den).cast("bigint")
-        structs.append(F.struct(
-            F.lit(ch.name).alias("name"),
-            _status(ch.rule, c, d, ch.param).alias("status"),
-            F.format_string("%d of %d", c, d).alias("message"),
-            c.cast("int").alias("count"),
-            F.when(d == 0, F.lit(0.0)).otherwise(round_half_up(c * F.lit(100.0) / d, 1)).alias("pct"),
-            F.lit(ch.field).alias("field"),
-            F.lit(block.tbl).alias("tbl"),
-        ))
-    return one.select(F.inline(F.array(*structs)))
+        c, d = f"CAST(`{ch.cnt}` AS BIGINT)", f"CAST(`{ch.den}` AS BIGINT)"
+        pct = f"CASE WHEN {d} = 0 THEN 0.0D ELSE CAST(floor({c} * 100.0D / {d} * 10.0D + 0.5D) / 10.0D AS DOUBLE) END"
+        structs.append(
+            f"named_struct('name', {_q(ch.name)}, 'status', {_status(ch.rule, c, d, ch.param)}, "
+            f"'message', format_string('%d of %d', {c}, {d}), 'count', CAST({c} AS INT), 'pct', {pct}, "
+            f"'field', {_q(ch.field)}, 'tbl', {_q(block.tbl)})")
+    return one.select(F.expr(f"inline(array({', '.join(structs)}))"))
+
+
+def _q(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _rows_sql(block: Block, alias: str) -> str:
