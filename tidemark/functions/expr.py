@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------------
@@ -281,3 +281,18 @@ def contains_ci(c, term: str) -> Column:
 def ieq(c, value: str) -> Column:
     """case-insensitive equality."""
     return F.lower(_c(c)) == F.lit(value.lower())
+
+
+# ---------------------------------------------------------------------------------
+# One-row aggregates attached to every row (scalar subqueries, not joins)
+# ---------------------------------------------------------------------------------
+def with_scalars(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Append the columns of one-row aggregates (totals, maxima, statistics) to every row of
+    ``df``. Each aggregate is a scalar subquery: it runs once and its values are inlined as
+    constants into ``df``'s plan — no join, no pairing of rows. A frame with more than one row
+    fails the query (Spark's scalar-subquery check), so the one-row bound is enforced."""
+    cols = []
+    for o in one_row:
+        s = o.select(F.struct(*[F.col(f"`{c}`") for c in o.columns]).alias("_s")).scalar()
+        cols += [s[c].alias(c) for c in o.columns]
+    return df.select("*", *cols)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
-from tidemark.functions.expr import round_half_up, round_sql
+from tidemark.functions.expr import round_half_up, round_sql, with_scalars
 from tidemark.operators.filters import hms_text
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
@@ -215,7 +215,7 @@ def x18(spark, sf):
     c = D(spark, sf).t("customer")
     a = c.where(F.col("c_custkey") < 0).agg(F.coalesce(F.max("c_custkey"), F.lit(0)).cast("bigint").alias("empty_max"))
     b = c.agg(F.coalesce(F.max("c_custkey"), F.lit(0)).cast("bigint").alias("max_id"))
-    return a.crossJoin(b)
+    return with_scalars(a, b)
 
 
 @query("x19_case_severity", oracle(
@@ -295,4 +295,4 @@ def x27(spark, sf):
 def x29(spark, sf):
     m = marts_for(D(spark, sf), "input_types")
     tot = m.agg(F.sum("created_count").alias("_t"))
-    return m.crossJoin(tot).select("input_type", X.percent_of_total("created_count", "_t").alias("pct"))
+    return with_scalars(m, tot).select("input_type", X.percent_of_total("created_count", "_t").alias("pct"))

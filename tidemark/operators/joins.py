@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.expr import with_scalars
 from tidemark.plans.marts import marts_for, monthly_mart, publishing_long
 from tidemark.registry import query
 from tidemark.sources.domain import Domain, oracle
@@ -154,7 +155,7 @@ def j10(spark, sf):
     b = m.where(F.col("published_count") == 0).agg(F.count(F.lit(1)).alias("zero_publish"))
     c = m.agg(F.max("created_count").cast("bigint").alias("max_created"))
     d = m.agg(F.sum("published_count").cast("bigint").alias("published"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+    return with_scalars(a, b, c, d)
 
 
 DRILL_CHANNEL = "NATION_7"

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import HMS_PATTERN, MONTH_LABEL_PATTERN, NULLISH, is_nullish, round_half_up, round_sql
+from tidemark.functions.expr import HMS_PATTERN, MONTH_LABEL_PATTERN, NULLISH, is_nullish, round_half_up, round_sql, with_scalars
 from tidemark.operators.filters import HMS_TEXT_SQL, hms_text, qa_exact_mask
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
@@ -194,7 +194,7 @@ def _dup_frame_spark(df: DataFrame, key: list[str], n_col="n") -> DataFrame:
     per = k.groupBy(*key).agg(F.count(F.lit(1)).alias("_c"))
     g = per.agg(F.sum(F.col("_c") - 1).alias("dup_rows"), F.count_if(F.col("_c") > 1).alias("dup_keys"))
     tot = df.agg(F.count(F.lit(1)).alias(n_col))
-    return g.crossJoin(tot).select(F.coalesce("dup_rows", F.lit(0)).alias("dup_rows"), "dup_keys", n_col)
+    return with_scalars(g, tot).select(F.coalesce("dup_rows", F.lit(0)).alias("dup_rows"), "dup_keys", n_col)
 
 
 def _dup_sql(src: str, key: list[str], extra_where: str = "") -> str:
@@ -217,7 +217,7 @@ DUP_VIDEO = Block(
 def _dup_headline(spark, sf):
     c = D(spark, sf).clips("headline")
     nonempty = c.where(~is_nullish("headline"))
-    return _dup_frame_spark(nonempty, ["headline"]).drop("n").crossJoin(c.agg(F.count(F.lit(1)).alias("n")))
+    return with_scalars(_dup_frame_spark(nonempty, ["headline"]).drop("n"), c.agg(F.count(F.lit(1)).alias("n")))
 
 
 DUP_HEADLINE = Block(
@@ -354,9 +354,9 @@ def _ref_frame(spark, sf):
     out = None
     for i, (t, fk, dt, pk) in enumerate(FKS):
         o = fk_orphans(dom.t(t).select(fk), fk, dom.t(dt), pk).agg(F.count(F.lit(1)).alias(f"orph_{i}"))
-        out = o if out is None else out.crossJoin(o)
+        out = o if out is None else with_scalars(out, o)
     n = dom.t("lineitem").agg(F.count(F.lit(1)).alias("n"))
-    return out.crossJoin(n)
+    return with_scalars(out, n)
 
 
 REFERENTIAL = Block(
@@ -582,7 +582,7 @@ def q24(spark, sf):
               F.count_if(F.col("team_name").isNull()).cast("bigint").alias("unknown_team"),
               F.count_if(F.col("is_published") & F.col("platform").isNull()).cast("bigint").alias("published_no_platform"))
     d = c.groupBy("video_id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("duplicate_ids"))
-    j = p.crossJoin(d)
+    j = with_scalars(p, d)
     pct = {f: round_half_up(F.col(f"m_{f}") * F.lit(100.0) / F.col("total"), 2) for f in PROFILE_FIELDS}
     mean = (pct[PROFILE_FIELDS[0]] + pct[PROFILE_FIELDS[1]] + pct[PROFILE_FIELDS[2]]) / F.lit(3)
     return j.select("total", *[pct[f].alias(f"missing_{f}_pct") for f in PROFILE_FIELDS], "duplicate_ids", "unknown_team",

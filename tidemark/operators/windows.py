@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import growth_pct, round_half_up, round_sql
+from tidemark.functions.expr import growth_pct, round_half_up, round_sql, with_scalars
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
 from tidemark.sources.domain import PLATFORM_COLS, Domain, oracle
@@ -132,7 +132,7 @@ MIN_PERIODS = 4
 def sigma_anomaly(df: DataFrame, value: str, k: float = SIGMA, min_periods: int = MIN_PERIODS) -> DataFrame:
     """Rows with |x − mean| > k·σ_pop, only when there are ≥ min_periods rows (aggregated input)."""
     stats = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"), F.count(F.lit(1)).alias("_n"))
-    j = df.crossJoin(stats)
+    j = with_scalars(df, stats)
     return j.where((F.col("_n") >= min_periods) & (F.abs(F.col(value) - F.col("_mu")) > F.lit(k) * F.col("_sd"))).drop("_mu", "_sd", "_n")
 
 
@@ -162,7 +162,7 @@ def w09(spark, sf):
 def w10(spark, sf):
     m = marts_for(D(spark, sf), "channels").select("channel_name", "published_count")
     mx = m.agg(F.max("published_count").alias("_mx"))
-    return m.crossJoin(mx).select("channel_name", "published_count",
+    return with_scalars(m, mx).select("channel_name", "published_count",
                                   round_half_up(F.col("published_count").cast("double") / F.nullif(F.col("_mx").cast("double"), F.lit(0.0)), 4).alias("share_of_max"))
 
 
@@ -174,7 +174,7 @@ def w11(spark, sf):
     c = D(spark, sf).clips("platform").where(F.col("platform").isNotNull())
     g = c.groupBy("platform").agg(F.count(F.lit(1)).alias("published"))
     tot = g.agg(F.sum("published").alias("_t"))
-    return g.crossJoin(tot).select("platform", "published",
+    return with_scalars(g, tot).select("platform", "published",
                                    round_half_up(F.col("published") * F.lit(100.0) / F.nullif(F.col("_t").cast("double"), F.lit(0.0)), 2).alias("share_pct"))
 
 
@@ -187,5 +187,5 @@ def w12(spark, sf):
 
     x = cross_marts(D(spark, sf)).where(F.col("pair") == "input_type|platform").select("d1", "d2", "published_count")
     mx = x.agg(F.max("published_count").alias("_mx"))
-    return x.crossJoin(mx).select("d1", "d2", "published_count",
+    return with_scalars(x, mx).select("d1", "d2", "published_count",
                                   round_half_up(F.col("published_count") / F.greatest(F.col("_mx").cast("double"), F.lit(1.0)), 4).alias("intensity"))

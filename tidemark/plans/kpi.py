@@ -3,8 +3,8 @@
 All metrics read the aggregate marts (``plans/marts.py``) or the order/clip views. One-row
 metrics are single aggregates; "best/peak" rows use an argmax aggregate
 (``min(struct(-value, tie))``) instead of a global sort or window, so they are a partial +
-final aggregate whatever the data size. One-row frames are combined with ``crossJoin``
-(each side has exactly one row by construction).
+final aggregate whatever the data size. One-row aggregates are attached as scalar subqueries
+(``with_scalars``: computed once, inlined; no join).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tidemark.functions.expr import (
     safe_ratio,
     safe_ratio_pct,
     secs_to_hours,
+    with_scalars,
 )
 from tidemark.plans.marts import MARTS, marts_for, monthly_mart, publishing_long
 from tidemark.registry import query
@@ -299,9 +300,9 @@ def m13(spark, sf):
   FROM mart_channels""", "mart_channels"))
 def m14(spark, sf):
     m = marts_for(D(spark, sf), "channels")
-    # The total is a one-row aggregate joined back (no global window over rows).
+    # The total is a one-row aggregate attached as a scalar (no global window over rows).
     tot = m.agg(F.sum("published_count").alias("_tot"))
-    return m.crossJoin(tot).select(
+    return with_scalars(m, tot).select(
         "channel_name", "published_count", round_half_up(safe_ratio_pct("published_count", "_tot"), 2).alias("share_pct")
     )
 
@@ -407,7 +408,7 @@ def summary_stats(spark, sf) -> DataFrame:
         round_half_up(F.avg("published_count"), 2).alias("avg_monthly_published"),
     ).select(F.col("_pw.month").alias("peak_workload_month"), F.col("_pv.month").alias("peak_published_month"),
              "avg_monthly_uploaded", "avg_monthly_created", "avg_monthly_published")
-    return t.crossJoin(ch).crossJoin(us).crossJoin(mm)
+    return with_scalars(t, ch, us, mm)
 
 
 SUMMARY_SQL = f"""WITH t AS ({TOTALS_SQL}),

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import quarter_of_month, round_half_up, round_sql
+from tidemark.functions.expr import quarter_of_month, round_half_up, round_sql, with_scalars
 from tidemark.operators.filters import qa_exact_mask
 from tidemark.operators.joins import BROADCAST_ROW_BOUND, maybe_broadcast
 from tidemark.plans.marts import marts_for, monthly_mart
@@ -328,7 +328,7 @@ def unknown_member_repair(fact: DataFrame, dim: DataFrame, fk: str, id_col: str,
     new_member = uid.join(dim.select(F.col(id_col).alias("_uid")), "_uid", "left_anti").select(
         F.col("_uid").alias(id_col), F.lit(unknown).alias(name_col))
     dim2 = dim.unionByName(new_member)
-    fixed = fact.crossJoin(uid).withColumn(fk, F.coalesce(F.col(fk), F.col("_uid"))).drop("_uid")
+    fixed = with_scalars(fact, uid).withColumn(fk, F.coalesce(F.col(fk), F.col("_uid"))).drop("_uid")
     return fixed, dim2
 
 
@@ -346,7 +346,7 @@ def e05(spark, sf):
     fact = o.join(F.broadcast(dim), o.input_type == dim.input_type_name, "left").select("o_orderkey", "input_type_id")
     repaired = fact.where(F.col("input_type_id").isNull()).agg(F.count(F.lit(1)).alias("repaired"))
     _, dim2 = unknown_member_repair(fact, dim, "input_type_id", "input_type_id", "input_type_name")
-    return dim2.crossJoin(repaired).select("input_type_id", "input_type_name", "repaired")
+    return with_scalars(dim2, repaired).select("input_type_id", "input_type_name", "repaired")
 
 
 @query("j04_join_star_inner", oracle(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
-from tidemark.functions.expr import round_sql
+from tidemark.functions.expr import round_sql, with_scalars
 from tidemark.operators.filters import HMS_TEXT_SQL, hms_text
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
@@ -542,7 +542,7 @@ def n12(spark, sf):
     kept = d.na.drop(subset=["Video ID"])
     a = d.agg(F.count(F.lit(1)).alias("n"))
     b = kept.agg(F.count(F.lit(1)).alias("kept"))
-    return a.crossJoin(b).select((F.col("n") - F.col("kept")).alias("dropped"), "kept")
+    return with_scalars(a, b).select((F.col("n") - F.col("kept")).alias("dropped"), "kept")
 
 
 @query("n13_cast_id", oracle(
