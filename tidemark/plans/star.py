@@ -113,9 +113,12 @@ def dim_values(detail: DataFrame) -> DataFrame:
     return v.distinct().checkpoint(eager=True)
 
 
-def dim_date(dom: Domain) -> DataFrame:
+def dim_date(dom: Domain, sizes: dict | None = None) -> DataFrame:
     m = monthly_mart(dom).select("month", "year", "month_number").checkpoint(eager=True)
-    d = dense_ids_checked(m, ["year", "month_number"], "date_id")
+    n = m.count()  # one row per month: a small count over the checkpointed months
+    if sizes is not None:
+        sizes["dim_date"] = n
+    d = dense_ids_checked(m, ["year", "month_number"], "date_id", n=n)
     return d.select("date_id", "month", "year", "month_number", quarter_of_month("month_number").alias("quarter"))
 
 
@@ -148,13 +151,13 @@ class Star:
     def dim(self, name: str) -> DataFrame:
         if name not in self._dims:
             if name == "dim_date":
-                self._dims[name] = dim_date(self.dom)
+                self._dims[name] = dim_date(self.dom, self._sizes)
             else:
                 if self._values is None:
                     self._values = dim_values(self.detail)
                     # member count of every dimension in one small job over the checkpointed members
-                    self._sizes = {r["dim"]: int(r["n"]) for r in
-                                   self._values.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+                    self._sizes.update({r["dim"]: int(r["n"]) for r in
+                                        self._values.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()})
                 _, col, id_col = DIM_SOURCES[name]
                 vals = self._values.where(F.col("dim") == name).select(F.col("value").alias(col))
                 d = dense_ids_checked(vals, [col], id_col, n=self._sizes.get(name, 0)).select(id_col, col)
@@ -163,8 +166,14 @@ class Star:
                 self._dims[name] = d
         return self._dims[name]
 
-    def fact(self, apportioned: bool = True) -> DataFrame:
-        """E04 + J03: per-clip fact, QA removed, surrogate keys attached by four left joins."""
+    def fact(self, apportioned: bool = True, keys=None) -> DataFrame:
+        """E04 + J03: per-clip fact, QA removed, surrogate keys attached by left joins.
+
+        ``keys`` names the surrogate-key columns the caller reads (default: all five). Only
+        their dimensions are built and joined: Catalyst cannot drop an unused left join by
+        itself (it does not know the dimension keys are unique). Without ``apportioned`` the
+        minute columns are 0.0 and the per-user totals are not computed at all."""
+        keys = set(FACT_KEYS if keys is None else keys) | ({"user_id"} if apportioned else set())
         f = self.detail.where(~qa_exact_mask("uploaded_by"))
         pub = F.col("is_published").cast("int")
         f = f.select(
@@ -175,25 +184,34 @@ class Star:
             (pub * F.lit(100.0)).alias("publish_rate"), F.lit(1.0).alias("multiplication_ratio"),
             (F.lit(1) - pub).cast("bigint").alias("unpublished_gap"),
         )
-        u = self.dim("dim_user").select("user_id", F.col("user_name").alias("uploaded_by"))
-        it = self.dim("dim_input_type").select("input_type_id", F.col("input_type_name").alias("input_type"))
-        pl = self.dim("dim_platform").select("platform_id", F.col("platform_name").alias("published_platform"))
-        tm = self.dim("dim_team").select("team_id", "team_name")
-        dt = self.dim("dim_date").select("date_id", "month")
-        # Bounded dims broadcast; dim_user is left to AQE (grows with the data).
-        f = (f.join(u, "uploaded_by", "left")
-             .join(F.broadcast(it), "input_type", "left")
-             .join(F.broadcast(pl), "published_platform", "left")
-             .join(F.broadcast(tm), "team_name", "left")
-             .join(F.broadcast(dt), "month", "left"))
+        # dim_user grows with the data: left to AQE (broadcast only when measured small, else
+        # sort-merge on the name). The other members are few; each is broadcast behind its
+        # measured member count (dim_date: one row per month of the data).
+        for key in FACT_KEYS:
+            if key not in keys:
+                continue
+            dim, on, name_col = FACT_KEY_DIMS[key]
+            d = self.dim(dim).select(key, F.col(name_col).alias(on))
+            if dim != "dim_user":
+                d = maybe_broadcast(d, self._sizes.get(dim))
+            f = f.join(d, on, "left")
         if apportioned:
             # one share row per user: bounded by the measured dim_user size
             f = apportion(f, marts_for(self.dom, "users"), n_users=self._sizes["dim_user"])
         else:
             f = f.withColumns({"uploaded_mins": F.lit(0.0), "created_mins": F.lit(0.0), "published_mins": F.lit(0.0)})
-        return f.select(*FACT_COLS)
+        return f.select(*[c for c in FACT_COLS if c not in FACT_KEYS or c in keys])
 
 
+# surrogate key -> (dimension, fact natural-key column, dimension name column)
+FACT_KEY_DIMS = {
+    "user_id": ("dim_user", "uploaded_by", "user_name"),
+    "input_type_id": ("dim_input_type", "input_type", "input_type_name"),
+    "platform_id": ("dim_platform", "published_platform", "platform_name"),
+    "team_id": ("dim_team", "team_name", "team_name"),
+    "date_id": ("dim_date", "month", "month"),
+}
+FACT_KEYS = list(FACT_KEY_DIMS)
 FACT_COLS = ["video_id", "headline", "user_id", "input_type_id", "platform_id", "team_id", "date_id", "uploaded_count",
              "created_count", "published_count", "uploaded_mins", "created_mins", "published_mins", "is_published",
              "published_url", "publish_rate", "multiplication_ratio", "unpublished_gap"]
