@@ -189,11 +189,13 @@ def fuzzy_match(tokens: DataFrame, catalogue: DataFrame, low: float = LOW, high:
     # lengths a catalogue value may have to reach the threshold with this token (exact bound)
     t = t.select("token", F.explode(_length_window(F.col("tl"), low)).alias("vl"))
     v = catalogue.select("label", "value", F.lower("value").alias("v")).withColumn("vl", F.length("v"))
-    # The catalogue (dimension members) is broadcast when its measured size is under the bound,
+    # The catalogue (dimension members, one row each) is materialised once in the shared
+    # checkpoint folder and measured there; it is broadcast when that count is under the bound,
     # so the length join is a map-side lookup; a larger catalogue is shuffled on length and AQE
     # splits skewed length buckets.
     from tidemark.operators.joins import BROADCAST_ROW_BOUND, maybe_broadcast
 
+    v = v.checkpoint(eager=True)
     n_values = v.count()
     pairs = t.join(maybe_broadcast(v, n_values if n_values <= BROADCAST_ROW_BOUND else None), "vl").withColumn("s", sim(F.col("token"), F.col("v"))).where(F.col("s") >= low)
     from tidemark.operators.windows import top_n_per_group
