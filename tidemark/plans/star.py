@@ -316,7 +316,7 @@ def e04(spark, sf):
 @query("j03_join_fact_dims_left", oracle(
     "SELECT input_type_id, platform_id, team_id, CAST(COUNT(*) AS BIGINT) AS n FROM fact_video GROUP BY ALL", "fact_video"))
 def j03(spark, sf):
-    f = Star(D(spark, sf)).fact(apportioned=False)
+    f = Star(D(spark, sf)).fact(apportioned=False, keys=["input_type_id", "platform_id", "team_id"])
     return f.groupBy("input_type_id", "platform_id", "team_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -327,7 +327,7 @@ def j03(spark, sf):
 def e06(spark, sf):
     # Per-row shares are 4-dp values: report the share per user (sums of rounded doubles
     # depend on summation order and are not a stable result).
-    f = Star(D(spark, sf)).fact()
+    f = Star(D(spark, sf)).fact(keys=["user_id"])
     return f.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("uploaded_mins").alias("uploaded_share"),
                                     F.max("created_mins").alias("created_share"), F.max("published_mins").alias("published_share"),
                                     F.count_if(F.col("published_mins") > 0).alias("published_rows"))
@@ -373,7 +373,7 @@ def e05(spark, sf):
  WHERE f.is_published GROUP BY 1, 2""", "fact_video", "dim_user", "dim_platform"))
 def j04(spark, sf):
     s = Star(D(spark, sf))
-    f = s.fact(apportioned=False).where(F.col("is_published"))
+    f = s.fact(apportioned=False, keys=["user_id", "platform_id"]).where(F.col("is_published"))
     return (f.join(s.dim("dim_user"), "user_id").join(F.broadcast(s.dim("dim_platform")), "platform_id")
             .groupBy("user_name", "platform_name").agg(F.count(F.lit(1)).alias("published")))
 
@@ -397,7 +397,7 @@ def j11(spark, sf):
 def m23(spark, sf):
     from tidemark.functions.expr import safe_ratio_pct
 
-    f = Star(D(spark, sf)).fact()
+    f = Star(D(spark, sf)).fact(keys=["user_id"])
     g = f.agg(F.count(F.lit(1)).alias("total_uploads"), F.sum("created_count").cast("bigint").alias("total_created"),
               F.sum("published_count").cast("bigint").alias("total_published"),
               round_half_up(F.sum("created_mins"), 2).alias("created_mins"), round_half_up(F.sum("published_mins"), 2).alias("published_mins"),
