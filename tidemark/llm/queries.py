@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, near_dup
+from tidemark.llm import decontaminate, near_dup, quality
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_minhash_near_dup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    graded = quality.grade_documents(docs.select("doc_id", "text"), quality.train(docs, labels))
+    return graded.selectExpr("doc_id", "tm_grade AS expected_grade", "tm_tail AS p_clean", "tm_keep AS kept")
