@@ -23,16 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tidemark.llm.common import ALNUM, HASHER, NOT_SPACE, U64, Words, mix, slices, utf8
 
 BITS = 20
 SAMPLE = 16000
-EPOCHS = 12
-L2 = 2e-5
-MIN_TAIL = 0.5
+EPOCHS = 5
+L1, L2, RATE = 16.0, 1.0, 0.2
+MIN_TAIL = 0.7
 PREFIXES = (None, 4)  # whole words, and their first bytes
-LEAST_SEEN = 3  # documents of the sample a bucket must occur in to carry a weight
+LEAST_SEEN = 10  # documents of the sample a bucket must occur in to carry a weight
 
 # Kinds of bytes: upper case, other letters, digits; the rest stand for themselves.
 _KIND = np.array([0x41 if 65 <= b <= 90 else 0x61 if 97 <= b <= 122 or b >= 0x80 else 0x30 if 48 <= b <= 57 else b
@@ -169,11 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(np.frombuffer(r.x, np.int32), r.grade) for r in sorted(found, key=lambda r: (r.grade, bytes(r.x)))])
 
 
-def _score(shared, text_at: int, least_tail: float):
+def _score(shared, least_tail: float):
     def score(batches):
         model = shared.value if shared is not None else None
         for b in batches:
-            blobs = utf8(b.column(text_at).to_pylist())
+            blobs = utf8(b.column(1).to_pylist())
             if model is None:
                 grade = tail = pa.nulls(len(blobs), pa.float64())
                 keep = pa.array([True] * len(blobs))
@@ -181,19 +182,23 @@ def _score(shared, text_at: int, least_tail: float):
                 e, t = model.grades(*features(blobs))
                 grade, tail = pa.array(e), pa.array(t)
                 keep = pa.array((t >= least_tail) & np.array([bool(x.strip()) for x in blobs], bool))
-            yield pa.RecordBatch.from_arrays([*b.columns, grade, tail, keep], names=[*b.schema.names, "tm_grade", "tm_tail", "tm_keep"])
+            yield pa.RecordBatch.from_arrays([b.column(0), grade, tail, keep], names=["row", "grade", "tail", "keep"])
 
     return score
 
 
-def grade_documents(docs: DataFrame, model: Model | None, text_col: str = "text", least_tail: float = MIN_TAIL) -> DataFrame:
-    """All columns of ``docs`` plus tm_grade, tm_tail and tm_keep."""
-    shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
-    schema = docs.schema.add("tm_grade", "double").add("tm_tail", "double").add("tm_keep", "boolean")
-    return docs.mapInArrow(_score(shared, docs.columns.index(text_col), least_tail), schema)
+def grade_documents(rows: DataFrame, model: Model | None, least_tail: float = MIN_TAIL) -> DataFrame:
+    """``rows`` has two columns: any value to carry along, and the text. Returns row (that
+    value), grade (expected), tail (P(grade >= 2)) and keep."""
+    shared = rows.sparkSession.sparkContext.broadcast(model) if model is not None else None
+    schema = StructType([StructField("row", rows.schema[0].dataType), StructField("grade", DoubleType()),
+                         StructField("tail", DoubleType()), StructField("keep", BooleanType())])
+    return rows.mapInArrow(_score(shared, least_tail), schema)
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, least_tail: float = MIN_TAIL) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, columns unchanged."""
-    model = train(docs, labels)
-    return grade_documents(docs, model, least_tail=least_tail).where("tm_keep").select(*docs.columns)
+def select_quality(docs: DataFrame, labels: DataFrame, text_col: str = "text", least_tail: float = MIN_TAIL) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, columns unchanged (they travel as one
+    struct, so no name can clash)."""
+    model = train(docs, labels, text_col=text_col)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    return grade_documents(rows, model, least_tail).where("keep").select("row.*")

@@ -38,4 +38,4 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     graded = quality.grade_documents(docs.select("doc_id", "text"), quality.train(docs, labels))
-    return graded.selectExpr("doc_id", "tm_grade AS expected_grade", "tm_tail AS p_clean", "tm_keep AS kept")
+    return graded.selectExpr("row AS doc_id", "grade AS expected_grade", "tail AS p_clean", "keep AS kept")
