@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, near_dup, quality
+from tidemark.llm import decontaminate, near_dup, pii, quality
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(key: str, oracle: str | None = None):
     return deco
 
 
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("row.doc_id", "text", "n_entities")
+
+
 @query("op2_benchmark_decontamination", decontaminate.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
