@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, near_dup, packing, pii, quality
+from tidemark.llm import chat, decontaminate, near_dup, packing, pii, quality, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(key: str, oracle: str | None = None):
     return deco
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op1_pii_surrogates")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -35,15 +41,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
+@query("op3_warc_dictionary", warc.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_minhash_near_dup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+@query("op5_chat_formatting", chat.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
+    return chat.chat_round_trip(rows.unionByName(probe), tokenizer_path())
 
 
 @query("op7_best_fit_packing")
