@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, near_dup, packing, pii, quality, warc
+from tidemark.llm import ann, chat, decontaminate, html_text, near_dup, packing, pii, quality, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_round_trip(rows.unionByName(probe), tokenizer_path())
 
 
+@query("op6_site_style_tree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -69,3 +74,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     graded = quality.grade_documents(docs.select("doc_id", "text"), quality.train(docs, labels))
     return graded.selectExpr("row AS doc_id", "grade AS expected_grade", "tail AS p_clean", "keep AS kept")
+
+
+@query("op10_rp_forest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
