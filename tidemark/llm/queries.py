@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, chat, decontaminate, html_text, near_dup, packing, pii, quality, warc
+from tidemark.llm import ann, chat, decontaminate, html_text, near_dup, packing, pii, quality, suffix_dedup, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.selectExpr("row AS doc_id", "grade AS expected_grade", "tail AS p_clean", "keep AS kept")
 
 
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op10_rp_forest_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
