@@ -22,14 +22,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8); rows without id stay."""
     found = near_dup.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long") == found["dropped_id"], "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     found = found.select(F.col("doc_id").alias("leaky_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("leaky_id"), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long") == found["leaky_id"], "left_anti")
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

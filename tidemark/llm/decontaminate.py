@@ -58,8 +58,9 @@ def _automaton(patterns):
     a = ahocorasick.Automaton()
     for text, n, items in patterns:
         a.add_word(f" {text.decode('latin-1')} ", (n, items))
-    a.make_automaton()
-    return a
+    if patterns:
+        a.make_automaton()
+    return a if patterns else None
 
 
 def _spans(blob: bytes, hit: np.ndarray) -> list[dict]:
@@ -83,7 +84,7 @@ def _scan(shared, last: bool):
                 text = b" " + normalise(blob) + b" "
                 space = None
                 found, own = ranges[k] or [], set(items[k] or [])
-                for end, (n, which) in automaton.iter(text.decode("latin-1")):
+                for end, (n, which) in automaton.iter(text.decode("latin-1")) if automaton else ():
                     if space is None:
                         space = np.cumsum(np.frombuffer(text, np.uint8) == 0x20)
                     stop = int(space[end]) - 1

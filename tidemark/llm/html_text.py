@@ -10,8 +10,8 @@ path of elements with their classes; a page adds to each of its nodes its style
 of child nodes) and its content (the hash of its text there). A node's importance is the
 entropy of its styles and of its contents over the host's pages, to the base of their number:
 what looks and reads the same everywhere scores near 0. Inner nodes weigh in their children
-(with ``GAMMA`` per style, as a deviation from the template already counts). Branches below
-``LEAST`` are removed from each page. Counting is a grouped sum by (host, node, style or
+(with ``GAMMA`` per style, as a deviation from the template already counts). Branches that
+score below ``LEAST`` in all their nodes are removed from each page. Counting is a grouped sum by (host, node, style or
 content), combined map-side, so a host with a third of all pages is no group in one task; only
 the merged tree of a host (nodes, not pages) is handled together. Pages of equal html count
 once, and hosts with fewer than ``MIN_PAGES`` different pages keep all branches.
@@ -234,21 +234,23 @@ def importance(tree: dict[int, tuple[int, float, float | None, int]]) -> dict[in
     return out
 
 
+def noisy(tree: dict, score: dict[int, float]) -> set[int]:
+    """Nodes that score below LEAST with all nodes below them."""
+    bad = {n for n, s in score.items() if s < LEAST}
+    for node in tree:
+        if node not in bad:
+            # An important node keeps all above it.
+            at = tree[node][0]
+            while at in bad:
+                bad.discard(at)
+                at = tree[at][0]
+    return bad
+
+
 def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
     tree = {r.node: (r.parent, r.style, None if math.isnan(r.content) else r.content, r.styles) for r in pdf.itertuples()}
-    score = importance(tree)
-    gone = {n for n, s in score.items() if s < LEAST}
-    rows = []
-    for node in tree:
-        at, steps = node, 0
-        while at in tree and steps < 256:
-            if at in gone:
-                rows.append((pdf["host"].iloc[0], node))
-                break
-            if tree[at][0] == at:
-                break
-            at, steps = tree[at][0], steps + 1
-    return pd.DataFrame(rows, columns=["host", "node"])
+    gone = noisy(tree, importance(tree))
+    return pd.DataFrame([(pdf["host"].iloc[0], n) for n in gone], columns=["host", "node"])
 
 
 def _entropy(rows: DataFrame, value: str) -> DataFrame:

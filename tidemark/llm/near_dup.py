@@ -13,7 +13,7 @@
    block are confirmed on their full shingle sets, in integers.
 4. Confirmed links (a spanning forest a block pair) give the components.
 
-Chance that a pair exactly at 0.85 shares no bucket: (1 - 0.85^8)^36 = 1e-5, and it is
+Chance that a pair shares no bucket: (1 - 0.85^7)^40 = 2e-7 exactly at 0.85, 8e-5 at 0.8; it is
 usually still found, since whole clusters are compared, not buckets. Spelling of a word: any
 run of bytes but ASCII white space, A-Z lower-cased. Null, empty or blank text: empty set,
 linked with nothing. Rows with a null id get a null component and are kept. Rows that share
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import HASHER, NOT_SPACE, U64, Words, connected_components, materialise, mix, slices, utf8
 
 K = 5
-BANDS, ROWS = 36, 8
+BANDS, ROWS = 40, 7
 BATCH = 32  # signature values compared at a time
 MISS = 1e-6
 BLOCK_ROWS = 1024

@@ -28,10 +28,10 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from tidemark.llm.common import ALNUM, HASHER, NOT_SPACE, U64, Words, mix, slices, utf8
 
 BITS = 20
-SAMPLE = 16000
-EPOCHS = 5
-L1, L2, RATE = 16.0, 1.0, 0.2
-MIN_TAIL = 0.7
+SAMPLE = 24000
+EPOCHS = 8
+L1, L2, RATE = 16.0, 0.1, 0.2
+MIN_TAIL = 0.65
 PREFIXES = (None, 4)  # whole words, and their first bytes
 LEAST_SEEN = 10  # documents of the sample a bucket must occur in to carry a weight
 
