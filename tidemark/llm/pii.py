@@ -51,7 +51,7 @@ SYLLABLES = {
     "greek": "βαλ γαρ δαμ ζαν θαλ καλ κορ λαμ μαρ νικ παλ ροδ σαβ σολ ταρ φιλ",
 }
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
 SECRET = rf"\b{SECRET_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.\-]{{6,}}"
 ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{20,}"
@@ -63,13 +63,27 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = (r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
          r"|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _NAME_WORD = r"\p{Lu}[\p{L}'’-]+"
-NAME = (rf"\b(?:{'|'.join(TITLES.split())})\.? {_NAME_WORD}(?: {_NAME_WORD})?"
-        rf"|(?<!\p{{L}})(?:{'|'.join(n for v in GIVEN.values() for n in v.split())}) {_NAME_WORD}")
+
+
+def _one_of(words: list[str]) -> str:
+    """Any of the words, not inside another. The first letter is matched as one class and only
+    then looked back at, so all other positions of a text fail at once."""
+    first: dict[str, list[str]] = {}
+    for w in sorted(words):
+        first.setdefault(w[0], []).append(w[1:])
+    letters = "[A-ZΑ-ΩА-Я]"  # ranges: a list of single letters is many times slower
+    return rf"{letters}(?<!\p{{L}}{letters})(?:{'|'.join(f'(?<={c})(?:{"|".join(rest)})' for c, rest in first.items())})"
+
+
+_GIVEN = _one_of([n for v in GIVEN.values() for n in v.split()])
+_TITLE = _one_of(TITLES.split())
+NAME = rf"{_TITLE}\.? {_NAME_WORD}(?: {_NAME_WORD})?|{_GIVEN} {_NAME_WORD}"
 # In order of precedence; the first that matches a whole mention names its kind.
 PATTERNS = {"email": EMAIL, "secret": SECRET, "key": ACCESS_KEY, "ip": IP, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-# Every mention holds one of these; cheap to test before the patterns.
-HINT = r"[0-9@]|(?i:password|passwd|pwd|secret|token|key)|" + rf"\b(?:{'|'.join(TITLES.split())})\b|" + "|".join(n for v in GIVEN.values() for n in v.split())
+# Every mention holds a digit, one of these signs (addresses, assignments) or a name; cheap to
+# test before the patterns.
+HINT = rf"[0-9@=:]|A[KS]IA|gh[pousr]_|sk-|{_one_of(TITLES.split() + [n for v in GIVEN.values() for n in v.split()])}"
 
 
 def _rotation(key: str) -> dict[str, str]:
@@ -130,19 +144,23 @@ def _place(surface: Column, digits: Column) -> Column:
     return F.array_join(F.transform(_chars(surface), one), "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value worked out once (Spark repeats an expression wherever it is used,
+    inside a lambda for each element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _number(n: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: (_byte(stream, i) % 10).cast("string")), "")
 
 
 def _luhn(body: Column) -> Column:
     """Check digit of a card number given without it."""
-    n = F.length(body)
-
-    def one(i):
-        d = F.substring(body, n - i, F.lit(1)).cast("int")
+    def one(c, i):
+        d = c.cast("int")
         return F.when(i % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)
 
-    total = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), one), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate(F.transform(F.reverse(_chars(body)), one), F.lit(0), lambda a, x: a + x)
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
@@ -179,24 +197,31 @@ def _email(core: Column, stream: Column) -> Column:
 def surrogate(kind: Column, core: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """The replacement of a mention's core; depends on the canonical form and the attempt only,
     but for the letters' case and the punctuation."""
-    stream = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")), 512)
-    digits = _digits(canonical)
-    n = F.length(digits)
-    head = F.when(~canonical.startswith("+"), 0).when(F.substring(digits, 1, 1).isin("1", "7"), 1).otherwise(2)
-    random = _number(n, stream)
-    lead = (_byte(stream, F.lit(60)) % 8 + 2).cast("string")
-    phone = F.concat(F.substring(digits, F.lit(1), head), lead, F.substring(random, head + 2, n))
-    body = F.concat(F.substring(digits, 1, 1), F.substring(random, F.lit(2), n - 2))
-    return (F.when(kind == "email", _email(core, stream))
-            .when(kind == "ip", _ip(core, stream))
-            .when(kind == "phone", _place(core, phone))
-            .when(kind == "card", _place(core, F.concat(body, _luhn(body))))
-            .when(kind == "ssn", _place(core, random))
-            .when(kind == "iban", F.concat(F.substring(core, 1, 2), _place(F.substring(core, F.lit(3), F.length(core)), _number(F.lit(40), stream))))
-            .when(kind == "key", F.concat(F.regexp_extract(core, "^(AKIA|ASIA|gh[pousr]_|sk-)", 1),
-                                          _shape(F.regexp_replace(core, "^(AKIA|ASIA|gh[pousr]_|sk-)", ""), stream, F.lit(False))))
-            .when(kind == "surname", _surname(core, stream))
-            .otherwise(_shape(core, stream, core.rlike("^[0-9a-f]+$"))))
+    source = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")), 512)
+    head = F.when(~canonical.startswith("+"), 0).when(F.substring(_digits(canonical), 1, 1).isin("1", "7"), 1).otherwise(2)
+
+    def phone(stream, digits):
+        lead = (_byte(stream, F.lit(60)) % 8 + 2).cast("string")
+        return F.concat(F.substring(digits, F.lit(1), head), lead, F.substring(_number(F.length(digits), stream), head + 2, F.length(digits)))
+
+    def card(stream, digits):
+        body = F.concat(F.substring(digits, 1, 1), _number(F.length(digits) - 2, stream))
+        return _let(body, lambda x: F.concat(x, _luhn(x)))
+
+    def placed(digits, surface=core):
+        return _let(digits, lambda d: _place(surface, d))
+
+    fixed = "^(AKIA|ASIA|gh[pousr]_|sk-)"
+    return _let(source, lambda stream: (
+        F.when(kind == "email", _email(core, stream))
+        .when(kind == "ip", _ip(core, stream))
+        .when(kind == "phone", placed(phone(stream, _digits(canonical))))
+        .when(kind == "card", placed(card(stream, canonical)))
+        .when(kind == "ssn", placed(_number(F.lit(9), stream)))
+        .when(kind == "iban", F.concat(F.substring(core, 1, 2), placed(_number(F.lit(40), stream), F.substring(core, F.lit(3), F.length(core)))))
+        .when(kind == "key", F.concat(F.regexp_extract(core, fixed, 1), _shape(F.regexp_replace(core, fixed, ""), stream, F.lit(False))))
+        .when(kind == "surname", _surname(core, stream))
+        .otherwise(_let(core.rlike("^[0-9a-f]+$"), lambda hexes: _shape(core, stream, hexes)))))
 
 
 def _mentions(text: Column) -> Column:
@@ -266,19 +291,20 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     """``docs`` as one struct column ``row``, the new ``text`` and ``n_entities``."""
     given = _given(key)
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    hit = F.col("text").rlike(HINT)
-    mentions = rows.where(hit).select("text", F.explode(_mentions(F.col("text"))).alias("m"))
-    pairs = mentions.select(F.explode(_entities(F.col("m"), given)).alias("e"))
-    entities = materialise(pairs.select("e.*").distinct(), "entities")
+    rows = rows.withColumn("hit", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
+    digest = F.when(F.col("hit"), F.sha2("text", 256))
+    # One pass: which entities each text (by digest) holds.
+    mentions = rows.where("hit").select(digest.alias("digest"), F.explode(_mentions(F.col("text"))).alias("m"))
+    holds = materialise(mentions.select("digest", F.explode(_entities(F.col("m"), given)).alias("e")).select("digest", "e.*"), "mentions")
+    entities = materialise(holds.select("kind", "canonical").distinct(), "entities")
     redone = materialise(settle(entities, key).where("attempt > 0"), "rekeyed")
-    # Only texts that hold a re-keyed entity (looked up by digest) get a map of attempts.
-    holds = mentions.select(F.sha2("text", 256).alias("digest"), F.explode(_entities(F.col("m"), given)).alias("e"))
-    holds = holds.select("digest", "e.*").join(redone, ["kind", "canonical"]).distinct()
-    patches = materialise(holds.groupBy("digest").agg(F.map_from_entries(F.collect_list(
+    # Only texts that hold a re-keyed entity get a map of attempts.
+    again = holds.join(redone, ["kind", "canonical"]).distinct()
+    patches = materialise(again.groupBy("digest").agg(F.map_from_entries(F.collect_list(
         F.struct(F.concat_ws("|", "kind", "canonical"), "attempt"))).alias("attempts")), "patches")
-    rows = rows.withColumn("digest", F.when(hit, F.sha2("text", 256))).join(patches, "digest", "left")
+    rows = rows.withColumn("digest", digest).join(patches, "digest", "left")
     attempts = F.coalesce("attempts", F.create_map().cast("map<string,int>"))
-    found = rows.withColumn("found", F.when(hit, _mentions(F.col("text"))).otherwise(F.array().cast(
+    found = rows.withColumn("found", F.when(F.col("hit"), _mentions(F.col("text"))).otherwise(F.array().cast(
         "array<struct<kind:string,mention:string,prefix:string,core:string,canonical:string>>")))
     made = F.transform("found", lambda m: _replacement(m, given, attempts, key))
     whole = F.array_join(F.flatten(F.zip_with(F.split("text", ANY, -1), F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
