@@ -21,11 +21,11 @@ def test_with_scalars_rejects_more_than_one_row(spark):
         with_scalars(df, df.select(F.col("k").alias("x"))).collect()
 
 
-def test_spread_table_keeps_every_row(spark, monkeypatch):
-    sf = SF_SMALL
-    plain = spark.read.parquet(tables.table_path(sf, "lineitem"))
-    monkeypatch.setattr(tables, "SPREAD_MIN_BYTES", 1)  # force the spread on the small file
-    monkeypatch.setattr(tables, "_RELATIONS", {})
-    spread = tables.read_table(spark, sf, "lineitem")
-    assert spread.count() == plain.count()
-    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+def test_read_table_sees_appended_files(spark, tmp_path):
+    from tidemark.sources import tables
+
+    path = str(tmp_path / "events.parquet")
+    spark.range(10).write.parquet(path)
+    assert tables.read_table(spark, str(tmp_path), "events").count() == 10
+    spark.range(10).write.mode("append").parquet(path)
+    assert tables.read_table(spark, str(tmp_path), "events").count() == 20
\ No newline at end of file

@@ -1,10 +1,8 @@
 """Joins (survey §2.5, J01–J12). Only equi-joins occur.
 
-Broadcast policy: a side is broadcast only when its size is bounded by construction
-(one row per month, per dimension member, per literal in a list) or measured under
-``spark.sql.autoBroadcastJoinThreshold`` by AQE at runtime; otherwise the join shuffles on
-its key (sort-merge). ``maybe_broadcast`` applies the explicit hint only behind a checked
-bound.
+Broadcast policy: no hints. A side is broadcast when the planner or AQE measures it under
+``spark.sql.autoBroadcastJoinThreshold`` bytes; otherwise the join shuffles on its key
+(sort-merge).
 """
 
 from __future__ import annotations
@@ -17,21 +15,10 @@ from tidemark.plans.marts import marts_for, monthly_mart, publishing_long
 from tidemark.registry import query
 from tidemark.sources.domain import Domain, oracle
 
-# Largest side we hint as broadcast without AQE's measurement (rows of a small dimension).
-BROADCAST_ROW_BOUND = 1_000_000
-
-
 def D(spark, sf):
     return Domain(spark, sf)
 
 
-def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
-    """Broadcast hint only when the caller proves a row bound below the limit."""
-    if row_bound is not None and row_bound <= BROADCAST_ROW_BOUND:
-        return F.broadcast(df)
-    return df
-
-
 def _monthly_counts(dom):
     return monthly_mart(dom).select("month", "uploaded_count", "created_count", "published_count")
 
@@ -52,8 +39,7 @@ _MDUR_SQL = """SELECT month, CAST(SUM(created_secs) AS BIGINT) AS created_secs,
   FROM mart_monthly m LEFT JOIN d ON m.month = d.month""", "mart_monthly", "clips", extra=[("d", _MDUR_SQL)]))
 def j01(spark, sf):
     dom = D(spark, sf)
-    # Both sides have one row per month (bounded): broadcasting the duration side is safe.
-    return _monthly_counts(dom).join(maybe_broadcast(_monthly_durations(dom), 12 * 200), "month", "left")
+    return _monthly_counts(dom).join(_monthly_durations(dom), "month", "left")
 
 
 @query("j02_join_composite_left", oracle(
@@ -140,7 +126,7 @@ def j09(spark, sf):
     m = marts_for(D(spark, sf), "users")
     # A literal list is bounded: semi-join against a broadcast list DataFrame.
     lst = spark.createDataFrame([(u,) for u in SEMI_USERS], "user_name string")
-    return m.join(maybe_broadcast(lst, len(SEMI_USERS)), "user_name", "left_semi").select("user_name", "created_count")
+    return m.join(lst, "user_name", "left_semi").select("user_name", "created_count")
 
 
 @query("j10_scalar_subquery_row", oracle(

@@ -142,18 +142,18 @@ def ordered_dedup(lists: list[DataFrame], value: str) -> DataFrame:
     """Concatenate ranked lists (each with a ``pos`` column), keep the first position per value."""
     tagged = None
     for i, df in enumerate(lists):
-        t = df.select(F.col(value), (F.lit(i) * 1_000_000 + F.col("pos")).alias("gpos"))
+        t = df.select(F.col(value), F.struct(F.lit(i).alias("list"), F.col("pos").cast("bigint").alias("pos")).alias("gpos"))
         tagged = t if tagged is None else tagged.unionByName(t)
-    return tagged.groupBy(value).agg(F.min("gpos").alias("gpos")).orderBy("gpos").select(value, "gpos")
+    return tagged.groupBy(value).agg(F.min("gpos").alias("gpos")).select(value, "gpos.list", "gpos.pos").orderBy("list", "pos")
 
 
 @query("u06_ordered_dedup", oracle(
     """WITH a AS (SELECT user_name, ROW_NUMBER() OVER (ORDER BY created_count DESC, user_name) AS pos FROM mart_users),
  b AS (SELECT user_name, ROW_NUMBER() OVER (ORDER BY published_count DESC, user_name) AS pos FROM mart_users),
  c AS (SELECT user_name, ROW_NUMBER() OVER (ORDER BY uploaded_count DESC, user_name) AS pos FROM mart_users),
- t AS (SELECT user_name, pos AS gpos FROM a WHERE pos <= 5 UNION ALL SELECT user_name, 1000000 + pos FROM b WHERE pos <= 5
-       UNION ALL SELECT user_name, 2000000 + pos FROM c WHERE pos <= 5)
-SELECT user_name, MIN(gpos) AS gpos FROM t GROUP BY user_name""", "mart_users"))
+ t AS (SELECT user_name, 0 AS list, pos FROM a WHERE pos <= 5 UNION ALL SELECT user_name, 1, pos FROM b WHERE pos <= 5
+       UNION ALL SELECT user_name, 2, pos FROM c WHERE pos <= 5)
+SELECT user_name, CAST(MIN(list) AS INTEGER) AS list, arg_min(pos, list) AS pos FROM t GROUP BY user_name""", "mart_users"))
 def u06(spark, sf):
     m = marts_for(D(spark, sf), "users")
     lists = []
@@ -161,7 +161,7 @@ def u06(spark, sf):
         top = m.orderBy(F.col(c).desc(), "user_name").limit(5).select("user_name", c)
         # Positions 1..5: a window over the bounded (5-row) top-k, in the same order.
         lists.append(top.withColumn("pos", F.row_number().over(Window.orderBy(F.col(c).desc(), "user_name"))))
-    return ordered_dedup(lists, "user_name").withColumn("gpos", F.col("gpos").cast("bigint"))
+    return ordered_dedup(lists, "user_name")
 
 
 REQUIRED = {"clips": ["video_id", "user_name", "input_type", "published_url", "uploaded_by"]}

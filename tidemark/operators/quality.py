@@ -103,7 +103,7 @@ def _rows_spark(one: DataFrame, block: Block) -> DataFrame:
         pct = f"CASE WHEN {d} = 0 THEN 0.0D ELSE CAST(floor({c} * 100.0D / {d} * 10.0D + 0.5D) / 10.0D AS DOUBLE) END"
         structs.append(
             f"named_struct('name', {_q(ch.name)}, 'status', {_status(ch.rule, c, d, ch.param)}, "
-            f"'message', format_string('%d of %d', {c}, {d}), 'count', CAST({c} AS INT), 'pct', {pct}, "
+            f"'message', format_string('%d of %d', {c}, {d}), 'count', CAST({c} AS BIGINT), 'pct', {pct}, "
             f"'field', {_q(ch.field)}, 'tbl', {_q(block.tbl)})")
     return one.select(F.expr(f"inline(array({', '.join(structs)}))"))
 
@@ -118,7 +118,7 @@ def _rows_sql(block: Block, alias: str) -> str:
         c, d = f"CAST({alias}.{ch.cnt} AS BIGINT)", f"CAST({alias}.{ch.den} AS BIGINT)"
         parts.append(
             f"SELECT '{ch.name}' AS name, {_status_sql(ch.rule, c, d, ch.param)} AS status, printf('%d of %d', {c}, {d}) AS message, "
-            f"CAST({c} AS INTEGER) AS count, CASE WHEN {d} = 0 THEN 0.0 ELSE {round_sql(f'{c} * 100.0 / {d}', 1)} END AS pct, "
+            f"CAST({c} AS BIGINT) AS count, CASE WHEN {d} = 0 THEN 0.0 ELSE {round_sql(f'{c} * 100.0 / {d}', 1)} END AS pct, "
             f"'{ch.field}' AS field, '{block.tbl}' AS tbl FROM ({block.sql}) {alias}"
         )
     return "\nUNION ALL ".join(parts)

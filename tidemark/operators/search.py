@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import round_half_up, round_sql
+from tidemark.functions.expr import round_half_up, round_sql, with_scalars
 from tidemark.registry import query
 from tidemark.sources.domain import Domain, oracle
 
@@ -189,15 +189,9 @@ def fuzzy_match(tokens: DataFrame, catalogue: DataFrame, low: float = LOW, high:
     # lengths a catalogue value may have to reach the threshold with this token (exact bound)
     t = t.select("token", F.explode(_length_window(F.col("tl"), low)).alias("vl"))
     v = catalogue.select("label", "value", F.lower("value").alias("v")).withColumn("vl", F.length("v"))
-    # The catalogue (dimension members, one row each) is materialised once in the shared
-    # checkpoint folder and measured there; it is broadcast when that count is under the bound,
-    # so the length join is a map-side lookup; a larger catalogue is shuffled on length and AQE
-    # splits skewed length buckets.
-    from tidemark.operators.joins import BROADCAST_ROW_BOUND, maybe_broadcast
-
-    v = v.checkpoint(eager=True)
-    n_values = v.count()
-    pairs = t.join(maybe_broadcast(v, n_values if n_values <= BROADCAST_ROW_BOUND else None), "vl").withColumn("s", sim(F.col("token"), F.col("v"))).where(F.col("s") >= low)
+    # AQE broadcasts the catalogue (dimension members, one row each) when it measures it small;
+    # a larger one is shuffled on length and skewed length buckets are split.
+    pairs = t.join(v, "vl").withColumn("s", sim(F.col("token"), F.col("v"))).where(F.col("s") >= low)
     from tidemark.operators.windows import top_n_per_group
 
     # two-stage (salted by value) so a token with many candidates is not ranked in one task
@@ -224,7 +218,7 @@ def v04(spark, sf):
 # ---------------------------------------------------------------------------------
 TYPES = [(0, 4), (1, 3), (2, 3)]  # (label % 3, k): tables / metrics / examples
 MIN_SIM = 0.20
-SALT = 32
+QUERY_BLOCK = 256  # query vectors scored in one pass
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -244,25 +238,24 @@ def label_centroids(vectors: DataFrame) -> DataFrame:
 def similarity_topk(vectors: DataFrame, queries: DataFrame, k_by_type=TYPES, min_sim: float = MIN_SIM) -> DataFrame:
     """Per query and type, the top-k stored vectors by cosine similarity (≥ min_sim).
 
-    The query side is broadcast only after its row count is checked against the bound; the
-    store side is scanned once and scored map-side."""
-    from tidemark.operators.joins import BROADCAST_ROW_BOUND, maybe_broadcast
-
+    The stated queries meet all rows in blocks of QUERY_BLOCK: a block is one array value
+    (a scalar subquery) scored next to each stored vector where it is read. The literal limit
+    of the first ranking lets Spark prune every task's rows before the shuffle."""
     v = vectors.select("vec_id", "label", "embedding", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("n"))
     q = queries.select("q_id", F.col("embedding").alias("q_emb"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
-    n_q = q.count()
-    q = maybe_broadcast(q, n_q if n_q <= BROADCAST_ROW_BOUND else None)
-    kmap = F.create_map(*[x for t, k in k_by_type for x in (F.lit(t), F.lit(k))])
-    s = v.crossJoin(q).select(
-        "q_id", "vec_id", F.pmod(F.col("label"), F.lit(3)).alias("type"),
-        (_dot(F.col("embedding"), F.col("q_emb")) / (F.col("n") * F.col("qn"))).alias("sim"))
-    s = s.where(F.col("sim") >= min_sim).withColumn("k", kmap[F.col("type")])
+    n_blocks = max(1, -(-q.count() // QUERY_BLOCK))
     order = [F.col("sim").desc(), "vec_id"]
-    # stage 1: top-k inside each salt bucket (exact: the global top-k is a subset of the union)
-    s1 = s.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(SALT)))
-    s1 = s1.withColumn("_r", F.row_number().over(Window.partitionBy("q_id", "type", "_b").orderBy(*order))).where(F.col("_r") <= F.col("k"))
-    s2 = s1.withColumn("rank", F.row_number().over(Window.partitionBy("q_id", "type").orderBy(*order))).where(F.col("rank") <= F.col("k"))
-    return s2.select("q_id", "type", "vec_id", round_half_up(F.col("sim"), 6).alias("similarity"), "rank")
+    most = max(k for _, k in k_by_type)
+    out = None
+    for b in range(n_blocks):
+        block = q.where(F.pmod(F.xxhash64("q_id"), F.lit(n_blocks)) == b).agg(F.collect_list(F.struct("q_id", "q_emb", "qn")).alias("_queries"))
+        scored = F.transform("_queries", lambda x: F.struct(
+            x["q_id"].alias("q_id"), (_dot(F.col("embedding"), x["q_emb"]) / (F.col("n") * x["qn"])).alias("sim")))
+        s = with_scalars(v, block).select("vec_id", F.pmod(F.col("label"), F.lit(3)).alias("type"), F.inline(F.filter(scored, lambda x: x["sim"] >= min_sim)))
+        ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("q_id", "type").orderBy(*order))).where(F.col("rank") <= most)
+        out = ranked if out is None else out.unionByName(ranked)
+    kmap = F.create_map(*[x for t, k in k_by_type for x in (F.lit(t), F.lit(k))])
+    return out.where(F.col("rank") <= kmap[F.col("type")]).select("q_id", "type", "vec_id", round_half_up(F.col("sim"), 6).alias("similarity"), "rank")
 
 
 _VEC_SQL = f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -290,12 +283,13 @@ def v05(spark, sf):
 
 @query("v06_retrieve_and_merge", oracle(
     f"""WITH t AS ({_VEC_SQL})
-SELECT q_id, vec_id, MIN(type * 100 + rank) AS pos FROM t GROUP BY q_id, vec_id"""))
+SELECT q_id, vec_id, MIN(type) AS list, arg_min(rank, type) AS pos FROM t GROUP BY q_id, vec_id"""))
 def v06(spark, sf):
     e, q = _vectors(spark, sf)
     t = similarity_topk(e, q)
     # the three typed lists concatenated in type order; a vector keeps its first position
-    return t.groupBy("q_id", "vec_id").agg(F.min(F.col("type") * 100 + F.col("rank")).alias("pos"))
+    first = t.groupBy("q_id", "vec_id").agg(F.min(F.struct("type", "rank")).alias("p"))
+    return first.select("q_id", "vec_id", F.col("p.type").alias("list"), F.col("p.rank").alias("pos"))
 
 
 UPDATED_LABELS = 5  # a new version arrives for every vector whose label is below this

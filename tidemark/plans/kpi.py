@@ -121,10 +121,9 @@ def m03(spark, sf):
        CAST(COUNT(*) FILTER (WHERE published_count > 0) AS BIGINT) AS active_channels,
        {round_sql("CAST(COUNT(*) FILTER (WHERE published_count > 0) AS DOUBLE) * 100.0 / COUNT(*)", 2)} AS active_rate,
        {round_sql("CAST(COUNT(*) FILTER (WHERE published_count = 0) AS DOUBLE) * 100.0 / COUNT(*)", 2)} AS dead_rate
-  FROM mart_channel_user""", "mart_channel_user"))
+  FROM mart_channels""", "mart_channels"))
 def m04(spark, sf):
-    # A "channel" row of the reference's channel export = one (channel, user) pair here.
-    m = marts_for(D(spark, sf), "channel_user")
+    m = marts_for(D(spark, sf), "channels")
     g = m.agg(
         F.count(F.lit(1)).alias("total_channels"),
         F.count_if(F.col("published_count") > 0).alias("active_channels"),
@@ -239,12 +238,12 @@ LANG_A, LANG_B = "AMERICA", "ASIA"
     f"""SELECT MAX(CASE WHEN language = '{LANG_A}' THEN publish_rate END) AS rate_a,
        MAX(CASE WHEN language = '{LANG_B}' THEN publish_rate END) AS rate_b,
        {round_sql(f"MAX(CASE WHEN language = '{LANG_A}' THEN publish_rate END) / NULLIF(MAX(CASE WHEN language = '{LANG_B}' THEN publish_rate END), 0)", 2)} AS a_to_b,
-       {round_sql(f"MAX(CASE WHEN language = '{LANG_A}' THEN created_mins / NULLIF(published_count, 0) END)", 2)} AS gen_cost_a,
-       {round_sql(f"MAX(CASE WHEN language = '{LANG_B}' THEN created_mins / NULLIF(published_count, 0) END)", 2)} AS gen_cost_b
+       {round_sql(f"MAX(CASE WHEN language = '{LANG_A}' THEN CAST(created_count AS DOUBLE) / NULLIF(published_count, 0) END)", 2)} AS gen_cost_a,
+       {round_sql(f"MAX(CASE WHEN language = '{LANG_B}' THEN CAST(created_count AS DOUBLE) / NULLIF(published_count, 0) END)", 2)} AS gen_cost_b
   FROM mart_languages""", "mart_languages"))
 def m11(spark, sf):
     m = marts_for(D(spark, sf), "languages")
-    cost = F.col("created_mins") / F.nullif(F.col("published_count").cast("double"), F.lit(0.0))
+    cost = F.col("created_count").cast("double") / F.nullif(F.col("published_count").cast("double"), F.lit(0.0))
 
     def pick(lang, c):
         return F.max(F.when(F.col("language") == lang, c))
@@ -644,15 +643,17 @@ def _events(spark, sf):
 @query("t01_group_by_time", oracle(
     """SELECT 'day' AS granularity, strftime(date_trunc('day', ts), '%Y-%m-%d') AS bucket, CAST(COUNT(*) AS BIGINT) AS n
   FROM events WHERE ts IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'week', strftime(date_trunc('week', ts), '%Y-%m-%d'), CAST(COUNT(*) AS BIGINT) FROM events WHERE ts IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'month', strftime(date_trunc('month', ts), '%Y-%m-%d'), CAST(COUNT(*) AS BIGINT) FROM events WHERE ts IS NOT NULL GROUP BY 2"""))
+UNION ALL SELECT 'week', strftime(date_trunc('week', ts + INTERVAL 1 DAY) - INTERVAL 1 DAY, '%Y-%m-%d'), CAST(COUNT(*) AS BIGINT) FROM events WHERE ts IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'month', strftime(date_trunc('month', ts), '%Y-%m'), CAST(COUNT(*) AS BIGINT) FROM events WHERE ts IS NOT NULL GROUP BY 2"""))
 def t01(spark, sf):
     from tidemark.functions.expr import date_bucket
 
     e = _events(spark, sf).select("ts").where(F.col("ts").isNotNull())
     # One scan, three bucket columns, one aggregation over the exploded (granularity, bucket) pairs.
     b = e.select(F.inline(F.array(*[
-        F.struct(F.lit(g).alias("granularity"), date_bucket("ts", g).alias("bucket")) for g in ("day", "week", "month")
+        F.struct(F.lit("day").alias("granularity"), date_bucket("ts", "day").alias("bucket")),
+        F.struct(F.lit("week").alias("granularity"), date_bucket("ts", "week", week_start="sunday").alias("bucket")),
+        F.struct(F.lit("month").alias("granularity"), F.date_format("ts", "yyyy-MM").alias("bucket")),
     ])))
     return b.groupBy("granularity", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
@@ -668,9 +669,8 @@ SELECT strftime(spine.day, '%Y-%m-%d') AS day, CAST(COALESCE(c.n, 0) AS BIGINT)
 def t02(spark, sf):
     e = _events(spark, sf).select(F.to_date("ts").alias("day"))
     # The spine is bounded by TRAILING_DAYS rows; counts are aggregated only for the window.
-    mx = e.agg(F.max("day").alias("d"))
-    spine = mx.select(F.explode(F.sequence(F.date_sub("d", TRAILING_DAYS - 1), F.col("d"))).alias("day"))
-    lo = mx.select(F.date_sub("d", TRAILING_DAYS - 1).alias("lo"))
-    counts = e.join(F.broadcast(lo), F.col("day") >= F.col("lo")).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    # One scan: counts per day (combined map-side); the last day is the largest of the counted days.
+    counts = e.where(F.col("day").isNotNull()).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    spine = counts.agg(F.max("day").alias("d")).select(F.explode(F.sequence(F.date_sub("d", TRAILING_DAYS - 1), F.col("d"))).alias("day"))
     return spine.join(counts, "day", "left").select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import quarter_of_month, round_half_up, round_sql, with_scalars
 from tidemark.operators.filters import qa_exact_mask
-from tidemark.operators.joins import BROADCAST_ROW_BOUND, maybe_broadcast
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
 from tidemark.sources.domain import QA_ACCOUNTS, Domain, oracle, register_oracle_view
@@ -64,11 +63,6 @@ register_oracle_view("detail_mart", DETAIL_SQL, ("clips",))
 # ---------------------------------------------------------------------------------
 # Distributed dense surrogate ids
 # ---------------------------------------------------------------------------------
-# Dimensions at or under this many members are numbered by a window over the (checkpointed,
-# deterministic) distinct values in one task; larger ones take the distributed path.
-SMALL_DIM_ROWS = 200_000
-
-
 def dense_ids(keys: DataFrame, order: list[str], id_col: str, checkpoint: bool = True) -> DataFrame:
     """Add ``id_col`` = 1-based dense rank of the (distinct) rows of ``keys`` ordered by ``order``
     (distributed: no single-partition window)."""
@@ -81,22 +75,10 @@ def dense_ids(keys: DataFrame, order: list[str], id_col: str, checkpoint: bool =
     # One row per partition: a tiny frame, the running sum is a window over it alone.
     offs = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
     offs = offs.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
-    out = d.join(F.broadcast(offs), "_pid").withColumn(id_col, (F.col("_off") + F.col("_pos") + 1).cast("int"))
+    out = d.join(offs, "_pid").withColumn(id_col, F.col("_off") + F.col("_pos") + 1)
     return out.drop("_mid", "_pid", "_pos", "_off")
 
 
-def dense_ids_checked(distinct_keys: DataFrame, order: list[str], id_col: str, n: int | None = None) -> DataFrame:
-    """W08 with a size check: a measured-small member set is ranked by one window over its
-    rows (bounded by SMALL_DIM_ROWS); anything larger uses the distributed ``dense_ids``.
-    ``distinct_keys`` must already be distinct and deterministic (checkpointed); ``n`` is its
-    row count when the caller has measured it already."""
-    if n is None:
-        n = distinct_keys.count()
-    if n <= SMALL_DIM_ROWS:
-        return distinct_keys.withColumn(id_col, F.dense_rank().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in order])).cast("int"))
-    return dense_ids(distinct_keys, order, id_col)
-
-
 DIM_SOURCES = {  # dim -> (detail column, dim value column, id column)
     "dim_user": ("uploaded_by", "user_name", "user_id"),
     "dim_input_type": ("input_type", "input_type_name", "input_type_id"),
@@ -113,25 +95,22 @@ def dim_values(detail: DataFrame) -> DataFrame:
     return v.distinct().checkpoint(eager=True)
 
 
-def dim_date(dom: Domain, sizes: dict | None = None) -> DataFrame:
+def dim_date(dom: Domain) -> DataFrame:
     m = monthly_mart(dom).select("month", "year", "month_number").checkpoint(eager=True)
-    n = m.count()  # one row per month: a small count over the checkpointed months
-    if sizes is not None:
-        sizes["dim_date"] = n
-    d = dense_ids_checked(m, ["year", "month_number"], "date_id", n=n)
+    d = dense_ids(m, ["year", "month_number"], "date_id")
     return d.select("date_id", "month", "year", "month_number", quarter_of_month("month_number").alias("quarter"))
 
 
 DIM_SQL = {
-    "dim_user": f"""SELECT CAST(DENSE_RANK() OVER (ORDER BY user_name NULLS FIRST) AS INTEGER) AS user_id, user_name,
+    "dim_user": f"""SELECT CAST(DENSE_RANK() OVER (ORDER BY user_name NULLS FIRST) AS BIGINT) AS user_id, user_name,
        COALESCE(lower(trim(user_name)) IN ({_QA_SQL}), false) AS is_qa_account FROM (SELECT DISTINCT uploaded_by AS user_name FROM detail_mart) d""",
-    "dim_input_type": """SELECT CAST(DENSE_RANK() OVER (ORDER BY input_type_name NULLS FIRST) AS INTEGER) AS input_type_id, input_type_name
+    "dim_input_type": """SELECT CAST(DENSE_RANK() OVER (ORDER BY input_type_name NULLS FIRST) AS BIGINT) AS input_type_id, input_type_name
   FROM (SELECT DISTINCT input_type AS input_type_name FROM detail_mart) d""",
-    "dim_platform": """SELECT CAST(DENSE_RANK() OVER (ORDER BY platform_name NULLS FIRST) AS INTEGER) AS platform_id, platform_name
+    "dim_platform": """SELECT CAST(DENSE_RANK() OVER (ORDER BY platform_name NULLS FIRST) AS BIGINT) AS platform_id, platform_name
   FROM (SELECT DISTINCT published_platform AS platform_name FROM detail_mart) d""",
-    "dim_team": """SELECT CAST(DENSE_RANK() OVER (ORDER BY team_name NULLS FIRST) AS INTEGER) AS team_id, team_name
+    "dim_team": """SELECT CAST(DENSE_RANK() OVER (ORDER BY team_name NULLS FIRST) AS BIGINT) AS team_id, team_name
   FROM (SELECT DISTINCT team_name FROM detail_mart) d""",
-    "dim_date": """SELECT CAST(DENSE_RANK() OVER (ORDER BY year, month_number) AS INTEGER) AS date_id, month, year, month_number,
+    "dim_date": """SELECT CAST(DENSE_RANK() OVER (ORDER BY year, month_number) AS BIGINT) AS date_id, month, year, month_number,
        CAST((month_number - 1) // 3 + 1 AS INTEGER) AS quarter FROM mart_monthly""",
 }
 for _k, _v in DIM_SQL.items():
@@ -146,21 +125,17 @@ class Star:
         self.detail = detail_mart(dom)
         self._dims = {}
         self._values = None
-        self._sizes: dict[str, int] = {}
 
     def dim(self, name: str) -> DataFrame:
         if name not in self._dims:
             if name == "dim_date":
-                self._dims[name] = dim_date(self.dom, self._sizes)
+                self._dims[name] = dim_date(self.dom)
             else:
                 if self._values is None:
                     self._values = dim_values(self.detail)
-                    # member count of every dimension in one small job over the checkpointed members
-                    self._sizes.update({r["dim"]: int(r["n"]) for r in
-                                        self._values.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()})
                 _, col, id_col = DIM_SOURCES[name]
                 vals = self._values.where(F.col("dim") == name).select(F.col("value").alias(col))
-                d = dense_ids_checked(vals, [col], id_col, n=self._sizes.get(name, 0)).select(id_col, col)
+                d = dense_ids(vals, [col], id_col).select(id_col, col)
                 if name == "dim_user":
                     d = d.withColumn("is_qa_account", qa_exact_mask("user_name"))
                 self._dims[name] = d
@@ -184,20 +159,15 @@ class Star:
             (pub * F.lit(100.0)).alias("publish_rate"), F.lit(1.0).alias("multiplication_ratio"),
             (F.lit(1) - pub).cast("bigint").alias("unpublished_gap"),
         )
-        # dim_user grows with the data: left to AQE (broadcast only when measured small, else
-        # sort-merge on the name). The other members are few; each is broadcast behind its
-        # measured member count (dim_date: one row per month of the data).
+        # AQE broadcasts a dimension when it measures it small; else a sort-merge on the name.
         for key in FACT_KEYS:
             if key not in keys:
                 continue
             dim, on, name_col = FACT_KEY_DIMS[key]
             d = self.dim(dim).select(key, F.col(name_col).alias(on))
-            if dim != "dim_user":
-                d = maybe_broadcast(d, self._sizes.get(dim))
             f = f.join(d, on, "left")
         if apportioned:
-            # one share row per user: bounded by the measured dim_user size
-            f = apportion(f, marts_for(self.dom, "users"), n_users=self._sizes["dim_user"])
+            f = apportion(f, marts_for(self.dom, "users"))
         else:
             f = f.withColumns({"uploaded_mins": F.lit(0.0), "created_mins": F.lit(0.0), "published_mins": F.lit(0.0)})
         return f.select(*[c for c in FACT_COLS if c not in FACT_KEYS or c in keys])
@@ -217,10 +187,9 @@ FACT_COLS = ["video_id", "headline", "user_id", "input_type_id", "platform_id",
              "published_url", "publish_rate", "multiplication_ratio", "unpublished_gap"]
 
 
-def apportion(fact: DataFrame, user_totals: DataFrame, n_users: int | None = None) -> DataFrame:
+def apportion(fact: DataFrame, user_totals: DataFrame) -> DataFrame:
     """Per-user totals spread evenly over the user's rows (published minutes only over
-    published rows), 4 dp; users without totals get 0. ``n_users`` bounds the share frame
-    (one row per user) when the caller knows the user count; otherwise it is counted."""
+    published rows), 4 dp; users without totals get 0."""
     per_user = fact.groupBy("user_id", "uploaded_by").agg(F.count(F.lit(1)).alias("_cnt"), F.sum(F.col("is_published").cast("int")).alias("_pub"))
     t = user_totals.select(F.col("user_name").alias("uploaded_by"), "uploaded_mins", "created_mins", "published_mins")
     shares = per_user.join(t, "uploaded_by", "left").select(
@@ -229,9 +198,6 @@ def apportion(fact: DataFrame, user_totals: DataFrame, n_users: int | None = Non
         F.coalesce(round_half_up(F.col("created_mins") / F.col("_cnt"), 4), F.lit(0.0)).alias("_c"),
         F.coalesce(F.when(F.col("_pub") > 0, round_half_up(F.col("published_mins") / F.col("_pub"), 4)), F.lit(0.0)).alias("_p"),
     )
-    if n_users is None:
-        n_users = shares.count()  # one row per user: a bounded count that gates the broadcast
-    shares = maybe_broadcast(shares, n_users if n_users <= BROADCAST_ROW_BOUND else None)
     j = fact.join(shares, "user_id", "left")
     return j.withColumns({
         "uploaded_mins": F.coalesce("_u", F.lit(0.0)),
@@ -351,9 +317,9 @@ def unknown_member_repair(fact: DataFrame, dim: DataFrame, fk: str, id_col: str,
 
 
 @query("e05_unknown_member_repair", oracle(
-    f"""WITH d AS (SELECT CAST(DENSE_RANK() OVER (ORDER BY name) AS INTEGER) AS input_type_id, name AS input_type_name FROM (
+    f"""WITH d AS (SELECT CAST(DENSE_RANK() OVER (ORDER BY name) AS BIGINT) AS input_type_id, name AS input_type_name FROM (
               SELECT DISTINCT o_orderpriority AS name FROM orders WHERE o_orderpriority <> '{BLANK_INPUT}') x),
- u AS (SELECT CAST(MAX(input_type_id) + 1 AS INTEGER) AS uid FROM d)
+ u AS (SELECT CAST(MAX(input_type_id) + 1 AS BIGINT) AS uid FROM d)
 SELECT input_type_id, input_type_name, (SELECT CAST(COUNT(*) AS BIGINT) FROM orders WHERE o_orderpriority = '{BLANK_INPUT}') AS repaired FROM d
 UNION ALL SELECT uid, '{UNKNOWN_INPUT}', (SELECT CAST(COUNT(*) AS BIGINT) FROM orders WHERE o_orderpriority = '{BLANK_INPUT}') FROM u"""))
 def e05(spark, sf):
@@ -361,7 +327,7 @@ def e05(spark, sf):
     o = dom.t("orders").select("o_orderkey", F.when(F.col("o_orderpriority") != BLANK_INPUT, F.col("o_orderpriority")).alias("input_type"))
     dim = dense_ids(o.where(F.col("input_type").isNotNull()).select(F.col("input_type").alias("input_type_name")),
                     ["input_type_name"], "input_type_id")
-    fact = o.join(F.broadcast(dim), o.input_type == dim.input_type_name, "left").select("o_orderkey", "input_type_id")
+    fact = o.join(dim, o.input_type == dim.input_type_name, "left").select("o_orderkey", "input_type_id")
     repaired = fact.where(F.col("input_type_id").isNull()).agg(F.count(F.lit(1)).alias("repaired"))
     _, dim2 = unknown_member_repair(fact, dim, "input_type_id", "input_type_id", "input_type_name")
     return with_scalars(dim2, repaired).select("input_type_id", "input_type_name", "repaired")
@@ -374,7 +340,7 @@ def e05(spark, sf):
 def j04(spark, sf):
     s = Star(D(spark, sf))
     f = s.fact(apportioned=False, keys=["user_id", "platform_id"]).where(F.col("is_published"))
-    return (f.join(s.dim("dim_user"), "user_id").join(F.broadcast(s.dim("dim_platform")), "platform_id")
+    return (f.join(s.dim("dim_user"), "user_id").join(s.dim("dim_platform"), "platform_id")
             .groupBy("user_name", "platform_name").agg(F.count(F.lit(1)).alias("published")))
 
 

@@ -410,15 +410,18 @@ def k02(spark, sf):
 
 
 def insert_new_rows(spark, batch: DataFrame, table_path: str, key: str) -> int:
-    """Append rows whose key is not yet stored, stamped with ``ingested_at``; returns the count."""
+    """Append rows whose key is not yet stored (one of equal keys in the batch), stamped
+    with ``ingested_at``; returns how many were new."""
     from tidemark.session import path_exists
 
-    new = batch
+    new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    before = 0
     if path_exists(spark, table_path):  # not the first load
-        new = batch.join(spark.read.parquet(table_path).select(key), key, "left_anti")
-    new = new.withColumn("ingested_at", F.current_timestamp())
-    new.write.mode("append").parquet(table_path)
-    return spark.read.parquet(table_path).count()
+        stored = spark.read.parquet(table_path).select(key)
+        before = stored.count()
+        new = new.join(stored, key, "left_anti")
+    new.withColumn("ingested_at", F.current_timestamp()).write.mode("append").parquet(table_path)
+    return spark.read.parquet(table_path).count() - before
 
 
 @query("k03_insert_new_rows", oracle(

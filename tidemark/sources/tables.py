@@ -1,18 +1,9 @@
 """Parquet table access (S04 ``scan_parquet``).
 
-``spark.read.parquet`` is lazy: Catalyst prunes the columns a query touches and
-pushes filters into the scan, so callers select only what they need.
-
-Under-split inputs
-------------------
-A parquet row group is the smallest unit a scan can split. A large table stored as a few
-huge row groups therefore scans in a few tasks, and every operator up to the first shuffle
-runs on those few cores. ``read_table`` measures the scan (split count from the planned
-scan, bytes from the file system — metadata only, no job) and, only when a table carries
-at least ``SPREAD_MIN_BYTES`` per split AND has fewer splits than the session's
-parallelism, hash-spreads it on the table's key right after the (pruned, filtered) scan.
-Filters and column pruning still reach the scan (Catalyst pushes both through the
-repartition). At 100 TB every table has far more splits than cores and nothing is added.
+``spark.read.parquet`` is lazy: Catalyst prunes the columns a query touches and pushes filters
+into the scan, so callers select only what they need. A table is listed afresh at every read,
+so files added since are seen. How many splits a scan has is the file layout's and
+``spark.sql.files.maxPartitionBytes``' business.
 """
 
 from __future__ import annotations
@@ -26,49 +17,12 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Key each table is spread on when it is under-split (its first/primary key column).
-SPREAD_KEYS = {
-    "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
-    "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id",
-    "pages": "page_id", "labels": "doc_id", "conversations": "conv_id", "benchmark": "item_id",
-}
-SPREAD_MIN_BYTES = 2 * 1024 * 1024
-
-# One relation per (session, table): the file listing and footer reads of a table happen once
-# per session, not once per query branch (at 100 TB a table is many thousands of files).
-_RELATIONS: dict[tuple[str, str], DataFrame] = {}
-
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def _splits_and_bytes(spark: SparkSession, df: DataFrame, path: str) -> tuple[int, int]:
-    """Planned scan splits and bytes on storage (metadata only: no job runs)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return df.rdd.getNumPartitions(), int(fs.getContentSummary(p).getLength())
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(f"unknown table {name}")
-    path = table_path(sf_dir, name)
-    rkey = (spark.sparkContext.applicationId, path)
-    if rkey not in _RELATIONS:
-        _RELATIONS[rkey] = _open(spark, path, name)
-    return _RELATIONS[rkey]
-
-
-def _open(spark: SparkSession, path: str, name: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    key = SPREAD_KEYS.get(name)
-    if key is None:
-        return df
-    splits, nbytes = _splits_and_bytes(spark, df, path)
-    cores = spark.sparkContext.defaultParallelism
-    if splits < cores and nbytes >= SPREAD_MIN_BYTES * splits:
-        n = int(min(cores, max(2, nbytes // SPREAD_MIN_BYTES)))
-        df = df.repartition(n, key)
-    return df
+    return spark.read.parquet(table_path(sf_dir, name))

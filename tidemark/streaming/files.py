@@ -7,10 +7,10 @@ Here the same work is a file-source stream:
 * the debounce is the trigger interval (``processingTime``); tests and these keys use
   ``availableNow`` so a run processes what is there and stops,
 * per-batch pipelines run in ``foreachBatch`` (Spark runs batches of one query serially),
-  and every sink write is idempotent (anti-join on ids, or an upsert keyed by batch id), so
+  and every sink write is idempotent (anti-join on ids, or a partition per batch id), so
   a batch replayed after an executor/driver loss does not duplicate rows,
-* the time rollup keeps bounded state with a watermark and emits ``update`` rows that are
-  upserted by window key, so the final table is complete without holding all history.
+* the time rollup stores each micro-batch's partial counts and adds them up when read: late
+  rows count whenever they come, and no state is held.
 
 Checkpoints live under the cluster's ``spark.checkpoint.dir`` (see ``session.scratch_dir``).
 """
@@ -29,7 +29,6 @@ from tidemark.sources.domain import Domain, oracle
 from tidemark.sources.exports import clean_aggregate, export_frame, write_exports
 
 DEBOUNCE_SECONDS = 3
-WATERMARK = "1 hour"
 ROLLUP_WINDOW = "1 day"
 
 DETAIL_HEADERS = ["Headline", "Source", "Published", "Team Name", "Type", "Uploaded By", "Video ID", "Published Platform", "Published URL"]
@@ -61,6 +60,11 @@ def run_once(writer, available_now: bool = True, seconds: int = DEBOUNCE_SECONDS
     return q
 
 
+def put_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Store a micro-batch in its own partition; a replayed batch replaces what it wrote before."""
+    df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
+
+
 def append_new_ids(batch: DataFrame, table_path: str, key: str, spark) -> None:
     """ST04 sink: insert only ids not stored yet (idempotent under replays)."""
     b = batch.dropDuplicates([key])
@@ -97,15 +101,14 @@ def st02(spark, sf):
 @query("st03_stream_pipeline_batch", oracle("SELECT * FROM clean_users", "clean_users"))
 def st03(spark, sf):
     base = write_exports(spark, sf, ["users.csv"])
-    out, ck = scratch_dir(spark, "st03_mart"), scratch_dir(spark, "st03_ck")
+    out, rejects, ck = (scratch_dir(spark, n) for n in ("st03_mart", "st03_rejects", "st03_ck"))
 
     def pipeline(batch: DataFrame, batch_id: int):
-        # ingest → clean → validate (negative counts) → write; batches of one query run serially
+        # ingest → clean → validate → write; rows with negative counts go to the reject table
         cleaned = clean_aggregate(batch)
-        bad = cleaned.where((F.col("uploaded_count") < 0) | (F.col("created_count") < 0)).limit(1).count()
-        if bad:
-            return
-        cleaned.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        bad = F.coalesce((F.col("uploaded_count") < 0) | (F.col("created_count") < 0), F.lit(False))
+        put_batch(cleaned.where(~bad), out, batch_id)
+        put_batch(cleaned.where(bad), rejects, batch_id)
 
     s = csv_stream(spark, os.path.join(base, "users.csv"), USER_HEADERS)
     run_once(s.writeStream.foreachBatch(pipeline).option("checkpointLocation", ck))
@@ -141,8 +144,7 @@ def st05(spark, sf):
 
     def record(batch: DataFrame, batch_id: int):
         files = batch.select(F.input_file_name().alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("rows"))
-        files.select(F.lit(batch_id).alias("batch_id"), "f", "rows", F.current_timestamp().alias("processed_at")) \
-            .write.mode("append").parquet(ledger)
+        put_batch(files.select("f", "rows", F.current_timestamp().alias("processed_at")), ledger, batch_id)
 
     for _ in range(2):  # the second run restarts on the same checkpoint and must find nothing new
         s = spark.readStream.schema(string_schema(USER_HEADERS)).option("header", True).option("recursiveFileLookup", True) \
@@ -154,31 +156,35 @@ def st05(spark, sf):
 
 
 def events_stream(spark, sf) -> DataFrame:
-    """The events table as a stream (file source over the table's folder, one file selected)."""
-    schema = spark.read.parquet(os.path.join(sf, "events.parquet")).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events table, one file or a folder of part files, as a stream."""
+    path = os.path.join(sf, "events.parquet")
+    # A pattern, since the file source takes a plain path for a folder.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(os.path.join(sf, "events.parque[t]"))
 
 
-def time_rollup(stream: DataFrame) -> DataFrame:
-    """ST06: events per (day window, type) with a watermark bounding the state."""
-    # the table stores local (NTZ) timestamps; watermarks need TIMESTAMP (session zone is UTC)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK).groupBy(F.window("ts", ROLLUP_WINDOW).alias("w"), "event_type").agg(
+def time_rollup(events: DataFrame) -> DataFrame:
+    """Events per (day window, type)."""
+    # the table stores local (NTZ) timestamps; windows need TIMESTAMP (session zone is UTC)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", ROLLUP_WINDOW).alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("n"))
 
 
+def stream_rollup(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """ST06: every micro-batch stores its partial counts; they are added up when read. Counts
+    add in any order, so rows may arrive as late as they like: no state, nothing dropped."""
+    def add(batch: DataFrame, batch_id: int):
+        put_batch(time_rollup(batch).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n"), sink, batch_id)
+
+    run_once(stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint))
+
+
+def read_rollup(spark, sink: str) -> DataFrame:
+    return spark.read.parquet(sink).groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
 @query("st06_stream_time_rollup", oracle(
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY 1, 2"""))
 def st06(spark, sf):
     sink, ck = scratch_dir(spark, "st06_sink"), scratch_dir(spark, "st06_ck")
-
-    def upsert(batch: DataFrame, batch_id: int):
-        batch.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.lit(batch_id).alias("batch_id")) \
-            .write.mode("append").parquet(sink)
-
-    q = time_rollup(events_stream(spark, sf)).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", ck)
-    run_once(q)
-    from tidemark.operators.windows import top1_per_group
-
-    r = spark.read.parquet(sink)
-    # latest emitted value per window key wins (update mode re-emits changed windows)
-    return top1_per_group(r, ["day", "event_type"], [("batch_id", True)]).drop("batch_id")
+    stream_rollup(events_stream(spark, sf), sink, ck)
+    return read_rollup(spark, sink)
