@@ -71,3 +71,43 @@ def test_insert_counts_only_new_keys(spark, tmp_path):
     path = str(tmp_path / "t")
     assert insert_new_rows(spark, spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int"), path, "k") == 2
     assert insert_new_rows(spark, spark.createDataFrame([(2,), (3,), (3,)], "k int"), path, "k") == 1
+
+
+def test_malformed_lines_are_set_apart(spark, tmp_path):
+    from tidemark.sources.exports import read_export_split
+
+    (tmp_path / "x.csv").write_text("Month,Total\nMay 2024,5\nJun 2024\nJul 2024,7,9\nAug 2024,8\n")
+    good, bad = read_export_split(spark, str(tmp_path / "x.csv"))
+    assert [tuple(r) for r in good.collect()] == [("May 2024", "5"), ("Aug 2024", "8")] and good.columns == ["Month", "Total"]
+    assert sorted(r["_corrupt_record"] for r in bad.collect()) == ["Jul 2024,7,9", "Jun 2024"]
+
+
+def test_replace_table_switches_and_changes_schema(spark, tmp_path):
+    from tidemark.sources.exports import replace_table
+
+    for df in (spark.range(3), spark.range(5), spark.range(2).selectExpr("id", "id AS other")):
+        name = replace_table(spark, df, "swap me.csv", str(tmp_path))
+        assert spark.table(name).count() == df.count() and spark.table(name).columns == df.columns
+
+
+def test_backfill_goes_on_after_a_bad_file(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    from tidemark.plans import ingest
+    from tidemark.sources.exports import write_exports
+
+    base = write_exports(spark, SF_SMALL, ["users.csv", "languages.csv"])
+    real = ingest.full_replace_ingest
+
+    def failing(spark, path, filename, table_base, sep=","):
+        if filename == "users.csv":
+            raise PySparkException("unreadable")
+        return real(spark, path, filename, table_base, sep)
+
+    monkeypatch.setattr(ingest, "full_replace_ingest", failing)
+    ledger = str(tmp_path / "ledger")
+    first = {r["filename"]: r["status"] for r in ingest.backfill(spark, base, ledger, str(tmp_path / "t")).collect()}
+    assert first == {"users.csv": "failed", "languages.csv": "ok"}
+    monkeypatch.setattr(ingest, "full_replace_ingest", real)
+    second = {r["filename"]: r["status"] for r in ingest.backfill(spark, base, ledger, str(tmp_path / "t")).collect()}
+    assert second == {"users.csv": "ok", "languages.csv": "skipped"}

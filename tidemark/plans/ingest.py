@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from tidemark.sources.exports import (
     file_fingerprints,
     incremental_clean,
     normalise_channel_col,
-    read_export,
+    read_export_split,
     replace_table,
     sanitise_table_name,
     strip_strings,
@@ -43,8 +44,8 @@ def D(spark, sf):
 # Strategies
 # ---------------------------------------------------------------------------------
 def full_replace_ingest(spark, path: str, filename: str, table_base: str, sep: str = ",") -> tuple[str, int]:
-    """Read (all strings) → strip → 'Channels'→'Channel' → duration _raw/_secs → replace table."""
-    df = duration_cols_raw_secs(normalise_channel_col(strip_strings(read_export(spark, path, sep))))
+    """Read (all strings, malformed lines left out) → strip → 'Channels'→'Channel' → duration _raw/_secs → replace table."""
+    df = duration_cols_raw_secs(normalise_channel_col(strip_strings(read_export_split(spark, path, sep)[0])))
     name = replace_table(spark, df, filename, table_base)
     return name, spark.table(name).count()
 
@@ -54,7 +55,7 @@ def incremental_ingest(spark, path: str, table_path: str) -> int:
     Returns the number of net new rows."""
     from tidemark.session import path_exists
 
-    batch = incremental_clean(read_export(spark, path))
+    batch = incremental_clean(read_export_split(spark, path)[0])
     new = batch
     if path_exists(spark, table_path):  # not the first load
         new = batch.join(spark.read.parquet(table_path).select("video_id"), "video_id", "left_anti")
@@ -86,11 +87,11 @@ def change_detect(spark, fingerprints: DataFrame, ledger: DataFrame | None) -> D
 
 
 def backfill(spark, base: str, ledger_path: str, table_base: str, force: bool = False) -> DataFrame:
-    """Process every known export, skip unchanged ones unless forced, record status per file."""
-    from tidemark.session import path_exists
-
+    """Process every known export, skip unchanged ones unless forced, record status per file.
+    A file that fails is recorded as ``failed`` without a hash (so the next run takes it up
+    again) and the others go on. A run writes its own ledger rows; nothing is rewritten."""
     fps = file_fingerprints(spark, base)
-    ledger = spark.read.parquet(ledger_path) if path_exists(spark, ledger_path) else None
+    ledger = read_ledger(spark, ledger_path)
     changes = change_detect(spark, fps, ledger).join(route_files(spark, fps), "filename")
     todo = changes.collect()  # one row per export file (bounded by the file count)
     rows = []
@@ -102,21 +103,34 @@ def backfill(spark, base: str, ledger_path: str, table_base: str, force: bool =
             rows.append((r["filename"], r["hash"], None, "skipped"))
             continue
         path = os.path.join(base, r["filename"])
-        if r["route"] == "incremental":
-            n = incremental_ingest(spark, path, os.path.join(table_base, "video_list"))
-        else:
-            _, n = full_replace_ingest(spark, path, r["filename"], table_base)
+        try:
+            if r["route"] == "incremental":
+                n = incremental_ingest(spark, path, os.path.join(table_base, "video_list"))
+            else:
+                _, n = full_replace_ingest(spark, path, r["filename"], table_base)
+        except PySparkException:
+            rows.append((r["filename"], None, None, "failed"))
+            continue
         rows.append((r["filename"], r["hash"], n, "ok"))
+    seq = _next_seq(spark, ledger)
     run = spark.createDataFrame(rows, "filename string, last_hash string, row_count bigint, status string")
-    run = run.withColumn("last_processed", F.current_timestamp()).withColumn("seq", F.lit(_next_seq(spark, ledger)))
+    run = run.withColumn("last_processed", F.current_timestamp()).withColumn("seq", F.lit(seq))
     if ledger is not None:
         # skipped files keep their previous row count
         prev = ledger.select("filename", F.col("row_count").alias("_prev"))
         run = run.join(prev, "filename", "left").withColumn("row_count", F.coalesce("row_count", "_prev")).drop("_prev")
-    new_ledger = upsert_ledger(ledger, run.select("filename", "last_hash", "last_processed", "row_count", "status", "seq"), "filename", "seq")
-    new_ledger = new_ledger.checkpoint(eager=True)  # the ledger is re-written at its own path
-    new_ledger.write.mode("overwrite").parquet(ledger_path)
-    return spark.read.parquet(ledger_path)
+    run = run.select("filename", "last_hash", "last_processed", "row_count", "status", "seq")
+    run.write.mode("overwrite").parquet(os.path.join(ledger_path, f"run={seq}"))
+    return read_ledger(spark, ledger_path)
+
+
+def read_ledger(spark, ledger_path: str) -> DataFrame | None:
+    """The latest row of every file over all runs; None before the first run."""
+    from tidemark.session import path_exists
+
+    if not path_exists(spark, ledger_path):
+        return None
+    return upsert_ledger(None, spark.read.parquet(ledger_path).drop("run"), "filename", "seq")
 
 
 def _next_seq(spark, ledger) -> int:

@@ -32,9 +32,11 @@ def D(spark, sf) -> Domain:
 
 
 def argmax(value: str, tie: str, *carry: str, neg: bool = True):
-    """Aggregate returning the struct of the row with the largest ``value`` (smallest ``tie`` on ties)."""
+    """Aggregate returning the struct of the row with the largest ``value`` (smallest ``tie`` on
+    ties); rows without a value take no part."""
     v = -F.col(value) if neg else F.col(value)
-    return F.min(F.struct(v.alias("_v"), F.col(tie).alias(tie), *[F.col(c).alias(c) for c in carry]))
+    row = F.struct(v.alias("_v"), F.col(tie).alias(tie), *[F.col(c).alias(c) for c in carry])
+    return F.min(F.when(F.col(value).isNotNull(), row))
 
 
 def _pct2(a: str, b: str):
@@ -346,11 +348,12 @@ PLATFORM_ONE = "Brand#1"
 
 
 @query("m18_kpi_platform_workload", oracle(
-    f"SELECT {round_sql(f'SUM(published_mins) FILTER (WHERE platform = {chr(39)}{PLATFORM_ONE}{chr(39)})', 2)} AS platform_published_mins FROM mart_publishing",
-    "mart_publishing"))
+    f"SELECT {round_sql(f'SUM(published_secs) FILTER (WHERE platform = {chr(39)}{PLATFORM_ONE}{chr(39)}) / 60.0', 2)} AS platform_published_mins FROM clips",
+    "clips"))
 def m18(spark, sf):
-    p = publishing_long(D(spark, sf)).where(F.col("platform") == PLATFORM_ONE)
-    return p.agg(round_half_up(F.sum("published_mins"), 2).alias("platform_published_mins"))
+    # Whole seconds are added up and divided once, so the sum does not depend on the order.
+    p = D(spark, sf).clips("platform", "published_secs").where(F.col("platform") == PLATFORM_ONE)
+    return p.agg(round_half_up(F.sum("published_secs") / F.lit(60.0), 2).alias("platform_published_mins"))
 
 
 @query("m19_kpi_unknown_attribution", oracle(
@@ -378,63 +381,132 @@ def m20(spark, sf):
 # ---------------------------------------------------------------------------------
 # M21 summary row and M22 funnel
 # ---------------------------------------------------------------------------------
+# The channel whose share of all published clips the summary reports.
+SHARE_CHANNEL = "NATION_0"
+
+
 def summary_stats(spark, sf) -> DataFrame:
+    """One row of all headline figures; each part is one small aggregate attached as a scalar."""
     dom = D(spark, sf)
     t = totals(dom).select(
         "*",
         _pct2("total_published", "total_created").alias("publish_rate"),
         _pct2("total_published", "total_uploaded").alias("upload_to_publish_rate"),
         round_half_up(F.lit(100.0) - safe_ratio_pct("total_published", "total_created"), 2).alias("waste_rate"),
-        round_half_up(safe_ratio("total_created", "total_uploaded"), 4).alias("multiplication_ratio"),
+        round_half_up(safe_ratio("total_created", "total_uploaded"), 2).alias("multiplication_ratio"),
         round_half_up(safe_ratio("total_created", "total_published"), 2).alias("clips_per_publish"),
         round_half_up(F.col("uploaded_secs") / F.lit(60.0), 2).alias("total_uploaded_mins"),
         round_half_up(F.col("created_secs") / F.lit(60.0), 2).alias("total_created_mins"),
         round_half_up(F.col("published_secs") / F.lit(60.0), 2).alias("total_published_mins"),
+        round_half_up(F.col("created_secs") / F.lit(3600.0), 2).alias("compute_hours"),
+        round_half_up(F.col("published_secs") / F.lit(3600.0), 4).alias("published_hours"),
     ).drop("uploaded_secs", "created_secs", "published_secs")
+
+    lang = marts_for(dom, "languages")
+
+    def of(name, c):
+        return F.max(F.when(F.col("language") == name, F.col(c)))
+
+    lg = lang.agg(of(LANG_A, "publish_rate").alias("rate_a"), of(LANG_B, "publish_rate").alias("rate_b"),
+                  of(LANG_A, "created_count").alias("ca"), of(LANG_A, "published_count").alias("pa"),
+                  of(LANG_B, "created_count").alias("cb"), of(LANG_B, "published_count").alias("pb")).select(
+        round_half_up(F.col("rate_a") / F.greatest("rate_b", F.lit(0.001)), 2).alias("language_multiplier"),
+        F.col("rate_a").alias("language_rate_a"), F.col("rate_b").alias("language_rate_b"),
+        round_half_up(F.col("ca") / F.greatest("pa", F.lit(1)).cast("double"), 0).alias("gen_cost_a"),
+        round_half_up(F.col("cb") / F.greatest("pb", F.lit(1)).cast("double"), 0).alias("gen_cost_b"))
+
     ch = marts_for(dom, "channels").agg(
         F.count(F.lit(1)).alias("total_channels"),
         F.count_if(F.col("published_count") > 0).alias("active_channels"),
         argmax("publish_rate", "channel_name").alias("_best"),
-    ).select("total_channels", "active_channels", F.col("_best.channel_name").alias("best_channel"),
-             (-F.col("_best._v")).alias("best_channel_rate"))
-    us = marts_for(dom, "users").where(_not_qa()).agg(argmax("created_count", "user_name").alias("_u")).select(
-        F.col("_u.user_name").alias("top_user"), (-F.col("_u._v")).alias("top_user_created"))
+        F.sum("published_count").alias("_all"),
+        F.max(F.when(F.col("channel_name") == SHARE_CHANNEL, F.col("published_count"))).alias("_one"),
+    ).select("total_channels", "active_channels",
+             round_half_up(safe_ratio_pct("active_channels", "total_channels"), 2).alias("active_channel_ratio"),
+             round_half_up((F.col("total_channels") - F.col("active_channels")) * F.lit(100.0) / F.col("total_channels"), 2).alias("dead_channel_pct"),
+             F.col("_best.channel_name").alias("best_channel"), (-F.col("_best._v")).alias("best_channel_rate"),
+             round_half_up(F.coalesce(safe_ratio_pct("_one", "_all"), F.lit(0.0)), 2).alias("channel_share_pct"))
+
+    eff = F.when(F.col("published_count") > 0, round_half_up(safe_ratio_pct("published_count", "created_count"), 2))
+    users = marts_for(dom, "users").where(_not_qa()).withColumn("_eff", eff)
+    us = users.agg(
+        argmax("uploaded_count", "user_name").alias("_u"),
+        argmax("_eff", "user_name").alias("_e"),
+        F.count_if(F.col("published_count") == 0).alias("zero_value_users"),
+    ).select(F.col("_u.user_name").alias("top_volume_user"), (-F.col("_u._v")).alias("top_volume_uploads"),
+             F.col("_e.user_name").alias("best_efficiency_user"), (-F.col("_e._v")).alias("best_efficiency_rate"), "zero_value_users")
+
     mm = monthly_mart(dom).withColumn("_o", F.col("year") * 100 + F.col("month_number")).agg(
-        argmax("created_count", "_o", "month").alias("_pw"),
+        argmax("created_count", "_o", "month", "uploaded_count").alias("_pw"),
         argmax("published_count", "_o", "month").alias("_pv"),
         round_half_up(F.avg("uploaded_count"), 2).alias("avg_monthly_uploaded"),
         round_half_up(F.avg("created_count"), 2).alias("avg_monthly_created"),
         round_half_up(F.avg("published_count"), 2).alias("avg_monthly_published"),
-    ).select(F.col("_pw.month").alias("peak_workload_month"), F.col("_pv.month").alias("peak_published_month"),
-             "avg_monthly_uploaded", "avg_monthly_created", "avg_monthly_published")
-    return with_scalars(t, ch, us, mm)
+        F.max(F.when(F.col("month") == PERIOD_FROM, F.col("uploaded_count"))).alias("_from"),
+        F.max(F.when(F.col("month") == PERIOD_TO, F.col("uploaded_count"))).alias("_to"),
+    ).select(F.col("_pw.month").alias("peak_workload_month"), (-F.col("_pw._v")).alias("peak_workload_clips"),
+             round_half_up(-F.col("_pw._v") / F.nullif(F.col("_pw.uploaded_count").cast("double"), F.lit(0.0)), 2).alias("peak_slice_ratio"),
+             F.col("_pv.month").alias("peak_published_month"), (-F.col("_pv._v")).alias("peak_published_clips"),
+             "avg_monthly_uploaded", "avg_monthly_created", "avg_monthly_published",
+             round_half_up(F.coalesce((F.coalesce("_to", F.lit(0)) - F.col("_from")) * F.lit(100.0) / F.nullif(F.col("_from").cast("double"), F.lit(0.0)), F.lit(0.0)), 1).alias("period_surge_pct"))
+
+    # One pass over the clips for the platform's workload and the share of unknown teams.
+    cl = dom.clips("platform", "published_secs", "team_name").agg(
+        F.coalesce(F.sum(F.when(F.col("platform") == PLATFORM_ONE, F.col("published_secs"))), F.lit(0)).cast("bigint").alias("platform_workload_secs"),
+        F.count_if(F.col("team_name").isNull()).alias("_u"), F.count(F.lit(1)).alias("_n"),
+    ).select("platform_workload_secs", round_half_up(safe_ratio_pct("_u", "_n"), 2).alias("unknown_team_pct"))
+    return with_scalars(t, lg, ch, us, mm, cl)
+
+
+def _one(column: str, table: str, order: str) -> str:
+    return f"(SELECT {column} FROM {table} ORDER BY {order} LIMIT 1)"
 
 
+_EFF_SQL = round_sql("CAST(published_count AS DOUBLE) * 100.0 / created_count", 2)
+_BY_CREATED, _BY_PUBLISHED = "created_count DESC, year, month_number", "published_count DESC, year, month_number"
+_BEST_CHANNEL = "publish_rate DESC NULLS LAST, channel_name"
 SUMMARY_SQL = f"""WITH t AS ({TOTALS_SQL}),
- u AS (SELECT * FROM mart_users WHERE lower(trim(user_name)) NOT IN ({_QA_SQL}))
+ u AS (SELECT * FROM mart_users WHERE lower(trim(user_name)) NOT IN ({_QA_SQL})),
+ e AS (SELECT user_name, {_EFF_SQL} AS eff FROM u WHERE published_count > 0),
+ la AS (SELECT publish_rate AS r, created_count AS c, published_count AS p FROM mart_languages WHERE language = '{LANG_A}'),
+ lb AS (SELECT publish_rate AS r, created_count AS c, published_count AS p FROM mart_languages WHERE language = '{LANG_B}'),
+ pf AS (SELECT MAX(uploaded_count) FILTER (WHERE month = '{PERIOD_FROM}') AS a, MAX(uploaded_count) FILTER (WHERE month = '{PERIOD_TO}') AS b FROM mart_monthly)
 SELECT total_uploaded, total_created, total_published,
        {_pct2_sql('total_published', 'total_created')} AS publish_rate,
        {_pct2_sql('total_published', 'total_uploaded')} AS upload_to_publish_rate,
        {round_sql('100.0 - CAST(total_published AS DOUBLE) * 100.0 / NULLIF(CAST(total_created AS DOUBLE), 0)', 2)} AS waste_rate,
-       {round_sql('CAST(total_created AS DOUBLE) / NULLIF(CAST(total_uploaded AS DOUBLE), 0)', 4)} AS multiplication_ratio,
+       {round_sql('CAST(total_created AS DOUBLE) / NULLIF(CAST(total_uploaded AS DOUBLE), 0)', 2)} AS multiplication_ratio,
        {round_sql('CAST(total_created AS DOUBLE) / NULLIF(CAST(total_published AS DOUBLE), 0)', 2)} AS clips_per_publish,
        {round_sql('uploaded_secs / 60.0', 2)} AS total_uploaded_mins, {round_sql('created_secs / 60.0', 2)} AS total_created_mins,
        {round_sql('published_secs / 60.0', 2)} AS total_published_mins,
+       {round_sql('created_secs / 3600.0', 2)} AS compute_hours, {round_sql('published_secs / 3600.0', 4)} AS published_hours,
+       {round_sql('(SELECT r FROM la) / greatest((SELECT r FROM lb), 0.001)', 2)} AS language_multiplier,
+       (SELECT r FROM la) AS language_rate_a, (SELECT r FROM lb) AS language_rate_b,
+       {round_sql('(SELECT c / CAST(greatest(p, 1) AS DOUBLE) FROM la)', 0)} AS gen_cost_a,
+       {round_sql('(SELECT c / CAST(greatest(p, 1) AS DOUBLE) FROM lb)', 0)} AS gen_cost_b,
        (SELECT CAST(COUNT(*) AS BIGINT) FROM mart_channels) AS total_channels,
        (SELECT CAST(COUNT(*) FILTER (WHERE published_count > 0) AS BIGINT) FROM mart_channels) AS active_channels,
-       (SELECT channel_name FROM mart_channels ORDER BY publish_rate DESC NULLS LAST, channel_name LIMIT 1) AS best_channel,
-       (SELECT publish_rate FROM mart_channels ORDER BY publish_rate DESC NULLS LAST, channel_name LIMIT 1) AS best_channel_rate,
-       (SELECT user_name FROM u ORDER BY created_count DESC, user_name LIMIT 1) AS top_user,
-       (SELECT created_count FROM u ORDER BY created_count DESC, user_name LIMIT 1) AS top_user_created,
-       (SELECT month FROM mart_monthly ORDER BY created_count DESC, year, month_number LIMIT 1) AS peak_workload_month,
-       (SELECT month FROM mart_monthly ORDER BY published_count DESC, year, month_number LIMIT 1) AS peak_published_month,
+       (SELECT {round_sql('COUNT(*) FILTER (WHERE published_count > 0) * 100.0 / COUNT(*)', 2)} FROM mart_channels) AS active_channel_ratio,
+       (SELECT {round_sql('COUNT(*) FILTER (WHERE published_count = 0) * 100.0 / COUNT(*)', 2)} FROM mart_channels) AS dead_channel_pct,
+       {_one('channel_name', 'mart_channels', _BEST_CHANNEL)} AS best_channel, {_one('publish_rate', 'mart_channels', _BEST_CHANNEL)} AS best_channel_rate,
+       (SELECT {round_sql(f"COALESCE(MAX(published_count) FILTER (WHERE channel_name = '{SHARE_CHANNEL}') * 100.0 / NULLIF(CAST(SUM(published_count) AS DOUBLE), 0), 0.0)", 2)} FROM mart_channels) AS channel_share_pct,
+       {_one('user_name', 'u', 'uploaded_count DESC, user_name')} AS top_volume_user, {_one('uploaded_count', 'u', 'uploaded_count DESC, user_name')} AS top_volume_uploads,
+       {_one('user_name', 'e', 'eff DESC NULLS LAST, user_name')} AS best_efficiency_user, {_one('eff', 'e', 'eff DESC NULLS LAST, user_name')} AS best_efficiency_rate,
+       (SELECT CAST(COUNT(*) FILTER (WHERE published_count = 0) AS BIGINT) FROM u) AS zero_value_users,
+       {_one('month', 'mart_monthly', _BY_CREATED)} AS peak_workload_month, {_one('created_count', 'mart_monthly', _BY_CREATED)} AS peak_workload_clips,
+       {round_sql(_one('created_count / NULLIF(CAST(uploaded_count AS DOUBLE), 0)', 'mart_monthly', _BY_CREATED), 2)} AS peak_slice_ratio,
+       {_one('month', 'mart_monthly', _BY_PUBLISHED)} AS peak_published_month, {_one('published_count', 'mart_monthly', _BY_PUBLISHED)} AS peak_published_clips,
        (SELECT {round_sql('AVG(uploaded_count)', 2)} FROM mart_monthly) AS avg_monthly_uploaded,
        (SELECT {round_sql('AVG(created_count)', 2)} FROM mart_monthly) AS avg_monthly_created,
-       (SELECT {round_sql('AVG(published_count)', 2)} FROM mart_monthly) AS avg_monthly_published
+       (SELECT {round_sql('AVG(published_count)', 2)} FROM mart_monthly) AS avg_monthly_published,
+       (SELECT {round_sql('COALESCE((COALESCE(b, 0) - a) * 100.0 / NULLIF(CAST(a AS DOUBLE), 0), 0.0)', 1)} FROM pf) AS period_surge_pct,
+       (SELECT CAST(COALESCE(SUM(published_secs) FILTER (WHERE platform = '{PLATFORM_ONE}'), 0) AS BIGINT) FROM clips) AS platform_workload_secs,
+       (SELECT {round_sql('COUNT(*) FILTER (WHERE team_name IS NULL) * 100.0 / COUNT(*)', 2)} FROM clips) AS unknown_team_pct
   FROM t"""
+_SUMMARY_VIEWS = ("uploads", "clips", "mart_channels", "mart_users", "mart_languages", "mart_monthly")
 
 
-@query("m21_summary_stats", oracle(SUMMARY_SQL, "uploads", "mart_channels", "mart_users", "mart_monthly"))
+@query("m21_summary_stats", oracle(SUMMARY_SQL, *_SUMMARY_VIEWS))
 def m21(spark, sf):
     return summary_stats(spark, sf)
 
@@ -464,67 +536,37 @@ def m22(spark, sf):
 # ---------------------------------------------------------------------------------
 # M24 insight rules: one row per rule from the summary row
 # ---------------------------------------------------------------------------------
-@query("m24_insights_rules", oracle(
-    f"""WITH s AS ({SUMMARY_SQL})
-SELECT * FROM (
-  SELECT 'publish_rate' AS id, 'conversion' AS category,
-         CASE WHEN publish_rate < 10 THEN 'high' WHEN publish_rate < 30 THEN 'medium' ELSE 'info' END AS severity,
-         'Publish rate' AS title, printf('%.2f%% of created clips are published', publish_rate) AS detail FROM s
-  UNION ALL
-  SELECT 'waste_rate', 'efficiency',
-         CASE WHEN waste_rate > 90 THEN 'high' WHEN waste_rate > 70 THEN 'medium' ELSE 'info' END,
-         'Unpublished output', printf('%.2f%% of created clips are never published', waste_rate) FROM s
-  UNION ALL
-  SELECT 'active_channels', 'coverage',
-         CASE WHEN active_channels * 100.0 / total_channels < 50 THEN 'high' WHEN active_channels * 100.0 / total_channels < 80 THEN 'medium' ELSE 'info' END,
-         'Active channels', printf('%d of %d channels published at least once', active_channels, total_channels) FROM s
-  UNION ALL
-  SELECT 'best_channel', 'leaders', 'info', 'Best channel', printf('%s leads with a %.2f%% publish rate', best_channel, best_channel_rate) FROM s
-  UNION ALL
-  SELECT 'top_user', 'leaders', 'info', 'Top creator', printf('%s created %d clips', top_user, top_user_created) FROM s
-  UNION ALL
-  SELECT 'peak_month', 'trend', 'info', 'Peak workload', printf('Most clips were created in %s', peak_workload_month) FROM s
-  UNION ALL
-  SELECT 'multiplier', 'efficiency',
-         CASE WHEN multiplication_ratio < 1 THEN 'high' WHEN multiplication_ratio < 2 THEN 'medium' ELSE 'info' END,
-         'Clips per upload', printf('Each upload yields %.4f clips', multiplication_ratio) FROM s
-  UNION ALL
-  SELECT 'clips_per_publish', 'efficiency',
-         CASE WHEN clips_per_publish > 10 THEN 'high' WHEN clips_per_publish > 4 THEN 'medium' ELSE 'info' END,
-         'Clips per published clip', printf('%.2f clips are created per published clip', clips_per_publish) FROM s
-) r""", "uploads", "mart_channels", "mart_users", "mart_monthly"))
+# (id, category, severity SQL, title, title arguments, detail, detail arguments); the same text
+# serves both engines, the thresholds are the reference's.
+INSIGHTS = [
+    ("funnel_dropoff", "Publishing Funnel", "CASE WHEN publish_rate < 5 THEN 'high' ELSE 'medium' END",
+     "Only %.2f%% of created clips are published", "publish_rate", "%d clips were created but not published, %.2f%% of the compute", "total_created - total_published, waste_rate"),
+    ("best_channel", "Channel Health", "'info'", "%s has the highest publish rate, %.2f%%", "best_channel, best_channel_rate", "%.2f%% of all channels publish", "active_channel_ratio"),
+    ("dead_channels", "Channel Health", "CASE WHEN dead_channel_pct > 20 THEN 'high' ELSE 'medium' END",
+     "%.2f%% of channels have published nothing", "dead_channel_pct", "%d of %d channels", "total_channels - active_channels, total_channels"),
+    ("ai_multiplier", "AI Efficiency", "'info'", "%.2f clips are created per upload", "multiplication_ratio", "%.2f clips are created per published clip", "clips_per_publish"),
+    ("language_gap", "Language", "'medium'", "Publish rate %.2f%% against %.2f%%", "language_rate_a, language_rate_b", "A factor of %.2f between the two languages", "language_multiplier"),
+    ("data_quality_team", "Data Quality", "CASE WHEN unknown_team_pct > 50 THEN 'high' ELSE 'medium' END",
+     "%.2f%% of videos name no team", "unknown_team_pct", "%d clips in all", "total_created"),
+    ("user_highlights", "Users", "'info'", "%s uploads most", "top_volume_user", "%s publishes the largest share, %.2f%%", "best_efficiency_user, best_efficiency_rate"),
+    ("zero_value_users", "Users", "'medium'", "%d users have published nothing", "zero_value_users", "%d clips are unpublished", "total_created - total_published"),
+]
+
+
+def _insights_sql() -> str:
+    rows = [f"SELECT '{i}' AS id, '{c}' AS category, {sev} AS severity, printf('{t}', {ta}) AS title, printf('{d}', {da}) AS detail FROM s"
+            + (" WHERE language_rate_a <> 0 AND language_rate_b <> 0" if i == "language_gap" else "") for i, c, sev, t, ta, d, da in INSIGHTS]
+    return f"WITH s AS ({SUMMARY_SQL}) " + " UNION ALL ".join(rows)
+
+
+@query("m24_insights_rules", oracle(_insights_sql(), *_SUMMARY_VIEWS))
 def m24(spark, sf):
-    s = summary_stats(spark, sf)
-    active_pct = F.col("active_channels") * F.lit(100.0) / F.col("total_channels")
-
-    def sev(v, hi, med, worse_high=True):
-        if worse_high:
-            return F.when(v > hi, "high").when(v > med, "medium").otherwise("info")
-        return F.when(v < hi, "high").when(v < med, "medium").otherwise("info")
-
-    rules = [
-        ("publish_rate", "conversion", sev(F.col("publish_rate"), 10, 30, False), "Publish rate",
-         F.format_string("%.2f%% of created clips are published", "publish_rate")),
-        ("waste_rate", "efficiency", sev(F.col("waste_rate"), 90, 70), "Unpublished output",
-         F.format_string("%.2f%% of created clips are never published", "waste_rate")),
-        ("active_channels", "coverage", sev(active_pct, 50, 80, False), "Active channels",
-         F.format_string("%d of %d channels published at least once", "active_channels", "total_channels")),
-        ("best_channel", "leaders", F.lit("info"), "Best channel",
-         F.format_string("%s leads with a %.2f%% publish rate", "best_channel", "best_channel_rate")),
-        ("top_user", "leaders", F.lit("info"), "Top creator",
-         F.format_string("%s created %d clips", "top_user", "top_user_created")),
-        ("peak_month", "trend", F.lit("info"), "Peak workload",
-         F.format_string("Most clips were created in %s", "peak_workload_month")),
-        ("multiplier", "efficiency", sev(F.col("multiplication_ratio"), 1, 2, False), "Clips per upload",
-         F.format_string("Each upload yields %.4f clips", "multiplication_ratio")),
-        ("clips_per_publish", "efficiency", sev(F.col("clips_per_publish"), 10, 4), "Clips per published clip",
-         F.format_string("%.2f clips are created per published clip", "clips_per_publish")),
-    ]
-    arr = F.array(*[
-        F.struct(F.lit(i).alias("id"), F.lit(c).alias("category"), s_.alias("severity"), F.lit(t).alias("title"), d.alias("detail"))
-        for i, c, s_, t, d in rules
-    ])
-    return s.select(F.inline(arr))
+    rules = [f"named_struct('id', '{i}', 'category', '{c}', 'severity', {sev}, 'title', format_string('{t}', {ta}), 'detail', format_string('{d}', {da}))"
+             for i, c, sev, t, ta, d, da in INSIGHTS]
+    rows = summary_stats(spark, sf).select("language_rate_a", "language_rate_b", F.expr(f"inline(array({', '.join(rules)}))"))
+    # The language rule needs both rates.
+    both = F.coalesce((F.col("language_rate_a") != 0) & (F.col("language_rate_b") != 0), F.lit(False))
+    return rows.where((F.col("id") != "language_gap") | both).select("id", "category", "severity", "title", "detail")
 
 
 # ---------------------------------------------------------------------------------

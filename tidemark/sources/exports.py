@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions import expr as X
 from tidemark.functions.expr import round_sql, with_scalars
@@ -174,6 +176,19 @@ def read_export(spark, path: str, sep: str = ",") -> DataFrame:
     return spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_export_split(spark, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """S02/S03 for ingestion: (well-formed rows, malformed lines with their raw text). A line with
+    more or fewer fields than the header is malformed; it is set apart, never half-read."""
+    fields = read_export(spark, path, sep).schema.fields
+    schema = StructType([*fields, StructField(CORRUPT, StringType())])
+    df = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option(
+        "columnNameOfCorruptRecord", CORRUPT).csv(path)
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull())
+
+
 def strip_strings(df: DataFrame) -> DataFrame:
     """Trim column names and every string value."""
     return df.select([F.trim(F.col(f"`{c}`")).alias(c.strip()) if t == "string" else F.col(f"`{c}`").alias(c.strip()) for c, t in df.dtypes])
@@ -394,9 +409,18 @@ def k01(spark, sf):
 
 
 def replace_table(spark, df: DataFrame, filename: str, base: str) -> str:
-    """Atomic replace of a table named from the file name (external table in ``base``)."""
+    """Replace a table named from the file name (external table in ``base``). The new
+    rows are written to a folder of their own first; then the table's location is switched, so
+    readers see the old or the new rows, never a gap. A changed schema recreates the entry."""
     name = sanitise_table_name(filename)
-    df.write.mode("overwrite").option("path", os.path.join(base, name)).saveAsTable(name)
+    path = os.path.join(base, name, f"v-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    if spark.catalog.tableExists(name) and [(f.name, f.dataType) for f in spark.table(name).schema] == [(f.name, f.dataType) for f in df.schema]:
+        spark.sql(f"ALTER TABLE `{name}` SET LOCATION '{path}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        spark.catalog.createTable(name, path=path, source="parquet")
     return name
 
 
