@@ -167,18 +167,20 @@ def u06(spark, sf):
 REQUIRED = {"clips": ["video_id", "user_name", "input_type", "published_url", "uploaded_by"]}
 
 
-def set_difference_columns(spark, df: DataFrame, required: list[str]) -> DataFrame:
-    """Required column names missing from / present in a schema (left-anti / left-semi)."""
-    req = spark.createDataFrame([(c,) for c in required], "name string")
-    have = spark.createDataFrame([(c,) for c in df.columns], "name string")
-    missing = req.join(have, "name", "left_anti").select("name", F.lit("missing").alias("state"))
-    present = req.join(have, "name", "left_semi").select("name", F.lit("present").alias("state"))
-    return missing.unionByName(present)
+def set_difference_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    """Required columns missing from / present in a frame, with the rows that hold a value
+    (one aggregate over the present ones)."""
+    have = set(df.columns)
+    held = df.agg(*[F.count(F.col(c)).alias(c) for c in required if c in have], F.count(F.lit(1)).alias("_all"))
+    rows = [F.struct(F.lit(c).alias("name"), F.lit("present" if c in have else "missing").alias("state"),
+                     (F.col(c) if c in have else F.lit(0)).cast("bigint").alias("rows_with_value")) for c in required]
+    return held.select(F.inline(F.array(*rows)))
 
 
 @query("u07_set_difference_columns", oracle(
-    """SELECT name, CASE WHEN name IN ('video_id', 'user_name', 'input_type', 'published_url') THEN 'present' ELSE 'missing' END AS state
-  FROM (VALUES ('video_id'), ('user_name'), ('input_type'), ('published_url'), ('uploaded_by')) v(name)"""))
+    """SELECT 'video_id' AS name, 'present' AS state, COUNT(video_id) AS rows_with_value FROM clips
+UNION ALL SELECT 'user_name', 'present', COUNT(user_name) FROM clips UNION ALL SELECT 'input_type', 'present', COUNT(input_type) FROM clips
+UNION ALL SELECT 'published_url', 'present', COUNT(published_url) FROM clips UNION ALL SELECT 'uploaded_by', 'missing', 0""", "clips"))
 def u07(spark, sf):
     c = D(spark, sf).clips()
-    return set_difference_columns(spark, c, REQUIRED["clips"])
+    return set_difference_columns(c, REQUIRED["clips"])

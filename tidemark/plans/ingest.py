@@ -20,11 +20,13 @@ from tidemark.session import scratch_dir
 from tidemark.sources.domain import Domain, oracle
 from tidemark.sources.exports import (
     ALL_EXPORTS,
+    EXPORT_VIEWS,
     STRATEGIES,
     BLANK_ID_LINE,
     duration_cols_raw_secs,
     file_fingerprints,
     incremental_clean,
+    line_counts,
     normalise_channel_col,
     read_export_split,
     replace_table,
@@ -186,11 +188,12 @@ def e09(spark, sf):
 
 
 @query("e10_route_by_strategy", oracle(
-    "SELECT filename, route FROM (VALUES " + ", ".join(f"('{n}', '{STRATEGIES.get(n, 'error: unknown file')}')" for n in ALL_EXPORTS)
-    + ") v(filename, route)"))
+    " UNION ALL ".join(f"SELECT '{n}' AS filename, '{STRATEGIES.get(n, 'error: unknown file')}' AS route, COUNT(*) AS data_lines FROM {EXPORT_VIEWS[n]}"
+                       for n in ALL_EXPORTS), *sorted(set(EXPORT_VIEWS.values()) - {"region"})))
 def e10(spark, sf):
     base = write_exports(spark, sf)
-    return route_files(spark, file_fingerprints(spark, base))
+    routed = route_files(spark, file_fingerprints(spark, base))
+    return routed.join(line_counts(spark, base), "filename").select("filename", "route", "data_lines")
 
 
 @query("e11_backfill")

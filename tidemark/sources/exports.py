@@ -387,12 +387,24 @@ def known_unknown(spark, files: DataFrame) -> DataFrame:
     return known.unionByName(unknown)
 
 
+def line_counts(spark, base: str) -> DataFrame:
+    """Data lines of every export: all lines but one header for each part that has any."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(base)
+    path = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))  # spaces come encoded
+    part = lines.groupBy(path.alias("path")).agg((F.count(F.lit(1)) - 1).alias("n"))
+    return part.groupBy(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("filename")).agg(F.sum("n").cast("bigint").alias("data_lines"))
+
+
+EXPORT_VIEWS = {**{n: f"mart_{m}" for n, (m, _, _) in AGG_EXPORTS.items()}, "monthly.csv": "mart_monthly", "monthly_duration.csv": "mart_monthly",
+                 "publishing.csv": "mart_channels", "publishing_duration.csv": "mart_channels", "video_list.csv": "detail_export", UNKNOWN_EXPORT: "region"}
+
+
 @query("s06_list_known_files", oracle(
-    "SELECT filename, known FROM (VALUES " + ", ".join(f"('{n}', {str(n in STRATEGIES).lower()})" for n in ALL_EXPORTS)
-    + ") v(filename, known)"))
+    " UNION ALL ".join(f"SELECT '{n}' AS filename, {str(n in STRATEGIES).lower()} AS known, COUNT(*) AS data_lines FROM {EXPORT_VIEWS[n]}" for n in ALL_EXPORTS),
+    *sorted(set(EXPORT_VIEWS.values()) - {"region"})))
 def s06(spark, sf):
     base = write_exports(spark, sf)
-    return known_unknown(spark, list_files(spark, base))
+    return known_unknown(spark, list_files(spark, base)).join(line_counts(spark, base), "filename").select("filename", "known", "data_lines")
 
 
 @query("s07_file_fingerprint")
