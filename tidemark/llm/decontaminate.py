@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ALNUM, LOWER, Words, materialise, utf8
+from tidemark.llm.common import ALNUM, LOWER, Words, materialise, small, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -39,9 +39,9 @@ def normalise(blob: bytes) -> bytes:
 
 def _windows(size: int):
     def cut(batches):
-        for b in batches:
+        for b in small(batches):
             ids, texts, lengths = [], [], []
-            for item, blob in zip(b.column(0).to_pylist(), utf8(b.column(1).to_pylist()), strict=True):
+            for item, blob in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
                 words = normalise(blob).split()
                 for i in range(max(1, len(words) - size + 1) if words else 0):
                     ids.append(item)
@@ -77,10 +77,10 @@ def _scan(shared, last: bool):
 
     def scan(batches):
         automaton = _automaton(shared.value)
-        for b in batches:
+        for b in small(batches):
             texts, ranges, items = b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()
             rows = []
-            for k, blob in enumerate(utf8(texts.to_pylist())):
+            for k, blob in enumerate(utf8(texts)):
                 text = b" " + normalise(blob) + b" "
                 space = None
                 found, own = ranges[k] or [], set(items[k] or [])

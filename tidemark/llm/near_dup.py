@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HASHER, NOT_SPACE, U64, Words, connected_components, materialise, mix, slices, utf8
+from tidemark.llm.common import HASHER, NOT_SPACE, U64, Words, connected_components, materialise, mix, small, slices, utf8
 
 K = 5
 BANDS, ROWS = 40, 7
@@ -96,8 +96,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _features(batches):
-    for b in batches:
-        blobs = utf8(b.column(1).to_pylist())
+    for b in small(batches):
+        blobs = utf8(b.column(1))
         sets = shingle_sets(blobs)
         full = [i for i, s in enumerate(sets) if len(s)]
         h1 = np.zeros(len(sets), np.int64)
@@ -117,8 +117,8 @@ def _features(batches):
 
 def _sets(batches):
     """(node, cluster, n_blocks, block, text) -> the shingle set instead of the text."""
-    for b in batches:
-        sets = shingle_sets(utf8(b.column(4).to_pylist()))
+    for b in small(batches):
+        sets = shingle_sets(utf8(b.column(4)))
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), b.column(2), b.column(3), pa.array([s.tobytes() for s in sets], pa.binary())],
             names=["node", "cluster", "n_blocks", "block", "shingles"])

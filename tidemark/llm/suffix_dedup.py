@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HASHER, U64, materialise, mix, slices, utf8
+from tidemark.llm.common import HASHER, U64, materialise, mix, small, slices, utf8
 
 LENGTH = 200
 CONTEXT = 48
 HOT = 50_000
 RANGE_ITEMS = 40_000  # suffixes aimed at in a range
 SPLIT_SAMPLE = 20_000
+RUN_BYTES = 8 << 20  # bytes of suffixes a task sorts into one run
 
 
 def digest(blob: bytes) -> tuple[int, int]:
@@ -98,8 +99,8 @@ def _lists(doc: np.ndarray, n: int, values: np.ndarray, kind) -> pa.Array:
 def _scan(length: int, context: int):
     """(doc_id, text) to digests and anchors."""
     def run(batches):
-        for b in batches:
-            blobs = utf8(b.column(1).to_pylist())
+        for b in small(batches):
+            blobs = utf8(b.column(1))
             doc, p, _, _, fp = anchors(blobs, length, context)
             keys = [digest(x) for x in blobs]
             yield pa.RecordBatch.from_arrays(
@@ -112,8 +113,8 @@ def _scan(length: int, context: int):
 
 
 def _keyed(batches):
-    for b in batches:
-        blobs = utf8(b.column(0).to_pylist())
+    for b in small(batches):
+        blobs = utf8(b.column(0))
         keys = [digest(x) for x in blobs]
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                                           pa.array(blobs, pa.binary())], names=["d1", "d2", "blob"])
@@ -255,7 +256,7 @@ def _runs(length: int, context: int, splitters: list[bytes]):
                 yield rows(kind=[1] * len(item), run=[number] * len(item), item=item, d1=d1, d2=d2, p=p)
             held, places, size, number = {}, [], 0, number + 1
 
-        for b in batches:
+        for b in small(batches):
             d1s, d2s, blobs = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
             wanted, hots = b.column(3).to_pylist(), b.column(4).to_pylist()
             doc, p, first, last, _ = anchors(blobs, length, context)
@@ -277,7 +278,7 @@ def _runs(length: int, context: int, splitters: list[bytes]):
                 entry[1] += 1
                 places.append((entry[0], d1s[i], d2s[i], at))
                 size += len(key[0]) + len(key[1])
-            if size > 32 << 20:
+            if size > RUN_BYTES:
                 yield from flush()
         yield from flush()
 
@@ -314,7 +315,7 @@ def _merge_range(length: int, context: int):
 
 def _cut(batches):
     """(d1, d2, blob, ranges) to the sizes and the hash of what is left."""
-    for b in batches:
+    for b in small(batches):
         rows = []
         for d1, d2, blob, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
             kept, at, gone, spans = hashlib.sha256(), 0, 0, 0
@@ -382,6 +383,6 @@ def _splitters(texts: DataFrame, n_items: int, range_items: int, context: int) -
     n = -(-n_items // range_items)
     if n < 2:
         return []
-    chosen = texts.select("d1", "d2", F.element_at("p", 1).alias("p"), F.size("p").alias("n"), "blob").orderBy(F.xxhash64("d1", "d2"), "d1", "d2").limit(SPLIT_SAMPLE)
-    sample = sorted(bytes(r.c) for r in chosen.select(F.expr(f"substring(blob, p + 1, {context})").alias("c")).collect())
+    starts = texts.select("d1", "d2", F.expr(f"substring(blob, element_at(p, 1) + 1, {context})").alias("c"))
+    sample = sorted(bytes(r.c) for r in starts.orderBy(F.xxhash64("d1", "d2"), "d1", "d2").limit(SPLIT_SAMPLE).collect())
     return sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
