@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from tidemark.llm.common import ALNUM, HASHER, NOT_SPACE, U64, Words, mix, slices, utf8
+from tidemark.llm.common import ALNUM, HASHER, NOT_SPACE, U64, Words, mix, small, slices, utf8
 
 BITS = 20
 SAMPLE = 24000
@@ -74,7 +74,7 @@ def features(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             rows.append(plain.doc)
             keys.append(mix(HASHER.ranges(prefix, plain.start, end) + U64(k or 0)))
         for step in range(1, 7):
-            ok = share >= 0.5**step
+            ok = (share >= 0.5**step) & ((kind != _REPEAT) | (n >= 3))  # two equal words in a row happen by chance
             rows.append(doc[ok])
             keys.append(mix(kind[ok] * U64(64) + U64(step)))
         code = np.unique((np.concatenate(rows) << BITS) | (np.concatenate(keys) >> U64(64 - BITS)).astype(np.int64))
@@ -150,8 +150,8 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, batch: int = 6
 
 
 def _featurise(batches):
-    for b in batches:
-        ptr, idx = features(utf8(b.column(0).to_pylist()))
+    for b in small(batches):
+        ptr, idx = features(utf8(b.column(0)))
         rows = [idx[ptr[i] : ptr[i + 1]].tobytes() for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], names=["x", "grade"])
 
@@ -173,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _score(shared, least_tail: float):
     def score(batches):
         model = shared.value if shared is not None else None
-        for b in batches:
-            blobs = utf8(b.column(1).to_pylist())
+        for b in small(batches):
+            blobs = utf8(b.column(1))
             if model is None:
                 grade = tail = pa.nulls(len(blobs), pa.float64())
                 keep = pa.array([True] * len(blobs))
