@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, small
 
 MARKS = ["[INST]", "[/INST]", "<s>", "</s>"]
 RESERVED = 50300  # ids of the marks, in this order; the vocabulary ends below
@@ -77,7 +77,7 @@ def assemble(head: list[int], body: list[int], loss: bool) -> tuple[np.ndarray,
 def _encode(path: str):
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in small(batches, 128):  # an encoding holds far more than its ids
             roles = [r or "" for r in b.column(2).to_pylist()]
             heads = t.encode_batch([escape_role(r) + "\n" for r in roles], add_special_tokens=False)
             bodies = t.encode_batch([escape(x or "") for x in b.column(3).to_pylist()], add_special_tokens=False)
@@ -99,7 +99,7 @@ def _chunks(batches):
              pa.array([np.concatenate(ids)], pa.list_(pa.int32())), pa.array([np.concatenate(mask)], pa.list_(pa.int8()))],
             names=["conv_id", "chunk", "first_token", "ids", "mask"])
 
-    for b in batches:
+    for b in small(batches):
         for c, i, m in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
             i, m = i.values.to_numpy(), m.values.to_numpy()
             if begun and (c != conv or held + len(i) > CHUNK_TOKENS):
@@ -143,7 +143,7 @@ def decode(t, ids: np.ndarray, mask: np.ndarray) -> tuple[list[tuple[str, str]],
 def _decode(path: str):
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in small(batches, 128):
             rows = []
             for i, m in zip(b.column(2), b.column(3), strict=True):
                 turns, learnt, size = decode(t, i.values.to_numpy(), m.values.to_numpy())
@@ -166,7 +166,7 @@ def _digests(batches):
              pa.array([loss.hexdigest()]), pa.array([size], pa.int64())],
             names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    for b in batches:
+    for b in small(batches):
         for c, _, n, turns, learnt, size in zip(*(x.to_pylist() for x in b.columns), strict=True):
             if begun and c != conv:
                 yield row()
