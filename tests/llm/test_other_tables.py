@@ -109,6 +109,18 @@ def test_copies_of_one_article_stay(spark):
     assert {r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"Same\nSame text"}
 
 
+def test_rare_layouts_keep_their_text_on_a_large_host(spark):
+    own = lambda i: hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+    page = lambda i, cls, text: f"<body><div class=wrap><div class=legal>All rights kept</div><div class={cls}><p>{text} {i}</div></div>"
+    rows = [(i, "http://big.example/", page(i, "body", "Common")) for i in range(3000)]
+    rows += [(10_000 + i, "http://big.example/", page(i, "rare", "Rare")) for i in range(8)]
+    rows += [(20_000 + i, "http://big.example/", f"<body class=post-{own(i)}><div class=text-{own(i)}><p>Slug {i}</div>") for i in range(8)]
+    rows += [(30_000, "http://big.example/", page(0, "single", "Single"))]
+    text = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert text[7] == "Common 7" and text[30_000] == "Single 0"
+    assert all(text[10_000 + i] == f"Rare {i}" and text[20_000 + i] == f"Slug {i}" for i in range(8))
+
+
 def test_parser_structure():
     page = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><div id=top class='cookie-notice'>We use cookies</div>
     <main><!-- x --><h2>Hello &amp; bye</h2><p>One <b>two\n three</b><p>Four &#39;x&#39;&nbsp; y<ul><li>a<li>b <ul><li>c</ul></ul><table><tr><td>1<td>2</table>

@@ -8,8 +8,10 @@ and comments, told by element, role or words of class and id, are left out; wher
 For all other content the pages of a host are merged into one style tree: an element node is a
 path of elements with their classes; a page adds to each of its nodes its style (the sequence
 of child nodes) and its content (the hash of its text there). A node's importance is the
-entropy of its styles and of its contents over the host's pages, to the base of their number:
-what looks and reads the same everywhere scores near 0. Inner nodes weigh in their children
+entropy of its styles and of its contents over the pages that hold the node (of its contents:
+that have text there), to the base of their number: what looks and reads the same wherever it
+occurs scores near 0, on a host of any size. On fewer than ``MIN_PAGES`` pages there is nothing
+to tell a template by, so the score is 1. Inner nodes weigh in their children
 (with ``GAMMA`` per style, as a deviation from the template already counts). Branches that
 score below ``LEAST`` in all their nodes are removed from each page. Counting is a grouped sum by (host, node, style or
 content), combined map-side, so a host with a third of all pages is no group in one task; only
@@ -254,10 +256,12 @@ def _judge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _entropy(rows: DataFrame, value: str) -> DataFrame:
-    """Entropy (natural) and number of kinds of a value for each (host, node)."""
+    """Entropy and number of kinds of a value for each (host, node). The base is the number of
+    the node's own pages, not the host's: the score of a rare layout does not sink as the host grows."""
     counts = rows.groupBy("host", "node", value).agg(F.sum("c").alias("c"))
     summed = counts.groupBy("host", "node").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.count("*").alias("kinds"))
-    return summed.select("host", "node", (F.log("total") - F.col("clogc") / F.col("total")).alias(f"{value}_h"), F.col("kinds").alias(f"{value}_kinds"))
+    share = F.when(F.col("total") < MIN_PAGES, 1.0).otherwise(1 - F.col("clogc") / F.col("total") / F.log("total"))
+    return summed.select("host", "node", share.alias(value), F.col("kinds").alias(f"{value}_kinds"))
 
 
 def noise_nodes(parsed: DataFrame) -> DataFrame:
@@ -270,8 +274,7 @@ def noise_nodes(parsed: DataFrame) -> DataFrame:
     rows = materialise(rows.join(pages.select("host"), "host", "left_semi"), "style-tree")
     nodes = rows.groupBy("host", "node").agg(F.min("parent").alias("parent"))
     nodes = nodes.join(_entropy(rows, "style"), ["host", "node"]).join(_entropy(rows.where("content <> 0"), "content"), ["host", "node"], "left")
-    nodes = nodes.join(pages, "host").select("host", "node", "parent", (F.col("style_h") / F.log("pages")).alias("style"),
-                                             (F.col("content_h") / F.log("pages")).alias("content"), F.col("style_kinds").alias("styles"))
+    nodes = nodes.select("host", "node", "parent", "style", "content", F.col("style_kinds").alias("styles"))
     judged = nodes.groupBy("host").applyInPandas(_judge, "host string, node long")
     return materialise(judged.groupBy("host").agg(F.collect_list("node").alias("noise")), "noise")
 
