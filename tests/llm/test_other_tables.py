@@ -130,6 +130,21 @@ def test_parser_structure():
     assert html_text.parse("<p>cut <a href=\"x")[0][0][2] == "cut" and html_text.parse("<" * 50)[0][0][2] == "<" * 50
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>", "<div class='page no-sidebar'>", "<main class='with-banner'>", "<div id='share-story'>",
+                                     "<div class='sidebar'>", "<section class='page-header'>", "<span class=social>"])
+@pytest.mark.parametrize("inside", ["<article class='post comments-open'><p>Story text of some length<div class=ad>Buy</div></article>", "<article class=related><p>Story text of some length</article>",
+                                    "<div><p>Story text of some length</div>"])
+def test_names_leave_out_no_main_text(wrapper, inside):
+    page = f"<body><div class=cookie-notice>Cookies</div>{wrapper}{inside}</{wrapper[1:].split()[0]}><div class='share related'>More</div></body>"
+    assert [t for _, _, t in html_text.parse(page)[0]] == ["Story text of some length"]
+
+
+def test_names_leave_out_what_stands_beside_the_main_text():
+    story, more = "<article><p>Story text of some length</article>", "<div class=related><article>Teaser</article></div>"
+    assert [t for _, _, t in html_text.parse(story + more + "<p class=ad-2>Buy<p>a <b class=share>b</b> c")[0]] == ["Story text of some length", "a c"]
+    assert [t for _, _, t in html_text.parse("<div class=ad>An advert longer than the article</div><article>Short</article>")[0]] == ["Short"]
+
+
 # ---- vectors
 
 VECTORS = "vec_id long, embedding array<float>"

@@ -2,7 +2,10 @@
 
 Each page is parsed once into text blocks (runs of inline content of one block element). Known
 structure decides first: scripts, menus, headers, footers, side bars, notices, adverts, forms
-and comments, told by element, role or words of class and id, are left out; where a page has an
+and comments, told by element, role or whole names of class and id (``cookie-notice``, but not
+``has-sidebar``), are left out. A name leaves out no article or main, no element with the page's
+only or larger article or main in it, and none that holds most of the page's text (where an
+article or main stands elsewhere: nearly all of it). Where a page has an
 ``article`` (else a ``main``), only blocks inside it count, and the style tree leaves these be.
 
 For all other content the pages of a host are merged into one style tree: an element node is a
@@ -40,6 +43,10 @@ from tidemark.llm.common import materialise
 MIN_PAGES = 5
 GAMMA = 0.9
 LEAST = 0.3
+# Share of a page's text from which on a name of class or id leaves out no element: without, and
+# with an article or main elsewhere on the page.
+MOST = 0.5
+NEARLY_ALL = 0.9
 
 # HTML element names by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,34 +79,60 @@ def _hash(*parts) -> int:
 
 
 class Element:
-    __slots__ = ("name", "out", "zone", "path", "node", "parent", "children", "words")
+    __slots__ = ("name", "out", "named", "core", "zone", "path", "parent", "above", "own", "children", "words")
 
-    def __init__(self, name, out, zone, path, parent):
-        self.name, self.out, self.zone, self.path, self.parent = name, out, zone, path, parent
+    def __init__(self, name, out, named, core, zone, path, parent, above):
+        self.name, self.out, self.named, self.core, self.zone, self.path, self.parent, self.above = name, out, named, core, zone, path, parent, above
+        self.own = 0  # characters of text, without white space at the ends
         self.children: list[int] = []
         self.words: list[str] = []
 
 
-def _label(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """(name with classes, left out by its attributes, header by its attributes)."""
+def _label(name: str, attrs: str) -> tuple[str, bool, bool, bool]:
+    """(name with classes, left out by its attributes, by a whole name of class or id, header by such a name)."""
     if not attrs.strip():
-        return name, False, False
+        return name, False, False, False
     found = {}
     for k, a, b, c in _ATTR.findall(attrs):
         found.setdefault(k.lower(), html.unescape(a or b or c))
     named = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = set(re.split(r"[^a-z0-9]+", named))
+    # A name counts if all its words do.
+    names = [{w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", n) if w and not w.isdigit()} for n in named.split()]
     style = found.get("style", "").replace(" ", "").lower()
-    out = (bool(words & OUT_WORDS) or found.get("role", "").lower() in OUT_ROLES or "hidden" in found
+    out = (found.get("role", "").lower() in OUT_ROLES or "hidden" in found
            or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style)
     classes = ".".join(sorted(_NUMBER.sub("#", found.get("class", "").lower()).split()))
-    return f"{name}.{classes}" if classes else name, out, bool(words & HEADER_WORDS)
+    return (f"{name}.{classes}" if classes else name, out, any(words and words <= OUT_WORDS for words in names),
+            not HEADER_WORDS.isdisjoint(named.split()))
+
+
+def _leave_out(elements: list[Element]) -> None:
+    """Mark what the names of class and id leave out, and all below it. Elements in page order."""
+    if any(e.named for e in elements):
+        held = {id(e): e.own for e in elements}
+        cores = dict.fromkeys(held, 0)  # text in the articles and mains at and below an element
+        for e in reversed(elements):
+            if e.core:
+                cores[id(e)] = held[id(e)]
+            if e.parent is not None:
+                held[id(e.parent)] += held[id(e)]
+                cores[id(e.parent)] += cores[id(e)]
+        free = {}  # no named element at or above: in an article or main?
+        for e in elements:
+            up = False if e.parent is None else free[id(e.parent)]
+            free[id(e)] = None if e.named or up is None else up or e.core
+        beside = sum(e.own for e in elements if free[id(e)])
+        share = (NEARLY_ALL if beside else MOST) * held[id(elements[0])]
+        for e in elements:
+            e.out = e.out or (e.named and not e.core and held[id(e)] <= share and cores[id(e)] <= beside)
+    for e in elements:
+        e.out = e.out or (e.parent is not None and e.parent.out)
 
 
 def parse(text: str) -> tuple[list[tuple[int, int, str]], list[Element]]:
     """Blocks as (zone, node, text) in page order, and the page's open-zone elements. Zone: 2
     inside an article, 1 inside a main, else 0."""
-    root = Element("#root", False, 0, _hash("#root"), None)
+    root = Element("#root", False, False, False, 0, _hash("#root"), None, None)
     stack, blocks, elements, held = [root], [], [root], []
 
     def close(names, within=()):
@@ -121,18 +154,16 @@ def parse(text: str) -> tuple[list[tuple[int, int, str]], list[Element]]:
 
     def flush_to(element):
         if held:
-            block = " ".join(html.unescape("".join(held)).split())
+            blocks.append((element, held.copy()))
             held.clear()
-            if block and not element.out:
-                blocks.append((element.zone, element, block))
-                element.words.append(block)
 
     pos, size = 0, len(text)
     while pos < size:
         m = _TOKEN.search(text, pos)
         upto = m.start() if m else size
         if upto > pos and not stack[-1].out:
-            held.append(text[pos:upto])
+            held.append((stack[-1], text[pos:upto]))
+            stack[-1].own += len(text[pos:upto].strip())
         if not m:
             break
         pos = m.end()
@@ -155,29 +186,37 @@ def parse(text: str) -> tuple[list[tuple[int, int, str]], list[Element]]:
                 close({other}, SCOPE.get(other, set()) | SCOPE.get(name, set()))
         if name == "br":
             if not stack[-1].out:
-                held.append(" ")
+                held.append((stack[-1], " "))
             continue
         if name in VOID:
             continue
         up = stack[-1]
-        label, hinted, header = _label(name, m["attrs"])
-        zone = max(up.zone, 2 if name == "article" else 1 if name == "main" or 'role="main"' in m["attrs"] else 0)
-        gone = name not in ("html", "body") and (hinted or (header and zone == 0))
-        out = up.out or name in OUT or gone or (name == "header" and up.zone == 0)
+        label, hidden, named, header = _label(name, m["attrs"])
+        own = 2 if name == "article" else 1 if name == "main" or 'role="main"' in m["attrs"] else 0
+        zone = max(up.zone, own)
+        named = name not in ("html", "body") and (named or (header and zone == 0))
+        out = up.out or name in OUT or (hidden and name not in ("html", "body")) or (name == "header" and up.zone == 0)
         path = up.path if name in INLINE else _hash(up.path, label)
         if name in RAW:
             # Their text is no markup: skip to the end tag.
             stop = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.I).search(text, pos)
             pos = stop.end() if stop else size
             continue
-        element = Element(name, out, zone, path, up)
+        element = Element(name, out, named, own > 0, zone, path, up, up if up.name not in INLINE else up.above)
         stack.append(element)
-        if name not in INLINE and not out:
-            block_of_parent = next((e for e in reversed(stack[:-1]) if e.name not in INLINE), root)
-            block_of_parent.children.append(path)
-            elements.append(element)
+        elements.append(element)
     flush_to(block_of())
-    return [(z, e.path, t) for z, e, t in blocks], elements
+    _leave_out(elements)
+    found = []
+    for element, pieces in blocks:
+        block = " ".join(html.unescape("".join([t for e, t in pieces if not e.out])).split())
+        if block and not element.out:
+            found.append((element.zone, element.path, block))
+            element.words.append(block)
+    kept = [e for e in elements if e.name not in INLINE and not e.out]
+    for e in kept[1:]:
+        e.above.children.append(e.path)
+    return found, kept
 
 
 def page_nodes(elements: list[Element]) -> list[dict]:
