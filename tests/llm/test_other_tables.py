@@ -130,6 +130,16 @@ def test_parser_structure():
     assert html_text.parse("<p>cut <a href=\"x")[0][0][2] == "cut" and html_text.parse("<" * 50)[0][0][2] == "<" * 50
 
 
+def test_articles_are_judged_by_the_tree_too(spark):
+    # Title and lead outside the article; a box in it that reads the same everywhere; a teaser article on a div page.
+    rows = [(i, "http://a.example/", f"<body><div class=slogan>We print news</div><h1>Title {i}</h1><p class=lead>Lead {i}</p><article><p>Story {i} of some length"
+             "<div class=box>Printed in Utopia</div></article>") for i in range(20)]
+    rows += [(100 + i, "http://d.example/", f"<body><div class=slogan>We print news</div><div class=body><p>Story {i} of some length, told in a div</div>"
+              "<article>Teaser</article>") for i in range(20)]
+    text = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(text[i] == f"Title {i}\nLead {i}\nStory {i} of some length" and text[100 + i] == f"Story {i} of some length, told in a div" for i in range(20))
+
+
 @pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>", "<div class='page no-sidebar'>", "<main class='with-banner'>", "<div id='share-story'>",
                                      "<div class='sidebar'>", "<section class='page-header'>", "<span class=social>"])
 @pytest.mark.parametrize("inside", ["<article class='post comments-open'><p>Story text of some length<div class=ad>Buy</div></article>", "<article class=related><p>Story text of some length</article>",

@@ -5,10 +5,9 @@ structure decides first: scripts, menus, headers, footers, side bars, notices, a
 and comments, told by element, role or whole names of class and id (``cookie-notice``, but not
 ``has-sidebar``), are left out. A name leaves out no article or main, no element with the page's
 only or larger article or main in it, and none that holds most of the page's text (where an
-article or main stands elsewhere: nearly all of it). Where a page has an
-``article`` (else a ``main``), only blocks inside it count, and the style tree leaves these be.
+article or main stands elsewhere: nearly all of it).
 
-For all other content the pages of a host are merged into one style tree: an element node is a
+All that is left, articles and mains included, is merged into one style tree for each host: an element node is a
 path of elements with their classes; a page adds to each of its nodes its style (the sequence
 of child nodes) and its content (the hash of its text there). A node's importance is the
 entropy of its styles and of its contents over the pages that hold the node (of its contents:
@@ -16,7 +15,9 @@ that have text there), to the base of their number: what looks and reads the sam
 occurs scores near 0, on a host of any size. On fewer than ``MIN_PAGES`` pages there is nothing
 to tell a template by, so the score is 1. Inner nodes weigh in their children
 (with ``GAMMA`` per style, as a deviation from the template already counts). Branches that
-score below ``LEAST`` in all their nodes are removed from each page. Counting is a grouped sum by (host, node, style or
+score below ``LEAST`` in all their nodes are removed from each page. The tags are a prior to
+this: where the articles (else the mains) hold most of a page's text, they are the page's main
+part, and the tree's verdict on it holds only if it leaves most of its text. Counting is a grouped sum by (host, node, style or
 content), combined map-side, so a host with a third of all pages is no group in one task; only
 the merged tree of a host (nodes, not pages) is handled together. Pages of equal html count
 once, and hosts with fewer than ``MIN_PAGES`` different pages keep all branches.
@@ -130,7 +131,7 @@ def _leave_out(elements: list[Element]) -> None:
 
 
 def parse(text: str) -> tuple[list[tuple[int, int, str]], list[Element]]:
-    """Blocks as (zone, node, text) in page order, and the page's open-zone elements. Zone: 2
+    """Blocks as (zone, node, text) in page order, and the page's block elements. Zone: 2
     inside an article, 1 inside a main, else 0."""
     root = Element("#root", False, False, False, 0, _hash("#root"), None, None)
     stack, blocks, elements, held = [root], [], [root], []
@@ -220,11 +221,9 @@ def parse(text: str) -> tuple[list[tuple[int, int, str]], list[Element]]:
 
 
 def page_nodes(elements: list[Element]) -> list[dict]:
-    """The page's style-tree nodes outside articles: node, parent, style, content (0: no text)."""
+    """The page's style-tree nodes: node, parent, style, content (0: no text)."""
     nodes: dict[int, dict] = {}
     for e in elements:
-        if e.zone:
-            continue
         parent = e.parent.path if e.parent is not None else 0
         n = nodes.setdefault(e.path, {"parent": parent, "style": [], "content": []})
         n["style"].append(",".join(map(str, e.children)))
@@ -233,14 +232,21 @@ def page_nodes(elements: list[Element]) -> list[dict]:
             for k, n in nodes.items()]
 
 
+def main_zone(blocks: list[tuple[int, int, str]]) -> int:
+    """The zone (2: articles, 1: mains) that holds most of the page's text; 3 if none does."""
+    total = sum(len(t) for _, _, t in blocks)
+    return next((zone for zone in (2, 1) if sum(len(t) for z, _, t in blocks if z >= zone) > MOST * total), 3)
+
+
 def _parse_pages(batches):
-    block_type = pa.list_(pa.struct([("zone", pa.int8()), ("node", pa.int64()), ("text", pa.string())]))
+    block_type = pa.list_(pa.struct([("main", pa.bool_()), ("node", pa.int64()), ("text", pa.string())]))
     node_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("node", "parent", "style", "content")]))
     for b in batches:
         blocks, nodes, digests = [], [], []
         for text in b.column(2).to_pylist():
             found, elements = parse(text or "")
-            blocks.append([{"zone": z, "node": n, "text": t} for z, n, t in found])
+            least = main_zone(found)
+            blocks.append([{"main": z >= least, "node": n, "text": t} for z, n, t in found])
             nodes.append(page_nodes(elements))
             digests.append(_hash(text or ""))
         yield pa.RecordBatch.from_arrays(
@@ -248,7 +254,7 @@ def _parse_pages(batches):
             names=["page_id", "url", "digest", "blocks", "nodes"])
 
 
-PARSED = ("page_id long, url string, digest long, blocks array<struct<zone:tinyint,node:long,text:string>>, "
+PARSED = ("page_id long, url string, digest long, blocks array<struct<main:boolean,node:long,text:string>>, "
           "nodes array<struct<node:long,parent:long,style:long,content:long>>")
 
 
@@ -318,6 +324,10 @@ def noise_nodes(parsed: DataFrame) -> DataFrame:
     return materialise(judged.groupBy("host").agg(F.collect_list("node").alias("noise")), "noise")
 
 
+def _chars(blocks):
+    return F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.length(b["text"]))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
@@ -325,7 +335,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         "host", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]+)", 1))), "parsed-pages")
     noise = noise_nodes(parsed)
     joined = parsed.join(noise, "host", "left")
-    top = F.array_max(F.transform("blocks", lambda b: b["zone"]))
-    kept = F.filter("blocks", lambda b: (b["zone"] == top) & ~F.coalesce(F.array_contains("noise", b["node"]), F.lit(False)))
+    main = F.filter("blocks", lambda b: b["main"])
+    noisy_main = F.filter(main, lambda b: F.array_contains("noise", b["node"]))
+    whole_main = F.coalesce(_chars(noisy_main) >= (1 - MOST) * _chars(main), F.lit(False))
+    clean = lambda b: ~F.coalesce(F.array_contains("noise", b["node"]), F.lit(False))
+    # The condition stands outside the filters: inside, it would be worked out for each block.
+    kept = F.when(whole_main, F.filter("blocks", lambda b: b["main"] | clean(b))).otherwise(F.filter("blocks", clean))
     text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["text"]), "\n"), F.lit(""))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
