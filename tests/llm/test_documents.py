@@ -166,6 +166,17 @@ def test_surrogates_are_consistent_and_keep_format(spark):
     assert re.fullmatch(r"192\.168\.\d+\.\d+ and 10\.\d+\.\d+\.\d+", text[9]) and len(set(text[8].split())) == 1
 
 
+def test_names_of_a_broad_list_capitals_and_bare_surnames(spark):
+    rows = [(i, f"Then {n} spoke.") for i, n in enumerate(["Mary Johnson", "David Brown", "ALICE SMITH", "Anna Weber", "Paul Adams", "Ксения Орлова", "MRS. HUDSON"])]
+    rows += [(50, "Laura Miller came. Miller, MILLER's and Millers; Emma Green saw green and Green."), (51, "Miller came")]
+    text = {r.row.doc_id: r for r in pii.replace_entities(frame(spark, rows)).collect()}
+    for i, t in rows[:7]:
+        assert text[i].n_entities == 1 and not set(re.findall(r"\w+", text[i].text)) & (set(re.findall(r"\w+", t)) - {"Then", "spoke", "MRS"}), text[i].text
+    assert re.fullmatch(r"Then [A-Z]+ [A-Z]+ spoke\.", text[2].text)
+    new = re.fullmatch(r"(\w+) (\w+) came\. (\w+), (\w+)'s and Millers; (\w+) (\w+) saw green and Green\.", text[50].text)
+    assert new[2] == new[3] != "Miller" and new[4] == new[2].upper() and new[6] != "Green" and text[51].text == "Miller came"
+
+
 def test_surrogates_settle_collisions(spark, monkeypatch):
     # A replacement space of few surnames forces clashes; all must end distinct and unlike any real one.
     monkeypatch.setitem(pii.SYLLABLES, "latin", "ba be bi bo")

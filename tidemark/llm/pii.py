@@ -2,7 +2,8 @@
 
 Entities: e-mail addresses, IPv4 addresses, payment cards, phone numbers, social security
 numbers, IBANs, access keys, password/token assignments and person names (a known given name
-and a surname, or a title and a name). Each gets a replacement derived from a keyed SHA-512 of
+and a surname, or a title and a name, in title case or capitals; and the bare surnames of these
+persons anywhere in the same text, where the word does not occur in small letters there). Each gets a replacement derived from a keyed SHA-512 of
 its canonical form, so mentions of one entity agree in all documents (coreference), whatever
 their spelling (case of an address, punctuation of a number). Replacements keep the type and
 format: letters, digits and punctuation stay in place, a card keeps its first digit and a
@@ -32,16 +33,45 @@ MAX_ROUNDS = 64
 
 # Given names by (gender, script).
 GIVEN = {
-    ("f", "latin"): "Alice Amelia Barbara Caroline Charlotte Claudia Deborah Dorothy Eleanor Elizabeth Emily Gabriele Hannah Helena "
-                    "Ingrid Isabella Jennifer Jessica Julia Katharina Linda Lucía Margaret Martina Michelle Monika Olivia Patricia "
-                    "Rebecca Sophie Susan Ursula Victoria",
-    ("m", "latin"): "Alexander Andrew Antonio Benjamin Charles Christopher Daniel Dominik Edward Ferdinand François George Gerhard "
-                    "Henry Jacob James Johannes John Joseph Kevin Lukas Matthew Michael Nicholas Oliver Patrick Philip Richard "
-                    "Robert Sebastian Thomas William Wolfgang",
-    ("f", "cyrillic"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна",
-    ("m", "cyrillic"): "Александр Алексей Андрей Владимир Дмитрий Иван Михаил Николай Сергей",
-    ("f", "greek"): "Αικατερίνη Βασιλική Ελένη Σοφία",
-    ("m", "greek"): "Αλέξανδρος Γεώργιος Δημήτριος Νικόλαος",
+    ("f", "latin"): "Abigail Agnieszka Aisha Akiko Alessandra Alexandra Alice Alicia Amanda Amandine Amelia Amy Ana Andrea Angela Anja "
+                    "Anjali Ann Anna Anne Ashley Astrid Ayse Barbara Beatriz Betty Beverly Birgit Brenda Brigitte Brittany Camila Camille "
+                    "Carmen Carol Caroline Carolyn Catherine Charlotte Cheryl Chiara Chloe Christa Christina Christine Claire Clara Claudia "
+                    "Cristina Cynthia Daniela Danielle Deborah Debra Deepika Denise Diana Diane Dolores Donna Dorothy Eleanor Elena Elisa "
+                    "Elizabeth Ella Elsa Emily Emine Emma Erika Eva Eve Evelyn Ewa Fatima Fatma Federica Fiona Francesca Franziska Freja "
+                    "Gabriela Gabriele Giovanna Gisela Giulia Gloria Greta Hanna Hannah Heather Heidi Heike Helena Ines Ingrid Irina Isabel "
+                    "Isabella Isabelle Jacqueline Janet Janice Jean Jennifer Jessica Jiyeon Joan Joanna Johanna Josefa Joyce Judith Julia "
+                    "Julie Juliette Karen Karin Katarzyna Katharina Katherine Kathleen Kathryn Keiko Kelly Khadija Kimberly Lakshmi Laura "
+                    "Lauren Layla Lea Leila Lena Lily Linda Linh Linnea Lisa Lucia Lucy Lucía Magdalena Manon Margaret Maria Marie Marilyn "
+                    "Marlene Marta Martha Martina Mary Maryam Mathilde Megan Mei Melissa Mia Michelle Molly Monika Monique Nadine Nancy "
+                    "Naoko Natalia Natalie Nathalie Nicole Nina Noor Olga Olivia Pamela Paola Patricia Paula Petra Pilar Pooja Priya Rachel "
+                    "Raquel Rebecca Renate Rosa Ruth Sabine Sakura Samantha Sandra Sara Sarah Sharon Shirley Sigrid Silke Silvia Sofia "
+                    "Sophia Sophie Stefanie Stephanie Sunita Susan Susanne Svetlana Sylvie Tatiana Teresa Theresa Thuy Ursula Valentina "
+                    "Valerie Victoria Yasmin Yuki Zeynep Zoe Zofia",
+    ("m", "latin"): "Aaron Adam Ahmed Ahmet Alain Alan Albert Alberto Alexander Alexei Ali Alvaro Amit Anders Andreas Andrew Andrzej "
+                    "Anthony Antoine Antonio Arjun Arthur Benjamin Bernard Bernd Billy Bobby Boris Brandon Brian Bruce Bryan Carl Carlos "
+                    "Charles Christopher Daniel David Dennis Diego Dieter Dmitri Dominik Douglas Dylan Edward Elijah Emre Enrique Eric Erik "
+                    "Ernst Ethan Felix Ferdinand Fernando Florian Francesco Francisco François Friedrich Gabriel Gary George Gerald Gerhard "
+                    "Giovanni Giuseppe Gregory Guillaume Hans Harold Harry Haruto Hassan Heinz Helmut Henrik Henry Hiroshi Horst Hugo "
+                    "Hussein Ibrahim Igor Ivan Jack Jacob Jacques Jakub James Jan Jason Javier Jeffrey Jens Jeremy Jerry Jesse Johannes "
+                    "John Jonas Jonathan Jorge Jose Joseph Joshua Juan Jukka Julien Jun Justin Karim Karl Keith Kenji Kenneth Kevin Khalid "
+                    "Klaus Krzysztof Kyle Larry Lars Laurent Lawrence Leon Liam Logan Lorenzo Louis Luca Lucas Luis Lukas Magnus Manfred "
+                    "Manuel Marcin Marco Mario Mark Markus Martin Mathieu Matteo Matthew Matthias Maximilian Mehmet Michael Michel Miguel "
+                    "Mikael Mikhail Minh Mohamed Mohammed Moritz Muhammad Mustafa Nathan Nicholas Nicolas Nikolai Nils Noah Olaf Oliver "
+                    "Olivier Omar Otto Pablo Paolo Pascal Patrick Paul Pawel Pedro Pekka Peter Philip Philipp Philippe Pierre Piotr Rafael "
+                    "Rahul Rainer Raj Ralf Ralph Ramon Randy Ravi Raymond Riccardo Richard Robert Roberto Roger Ronald Roy Russell Ryan "
+                    "Samuel Sanjay Satoshi Scott Sean Sebastian Sergei Sergio Simon Stefan Stefano Stephen Steven Suresh Sven Takashi Tariq "
+                    "Terry Thomas Timothy Tobias Tomasz Torsten Tyler Uwe Vijay Vincent Vladimir Walter Wayne Wei Werner William Willie "
+                    "Wolfgang Yuri Yusuf Zachary",
+    ("f", "cyrillic"): "Александра Алина Алла Анастасия Анна Валентина Валерия Вера Вероника Виктория Галина Дарья Евгения Екатерина Елена "
+                    "Елизавета Жанна Зинаида Инна Ирина Карина Кристина Ксения Лариса Лидия Людмила Маргарита Марина Мария Надежда Наталья "
+                    "Нина Оксана Ольга Полина Раиса Светлана Софья Тамара Татьяна Юлия Яна",
+    ("m", "cyrillic"): "Александр Алексей Анатолий Андрей Антон Аркадий Артем Борис Вадим Валерий Василий Виктор Виталий Владимир Вячеслав "
+                    "Геннадий Георгий Григорий Даниил Денис Дмитрий Евгений Егор Иван Игорь Илья Кирилл Константин Леонид Максим Михаил "
+                    "Никита Николай Олег Павел Петр Роман Руслан Сергей Станислав Степан Тимур Федор Юрий Яков",
+    ("f", "greek"): "Αγγελική Αικατερίνη Αναστασία Βασιλική Γεωργία Δήμητρα Ειρήνη Ελένη Ελευθερία Ευαγγελία Ιωάννα Κατερίνα Κωνσταντίνα "
+                    "Μαρία Παναγιώτα Σοφία Χριστίνα",
+    ("m", "greek"): "Αθανάσιος Αλέξανδρος Αναστάσιος Αντώνιος Βασίλειος Γεώργιος Γιάννης Γιώργος Δημήτριος Ευάγγελος Ιωάννης Κωνσταντίνος "
+                    "Μιχαήλ Νικόλαος Παναγιώτης Σπυρίδων Σταύρος Χρήστος",
 }
 # Forms of address.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora"
@@ -75,15 +105,19 @@ def _one_of(words: list[str]) -> str:
     return rf"{letters}(?<!\p{{L}}{letters})(?:{'|'.join(f'(?<={c})(?:{"|".join(rest)})' for c, rest in first.items())})"
 
 
-_GIVEN = _one_of([n for v in GIVEN.values() for n in v.split()])
-_TITLE = _one_of(TITLES.split())
+def _cases(words: str) -> list[str]:
+    return [x for w in words.split() for x in dict.fromkeys((w, w.upper()))]
+
+
+_GIVEN = _one_of(_cases(" ".join(GIVEN.values())))
+_TITLE = _one_of(_cases(TITLES))
 NAME = rf"{_TITLE}\.? {_NAME_WORD}(?: {_NAME_WORD})?|{_GIVEN} {_NAME_WORD}"
 # In order of precedence; the first that matches a whole mention names its kind.
 PATTERNS = {"email": EMAIL, "secret": SECRET, "key": ACCESS_KEY, "ip": IP, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every mention holds a digit, one of these signs (addresses, assignments) or a name; cheap to
 # test before the patterns.
-HINT = rf"[0-9@=:]|A[KS]IA|gh[pousr]_|sk-|{_one_of(TITLES.split() + [n for v in GIVEN.values() for n in v.split()])}"
+HINT = rf"[0-9@=:]|A[KS]IA|gh[pousr]_|sk-|{_one_of(_cases(" ".join([TITLES, *GIVEN.values()])))}"
 
 
 def _rotation(key: str) -> dict[str, str]:
@@ -224,9 +258,31 @@ def surrogate(kind: Column, core: Column, canonical: Column, attempt: Column, ke
         .otherwise(_let(core.rlike("^[0-9a-f]+$"), lambda hexes: _shape(core, stream, hexes)))))
 
 
-def _mentions(text: Column) -> Column:
+def _surnames(found: Column, text: Column, given: Column) -> Column:
+    """Surnames of the persons among the first mentions, but words the text has in small letters too."""
+    words = F.flatten(F.transform(F.filter(found, lambda m: m["kind"] == "name"), lambda m: F.split(m["core"], " ")))
+    words = F.filter(F.array_distinct(words), lambda w: ~_is_title(w) & (F.length(w) > 2) & F.element_at(given, F.lower(w)).isNull())
+    return F.filter(words, lambda w: ~F.regexp_like(text, F.concat(F.lit(r"(?<!\p{L})"), F.lower(w), F.lit(r"(?!\p{L})"))))
+
+
+def _pattern(found: Column, text: Column, given: Column) -> Column:
+    """What a second look at a text searches for, or null if the first look saw all."""
+    def more(surnames):
+        forms = F.array_distinct(F.flatten(F.transform(surnames, lambda w: F.array(w, F.upper(w), F.initcap(F.lower(w))))))
+        return F.when(F.size(surnames) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})")))
+
+    return F.when(F.exists(found, lambda m: m["kind"] == "name"), _let(_surnames(found, text, given), more))
+
+
+def _mentions(text: Column, given: Column) -> Column:
+    """(pattern, found): the mentions, and the pattern they match if not ANY."""
+    return _let(_scan(text, F.lit(ANY)), lambda found: _let(_pattern(found, text, given), lambda pattern: F.struct(
+        pattern.alias("pattern"), F.when(pattern.isNull(), found).otherwise(_scan(text, pattern)).alias("found"))))
+
+
+def _scan(text: Column, pattern: Column) -> Column:
     """Mentions as (kind, mention, prefix, core, canonical); a name is one mention a word."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(_kind(m).alias("kind"), m.alias("mention")))
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: F.struct(_kind(m).alias("kind"), m.alias("mention")))
     return F.transform(found, lambda x: F.struct(
         x["kind"].alias("kind"), x["mention"].alias("mention"), _prefix(x["kind"], x["mention"]).alias("prefix"),
         _core(x["kind"], x["mention"]).alias("core"), _canonical(x["kind"], _core(x["kind"], x["mention"])).alias("canonical")))
@@ -241,7 +297,7 @@ def _kind(mention: Column) -> Column:
 
 
 def _is_title(word: Column) -> Column:
-    return F.replace(word, F.lit("."), F.lit("")).isin(*TITLES.split())
+    return F.replace(word, F.lit("."), F.lit("")).isin(*_cases(TITLES))
 
 
 def _entities(mention: Column, given: Column) -> Column:
@@ -294,7 +350,7 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     rows = rows.withColumn("hit", F.coalesce(F.col("text").rlike(HINT), F.lit(False)))
     digest = F.when(F.col("hit"), F.sha2("text", 256))
     # One pass: which entities each text (by digest) holds.
-    mentions = rows.where("hit").select(digest.alias("digest"), F.explode(_mentions(F.col("text"))).alias("m"))
+    mentions = rows.where("hit").select(digest.alias("digest"), F.explode(_mentions(F.col("text"), given)["found"]).alias("m"))
     holds = materialise(mentions.select("digest", F.explode(_entities(F.col("m"), given)).alias("e")).select("digest", "e.*"), "mentions")
     entities = materialise(holds.select("kind", "canonical").distinct(), "entities")
     redone = materialise(settle(entities, key).where("attempt > 0"), "rekeyed")
@@ -304,10 +360,11 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
         F.struct(F.concat_ws("|", "kind", "canonical"), "attempt"))).alias("attempts")), "patches")
     rows = rows.withColumn("digest", digest).join(patches, "digest", "left")
     attempts = F.coalesce("attempts", F.create_map().cast("map<string,int>"))
-    found = rows.withColumn("found", F.when(F.col("hit"), _mentions(F.col("text"))).otherwise(F.array().cast(
+    seen = rows.withColumn("seen", F.when(F.col("hit"), _mentions(F.col("text"), given)))
+    found = seen.withColumn("found", F.coalesce("seen.found", F.array().cast(
         "array<struct<kind:string,mention:string,prefix:string,core:string,canonical:string>>")))
     made = F.transform("found", lambda m: _replacement(m, given, attempts, key))
-    whole = F.array_join(F.flatten(F.zip_with(F.split("text", ANY, -1), F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    whole = F.array_join(F.flatten(F.zip_with(F.when(F.isnull("seen.pattern"), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("seen.pattern"), -1)), F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     return found.select("row", F.when(F.size("found") > 0, whole).otherwise(F.col("text")).alias("text"), F.size("found").cast("long").alias("n_entities"))
 
 
