@@ -177,6 +177,16 @@ def test_names_of_a_broad_list_capitals_and_bare_surnames(spark):
     assert new[2] == new[3] != "Miller" and new[4] == new[2].upper() and new[6] != "Green" and text[51].text == "Miller came"
 
 
+def test_cards_are_told_by_their_check_digit(spark):
+    rows = [(1, "order 4337166598464398 or 4337-1665-9846-4390, serial 3627072101032238"), (2, "2223003122003222"), (3, "3782 822463 10005"), (4, "no card"),
+            (5, "order 3000 4337 1665 9846 4399 paid"), (6, "Mary Johnson, order 4337166598464398, card 4337166598464399")]
+    got = {r.row.doc_id: r for r in pii.replace_entities(frame(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[1].n_entities == 0
+    for i, shape in ((2, r"2\d{15}"), (3, r"3\d{3} \d{6} \d{5}"), (5, r"order 3000 4\d{3} \d{4} \d{4} \d{4} paid")):
+        assert got[i].text != rows[i - 1][1] and re.fullmatch(shape, got[i].text) and got[i].n_entities == 1
+    assert "order 4337166598464398" in got[6].text and "4337166598464399" not in got[6].text and "Johnson" not in got[6].text and got[6].n_entities == 2
+
+
 def test_surrogates_settle_collisions(spark, monkeypatch):
     # A replacement space of few surnames forces clashes; all must end distinct and unlike any real one.
     monkeypatch.setitem(pii.SYLLABLES, "latin", "ba be bi bo")

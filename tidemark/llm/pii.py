@@ -16,6 +16,9 @@ neither be shared by two entities of a kind nor equal an entity that occurs. Ent
 lose a clash are re-keyed (attempt + 1) until none is left. Only re-keyed entities are joined
 back to the texts that hold them; all other rows are mapped where they are read.
 
+Digits that look like a card number but fail its check digit (order and serial numbers) are no
+mention and stay; the digits after the first group are looked at again.
+
 Null text stays null, text without entities is unchanged, every input row gives one row.
 """
 
@@ -88,7 +91,9 @@ ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
-CARD = r"(?<![0-9.-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
+# Issuers 3 to 6 and 2221 to 2720; groups of four, or 4-6-4 and 4-6-5. The check digit is tested apart.
+CARD = (r"(?<![0-9.-])(?:[3-6][0-9]{3}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)"
+        r"(?:(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])")
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = (r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
          r"|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
@@ -115,6 +120,7 @@ NAME = rf"{_TITLE}\.? {_NAME_WORD}(?: {_NAME_WORD})?|{_GIVEN} {_NAME_WORD}"
 # In order of precedence; the first that matches a whole mention names its kind.
 PATTERNS = {"email": EMAIL, "secret": SECRET, "key": ACCESS_KEY, "ip": IP, "iban": IBAN, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_BEFORE_CARD, _FROM_CARD = ANY[: ANY.index(CARD)], ANY[ANY.index(CARD):]
 # Every mention holds a digit, one of these signs (addresses, assignments) or a name; cheap to
 # test before the patterns.
 HINT = rf"[0-9@=:]|A[KS]IA|gh[pousr]_|sk-|{_one_of(_cases(" ".join([TITLES, *GIVEN.values()])))}"
@@ -198,6 +204,11 @@ def _luhn(body: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10)).cast("string")
 
 
+def _valid_card(digits: Column) -> Column:
+    n = F.length(digits)
+    return _luhn(F.substring(digits, F.lit(1), n - 1)) == F.substring(digits, n, F.lit(1))
+
+
 def _script(c: Column) -> Column:
     return F.when(c.rlike(r"\p{IsCyrillic}"), "cyrillic").when(c.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -267,11 +278,15 @@ def _surnames(found: Column, text: Column, given: Column) -> Column:
 
 def _pattern(found: Column, text: Column, given: Column) -> Column:
     """What a second look at a text searches for, or null if the first look saw all."""
+    no_cards = F.transform(F.filter(found, lambda m: m["kind"] == "none"), lambda m: m["mention"])
+    look = F.when(F.size(no_cards) > 0, F.concat(F.lit(_BEFORE_CARD + "(?!(?:"), F.array_join(F.array_distinct(no_cards), "|"), F.lit(")(?![0-9]))" + _FROM_CARD))
+                  ).otherwise(F.lit(ANY))
+
     def more(surnames):
         forms = F.array_distinct(F.flatten(F.transform(surnames, lambda w: F.array(w, F.upper(w), F.initcap(F.lower(w))))))
-        return F.when(F.size(surnames) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})")))
+        return F.when(F.size(surnames) > 0, F.concat(look, F.lit(r"|(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))).when(F.size(no_cards) > 0, look)
 
-    return F.when(F.exists(found, lambda m: m["kind"] == "name"), _let(_surnames(found, text, given), more))
+    return F.when(F.exists(found, lambda m: m["kind"].isin("name", "none")), _let(_surnames(found, text, given), more))
 
 
 def _mentions(text: Column, given: Column) -> Column:
@@ -289,10 +304,12 @@ def _scan(text: Column, pattern: Column) -> Column:
 
 
 def _kind(mention: Column) -> Column:
-    """The kind whose pattern takes the whole mention (look-arounds see only the mention)."""
+    """The kind whose pattern takes the whole mention (look-arounds see only the mention); none:
+    a card number but for its check digit."""
     out = F
     for kind, pattern in PATTERNS.items():
-        out = out.when(F.regexp_extract(mention, f"^(?:{pattern})$", 0) != "", kind)
+        named = F.lit(kind) if kind != "card" else F.when(_valid_card(_digits(mention)), "card").otherwise("none")
+        out = out.when(F.regexp_extract(mention, f"^(?:{pattern})$", 0) != "", named)
     return out.otherwise("name")
 
 
@@ -304,7 +321,7 @@ def _entities(mention: Column, given: Column) -> Column:
     """The (kind, canonical) pairs a mention holds; given names need none."""
     names = F.filter(F.split(mention["core"], " "), lambda w: ~_is_title(w) & F.element_at(given, F.lower(w)).isNull())
     return F.when(mention["kind"] == "name", F.transform(names, lambda w: F.struct(F.lit("surname").alias("kind"), F.lower(w).alias("canonical")))
-                  ).otherwise(F.array(F.struct(mention["kind"].alias("kind"), mention["canonical"].alias("canonical"))))
+                  ).when(mention["kind"] != "none", F.array(F.struct(mention["kind"].alias("kind"), mention["canonical"].alias("canonical"))))
 
 
 def _replacement(mention: Column, given: Column, attempts: Column, key: str) -> Column:
@@ -317,7 +334,8 @@ def _replacement(mention: Column, given: Column, attempts: Column, key: str) ->
         return (F.when(_is_title(w), w).when(other.isNotNull(), other)
                 .otherwise(surrogate(F.lit("surname"), w, F.lower(w), attempt(F.lit("surname"), F.lower(w)), key)))
 
-    return F.when(mention["kind"] == "name", F.array_join(F.transform(F.split(mention["core"], " "), word), " ")).otherwise(
+    return F.when(mention["kind"] == "none", mention["mention"]).when(
+        mention["kind"] == "name", F.array_join(F.transform(F.split(mention["core"], " "), word), " ")).otherwise(
         F.concat(mention["prefix"], surrogate(mention["kind"], mention["core"], mention["canonical"], attempt(mention["kind"], mention["canonical"]), key)))
 
 
@@ -365,7 +383,8 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
         "array<struct<kind:string,mention:string,prefix:string,core:string,canonical:string>>")))
     made = F.transform("found", lambda m: _replacement(m, given, attempts, key))
     whole = F.array_join(F.flatten(F.zip_with(F.when(F.isnull("seen.pattern"), F.split("text", ANY, -1)).otherwise(F.split("text", F.col("seen.pattern"), -1)), F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    return found.select("row", F.when(F.size("found") > 0, whole).otherwise(F.col("text")).alias("text"), F.size("found").cast("long").alias("n_entities"))
+    return found.select("row", F.when(F.size("found") > 0, whole).otherwise(F.col("text")).alias("text"),
+                        F.size(F.filter("found", lambda m: m["kind"] != "none")).cast("long").alias("n_entities"))
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
