@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, chat, decontaminate, html_text, near_dup, packing, pii, quality, suffix_dedup, warc
+from tidemark.llm import ann, chat, collocations, decontaminate, html_text, near_dup, packing, pii, quality, suffix_dedup, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rp_forest_neighbours")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@query("op11_phrase_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
