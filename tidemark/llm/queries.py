@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, chat, collocations, decontaminate, html_text, near_dup, packing, pii, quality, source_audit, suffix_dedup, warc
+from tidemark.llm import ann, chat, collocations, decontaminate, html_text, language_id, near_dup, packing, pii, quality, source_audit, suffix_dedup, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_divergence", source_audit.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_language_codes")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
