@@ -1,15 +1,31 @@
 """Property tests: invariants of the marts and exactness of the distributed operators."""
 
+import difflib
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from tidemark.operators.aggregates import CROSS_PAIRS, cross_marts, detail_for_cross, group_two_dims
-from tidemark.operators.search import alias_normalise, alias_table, fuzzy_match, sim, similarity_topk
+from tidemark.functions.similarity import block_ratio
+from tidemark.operators.search import (
+    LANGUAGE_ALIASES,
+    MONTH_ALIASES,
+    PLATFORM_ALIASES,
+    alias_normalise,
+    alias_table,
+    alias_terms,
+    entity_bands,
+    entity_catalogue,
+    fuzzy_match,
+    question_terms,
+    questions,
+    similarity_topk,
+    tokenise,
+)
 from tidemark.plans.kpi import totals
 from tidemark.plans.marts import marts_for
 from tidemark.plans.star import dense_ids
@@ -51,18 +67,107 @@ def test_dense_ids_equal_dense_rank(spark, values):
     assert got == want
 
 
+words = st.text(alphabet="abcdé 1", max_size=9)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(words, words), min_size=1, max_size=12), st.sampled_from([0.0, 0.7, 0.85]))
+def test_block_ratio_equals_difflib(pairs, cutoff):
+    got = block_ratio([a for a, _ in pairs], [b for _, b in pairs], cutoff)
+    for (a, b), r in zip(pairs, got, strict=True):
+        want = difflib.SequenceMatcher(None, a, b).ratio()
+        assert r == want if want >= cutoff else r < cutoff
+
+
+def test_block_ratio_of_long_strings():
+    rng = random.Random(4)
+    a = ["".join(rng.choices("abcdefghij", k=rng.randint(100, 190))) for _ in range(20)]
+    b = [x[20:] + "".join(rng.choices("abcdefghij", k=9)) for x in a]
+    want = [difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    assert np.array_equal(block_ratio(a, b, 0.7), want)
+
+
+def plain_matches(tokens, values, low=0.70, top=3):
+    """(token, value, rank) by difflib's close matches."""
+    lower = {v.lower(): v for v in sorted(values)}
+    return {(t, lower[m], i) for t in tokens for i, m in enumerate(difflib.get_close_matches(t, list(lower), n=top, cutoff=low), 1)}
+
+
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.text(alphabet="abcde", min_size=1, max_size=7), min_size=1, max_size=25),
-       st.lists(st.text(alphabet="abcde", min_size=1, max_size=7), min_size=1, max_size=25))
-def test_fuzzy_match_equals_brute_force(spark, tokens, values):
+@given(st.lists(st.text(alphabet="abcdeB", min_size=1, max_size=7), min_size=1, max_size=25),
+       st.lists(st.text(alphabet="abcdeB", min_size=1, max_size=7), min_size=1, max_size=25))
+def test_fuzzy_match_equals_difflib(spark, tokens, values):
     t = spark.createDataFrame([(x,) for x in tokens], "token string")
     c = spark.createDataFrame([("L", v) for v in set(values)], "label string, value string")
     got = {(r["token"], r["value"], r["rank"]) for r in fuzzy_match(t, c).collect()}
-    # brute force: all pairs, no length blocking
-    allp = t.distinct().crossJoin(c).withColumn("s", sim(F.col("token"), F.lower("value"))).where(F.col("s") >= 0.70)
-    w = Window.partitionBy("token", "label").orderBy(F.col("s").desc(), "value")
-    bf = allp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 3)
-    assert got == {(r["token"], r["value"], r["rank"]) for r in bf.collect()}
+    assert got == plain_matches(set(tokens), set(values))
+
+
+def test_fuzzy_match_of_all_tokens_and_values(spark):
+    dom = Domain(spark, SF_SMALL)
+    tokens, catalogue = tokenise(questions(dom)), entity_catalogue(dom)
+    got = {(r["token"], r["label"], r["value"], r["rank"]) for r in fuzzy_match(tokens, catalogue).collect()}
+    values = {}
+    for r in catalogue.collect():
+        values.setdefault(r["label"], set()).add(r["value"])
+    assert set(values) == {"User", "Channel", "Platform", "Input Type", "Output Type", "Language", "Month"}
+    distinct = {r["token"] for r in tokens.collect()}
+    assert got == {(t, label, v, i) for label, vs in values.items() for t, v, i in plain_matches(distinct, vs)}
+
+
+def plain_terms(tokens, known):
+    """A question's tokens with the values that aliases add: months, then languages, then platforms."""
+    def close(token, aliases, cutoff):
+        if token in aliases:
+            return aliases[token]
+        m = difflib.get_close_matches(token, list(aliases), n=1, cutoff=cutoff)
+        return aliases[m[0]] if m else None
+
+    years = [t for t in tokens if len(t) == 4 and t.isdigit() and t.startswith("20")]
+    months = [m for m in (close(t, MONTH_ALIASES, 0.75) for t in tokens) if m]
+    labels = [f"{m}, {y}" for m in months for y in years] if years else [k for m in months for k in sorted(known) if k.startswith(m + ",")]
+    languages = [c for c in (close(t, LANGUAGE_ALIASES, 0.80) for t in tokens) if c]
+    return list(dict.fromkeys([*tokens, *labels, *languages, *(PLATFORM_ALIASES[t] for t in tokens if t in PLATFORM_ALIASES)])), set(months)
+
+
+def plain_bands(terms, catalogue):
+    out = {}
+    for label, values in catalogue.items():
+        high, low = ([x for t in terms for x, _ in sorted(((v, i) for u, v, i in plain_matches([t], values, cutoff)), key=lambda p: p[1])]
+                     for cutoff in (0.85, 0.70))
+        best = ("high", high) if high else ("low", low) if low else ("none", [])
+        out[label] = (best[0], ", ".join(list(dict.fromkeys(best[1]))[:3]))
+    return out
+
+
+ASKED = ["janury", "febuary", "marc", "engish", "hindi", "hndi", "yt", "insta", "twiter", "x", "spansh", "arabc", "octobr", "decmber",
+         "mixd", "2024", "2025", "junee", "may", "foo", "facebok", "youtub", "customr"]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(ASKED), min_size=1, max_size=6, unique=True), min_size=1, max_size=4))
+def test_terms_and_bands_equal_difflib(spark, asked):
+    known = ["May, 2024", "Jan, 2025", "Jan, 2024", "Oct, 2023"]
+    catalogue = {"Platform": {"YouTube", "Facebook", "Instagram", "X"}, "Language": {"en", "hi", "mix"}, "Month": set(known), "User": {"Customer#1", "customers"}}
+    toks = spark.createDataFrame([(i, 1, p, w) for i, ws in enumerate(asked) for p, w in enumerate(ws)], "conv_id int, turn int, pos int, token string")
+    months = spark.createDataFrame([(k,) for k in known], "label string")
+    values = spark.createDataFrame([(l, v) for l, vs in catalogue.items() for v in vs], "label string, value string")
+    added = alias_terms(toks, alias_table(spark), months)
+    terms = question_terms(toks, added)
+    got = {}
+    for r in terms.collect():
+        got.setdefault(r["conv_id"], []).append((r["place"], r["token"]))
+    bands = {}
+    for r in entity_bands(terms, fuzzy_match(terms, values), tuple(catalogue)).collect():
+        bands.setdefault(r["conv_id"], {})[r["label"]] = (r["confidence"], r["matches"])
+    normal = {(r["conv_id"], r["canonical"]) for r in alias_normalise(toks, alias_table(spark), months).where("kind = 'month'").collect()}
+    for i, ws in enumerate(asked):
+        want, abbreviations = plain_terms(ws, known)
+        assert {t for _, t in got[i]} == set(want)
+        assert bands[i] == plain_bands([t for _, t in sorted(got[i])], catalogue)
+        assert {c for j, c in normal if j == i} == abbreviations
+        if not any(w.startswith("20") for w in ws):
+            assert [t for _, t in sorted(got[i])][: len(ws)] == ws
 
 
 def test_two_stage_topk_equals_brute_force(spark):
@@ -71,8 +176,6 @@ def test_two_stage_topk_equals_brute_force(spark):
     e = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
     q = e.where(F.col("vec_id") < 5).select(F.col("vec_id").alias("q_id"), "embedding")
     got = {(r["q_id"], r["type"], r["vec_id"]) for r in similarity_topk(e, q, min_sim=-1.0).collect()}
-    import numpy as np
-
     vecs = {i: np.array(v, dtype=np.float32).astype(np.float64) for i, _, v in rows}
     want = set()
     for qi in range(5):
@@ -81,22 +184,3 @@ def test_two_stage_topk_equals_brute_force(spark):
                      for i, lab, _ in rows if lab % 3 == t]
             want |= {(qi, t, i) for _, i in sorted(cands)[:k]}
     assert got == want
-
-
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.sampled_from(["janury", "febuary", "marc", "engish", "hindi", "hndi", "yt", "insta", "twiter", "x",
-                                 "spansh", "arabc", "octobr", "decmber", "mixd", "2024", "2025", "junee", "may", "foo"]),
-                min_size=1, max_size=12))
-def test_alias_normalise_equals_brute_force(spark, words):
-    toks = spark.createDataFrame([(i % 3, 1, w) for i, w in enumerate(words)], "conv_id int, turn int, token string").distinct()
-    a = alias_table(spark)
-    got = {tuple(r) for r in alias_normalise(toks, a).collect()}
-    # brute force: every token against every alias
-    allp = toks.crossJoin(a).withColumn("s", sim(F.col("token"), F.col("alias"))).where(
-        (F.col("token") == F.col("alias")) | ((F.col("kind") != "platform") & (F.col("s") >= F.col("cutoff"))))
-    w = Window.partitionBy("conv_id", "turn", "token", "kind").orderBy(F.col("s").desc(), "alias")
-    best = allp.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).select("conv_id", "turn", "kind", "canonical")
-    yrs = toks.where(F.col("token").rlike("^20[0-9]{2}$")).select("conv_id", "turn", F.col("token").alias("y"))
-    ml = best.where(F.col("kind") == "month").join(yrs, ["conv_id", "turn"]).select(
-        "conv_id", "turn", F.lit("month_label").alias("kind"), F.concat("canonical", F.lit(", "), "y").alias("canonical"))
-    assert got == {tuple(r) for r in best.unionByName(ml).distinct().collect()}

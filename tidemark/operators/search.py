@@ -3,15 +3,14 @@
 * Tokenising is ``regexp_extract_all`` + ``explode`` on whole texts (no prefixes, no caps).
 * Alias normalisation is an equi-join against small fixed alias tables (broadcast: their
   size is fixed by the lists below); close matches join on the alias lengths the cutoff allows.
-* Fuzzy entity matching compares distinct tokens with distinct catalogue values. Candidate
-  pairs are generated EXACTLY by the length filter that the similarity threshold implies
-  (sim = 1 − lev/max(len) ≥ t ⇒ |la − lb| ≤ (1 − t)·max(la, lb)): each token is exploded into
-  the catalogue lengths it can match and joined on length — an equi-join, no nested loop, and
-  no pair that could reach the threshold is skipped.
-* Cosine top-k: the query vectors (one centroid per label, derived from the whole table) are
-  few — their count is checked before they are broadcast; candidates are scored
-  map-side; top-k is taken in two exact stages (per salt bucket, then per query) so no single
-  task ranks all candidates of a query.
+* Close matches and entity matching compare distinct tokens with distinct aliases or catalogue
+  values by the matching-block ratio (``functions/similarity.py``). Candidate pairs are
+  generated EXACTLY by the lengths that the cutoff allows: each token is exploded into them and
+  joined on length — an equi-join, no nested loop, and no pair that could reach the cutoff is
+  skipped; common characters rule out most of the rest before any blocks are searched.
+* Cosine top-k: the query vectors (one centroid per label, derived from the whole table) meet
+  the stored vectors in blocks of ``QUERY_BLOCK``, each one array value scored where a vector is
+  read; the ranking's literal limit prunes every task's rows before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import round_half_up, round_sql, with_scalars
+from tidemark.functions.similarity import block_ratio_sql, block_similarity, length_window
 from tidemark.registry import query
 from tidemark.sources.domain import Domain, oracle
 
@@ -43,6 +43,7 @@ PLATFORM_ALIASES = {
     "li": "linkedin", "linkedin": "linkedin", "thread": "threads", "threads": "threads", "shorts": "shorts", "reels": "reels",
 }
 MONTH_CUTOFF, LANGUAGE_CUTOFF = 0.75, 0.80
+STAGE = {"month": 9, "month_label": 1, "language": 2, "platform": 3}  # order in which aliases add terms to a question (9: none)
 HIGH, LOW, TOP_MATCHES = 0.85, 0.70, 3
 TOKEN_RE = "[a-zA-Z0-9]+"
 RESCUE_RE = r"(?i)\b(?:channel|for|about|of)\s+([a-zA-Z])\b"
@@ -52,15 +53,6 @@ def D(spark, sf):
     return Domain(spark, sf)
 
 
-def sim(a: Column, b: Column) -> Column:
-    """Edit-distance similarity 1 − lev(a, b)/max(len) (the reference uses difflib's ratio; see README)."""
-    return F.lit(1.0) - F.levenshtein(a, b).cast("double") / F.greatest(F.length(a), F.length(b)).cast("double")
-
-
-def sim_sql(a: str, b: str) -> str:
-    return f"(1.0 - CAST(levenshtein({a}, {b}) AS DOUBLE) / CAST(GREATEST(length({a}), length({b})) AS DOUBLE))"
-
-
 # ---------------------------------------------------------------------------------
 # V01 tokens of questions
 # ---------------------------------------------------------------------------------
@@ -70,11 +62,12 @@ def questions(dom: Domain) -> DataFrame:
 
 
 def tokenise(df: DataFrame, text: str = "text", keys=("conv_id", "turn")) -> DataFrame:
-    """Lower alphanumeric tokens without stop words, plus rescued single letters after 'channel/for/about/of'."""
+    """Lower alphanumeric tokens without stop words in their order (``pos``), then the single
+    letters rescued after 'channel/for/about/of'; each token once."""
     toks = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN_RE), 0), lambda t: F.lower(t)),
                     lambda t: ~t.isin(STOPWORDS))
     rescued = F.transform(F.regexp_extract_all(F.col(text), F.lit(RESCUE_RE), 1), lambda t: F.lower(t))
-    return df.select(*keys, F.explode(F.array_distinct(F.concat(toks, rescued))).alias("token"))
+    return df.select(*keys, F.posexplode(F.array_distinct(F.concat(toks, rescued))).alias("pos", "token"))
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -101,41 +94,41 @@ def alias_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, alias string, canonical string, cutoff double")
 
 
-def _length_window(length: Column, cutoff: float) -> Column:
-    """Lengths a string may have to reach similarity ``cutoff`` with a string of ``length``
-    (sim = 1 − lev/max(len) ≥ c ⇒ c·la ≤ lb ≤ la/c, since lev ≥ |la − lb|): exact bounds."""
-    lo = F.ceil(length * F.lit(cutoff) - F.lit(1e-9)).cast("int")
-    hi = F.floor(length / F.lit(cutoff) + F.lit(1e-9)).cast("int")
-    return F.sequence(lo, hi)
-
-
-def alias_normalise(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Token → canonical value: exact alias, else the closest alias above the kind's cutoff;
-    months combine with year tokens of the same question into 'Mon, YYYY' labels.
-
-    Candidates are generated exactly, as equi-joins: platform aliases match on the token itself;
-    month / language aliases on (kind, alias length), each token exploded into the lengths its
-    kind's cutoff allows. No token is paired with an alias that cannot reach the cutoff."""
+def close_aliases(words: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Distinct ``words`` (token) with the alias they stand for, per kind: (token, kind, canonical).
+    An alias itself counts first; else, for months and languages, the closest alias that reaches
+    the kind's cutoff (equal ones: the greater alias). Platform aliases match exactly."""
     a = aliases.withColumn("alias_len", F.length("alias"))
-    fuzzy_kinds = [("month", MONTH_CUTOFF), ("language", LANGUAGE_CUTOFF)]
-    tl = F.length("token")
-    windows = F.array(*[F.struct(F.lit(k).alias("kind"), _length_window(tl, c).alias("lens")) for k, c in fuzzy_kinds])
-    t_len = (tokens.select("conv_id", "turn", "token", F.inline(windows))
-             .select("conv_id", "turn", "token", "kind", F.explode("lens").alias("alias_len")))
+    kinds = [("month", MONTH_CUTOFF), ("language", LANGUAGE_CUTOFF)]
+    windows = F.array(*[F.struct(F.lit(k).alias("kind"), length_window(F.length("token"), c).alias("lens")) for k, c in kinds])
+    by_length = words.select("token", F.inline(windows)).select("token", "kind", F.explode("lens").alias("alias_len"))
     # fixed-size alias lists: broadcast (their size is fixed by the lists above)
-    fuzzy = t_len.join(F.broadcast(a.where(F.col("kind") != "platform")), ["kind", "alias_len"])
-    exact = tokens.join(F.broadcast(a.where(F.col("kind") == "platform")), F.col("token") == F.col("alias"))
-    cols = ["conv_id", "turn", "token", "kind", "alias", "canonical", "cutoff"]
-    cand = fuzzy.select(*cols).unionByName(exact.select(*cols)).withColumn("s", sim(F.col("token"), F.col("alias"))).where(
-        (F.col("token") == F.col("alias")) | ((F.col("kind") != "platform") & (F.col("s") >= F.col("cutoff"))))
-    from tidemark.operators.windows import top1_per_group
-
-    best = top1_per_group(cand.select("conv_id", "turn", "token", "kind", "s", "alias", "canonical"),
-                          ["conv_id", "turn", "token", "kind"], [("s", True), ("alias", False)]).select("conv_id", "turn", "kind", "canonical")
-    years = tokens.where(F.col("token").rlike("^20[0-9]{2}$")).select("conv_id", "turn", F.col("token").alias("year"))
-    months = best.where(F.col("kind") == "month").join(years, ["conv_id", "turn"]).select(
-        "conv_id", "turn", F.lit("month_label").alias("kind"), F.concat("canonical", F.lit(", "), "year").alias("canonical"))
-    return best.unionByName(months).distinct()
+    near = by_length.join(F.broadcast(a.where(F.col("kind") != "platform")), ["kind", "alias_len"])
+    near = near.withColumn("s", block_similarity(F.col("alias"), F.col("token"), min(c for _, c in kinds))).where(F.col("s") >= F.col("cutoff"))
+    best = near.groupBy("token", "kind").agg(F.max(F.struct("s", "alias", "canonical")).alias("best")).select("token", "kind", "best.canonical")
+    exact = words.join(F.broadcast(a.where(F.col("kind") == "platform")), F.col("token") == F.col("alias"))
+    return best.unionByName(exact.select("token", "kind", "canonical"))
+
+
+def alias_terms(tokens: DataFrame, aliases: DataFrame, known_months: DataFrame) -> DataFrame:
+    """V02 in order: the terms that aliases add to a question, (conv_id, turn, kind, canonical,
+    stage, pos, then). A month goes with every year of the question ('Feb, 2026'), or without
+    one with all known labels of that month (``known_months``: one column, label)."""
+    found = tokens.join(close_aliases(tokens.select("token").distinct(), aliases), "token")
+    keys = ["conv_id", "turn"]
+    years = tokens.where(F.col("token").rlike("^20[0-9]{2}$")).select(*keys, F.col("token").alias("year"), F.col("pos").alias("year_pos"))
+    months = found.where(F.col("kind") == "month").select(*keys, "canonical", "pos")
+    dated = months.join(years, keys).select(*keys, F.concat("canonical", F.lit(", "), "year").alias("canonical"), "pos", F.col("year_pos").alias("then"))
+    known = known_months.select(F.col("label"), F.substring_index("label", ",", 1).alias("canonical"), F.lit(0).alias("then")).where(F.col("label").contains(","))
+    undated = months.join(years.select(*keys), keys, "left_anti").join(known, "canonical").select(*keys, F.col("label").alias("canonical"), "pos", "then")
+    labels = dated.unionByName(undated).withColumn("kind", F.lit("month_label"))
+    cols = [*keys, "kind", "canonical", F.create_map(*[F.lit(x) for k, v in STAGE.items() for x in (k, v)])[F.col("kind")].alias("stage"), "pos", "then"]
+    return labels.select(*cols).unionByName(found.withColumn("then", F.lit(0)).select(*cols))
+
+
+def alias_normalise(tokens: DataFrame, aliases: DataFrame, known_months: DataFrame) -> DataFrame:
+    """The distinct canonical values of each question."""
+    return alias_terms(tokens, aliases, known_months).select("conv_id", "turn", "kind", "canonical").distinct()
 
 
 def _alias_values_sql():
@@ -145,27 +138,49 @@ def _alias_values_sql():
     return "SELECT * FROM (VALUES " + ", ".join(rows) + ") v(kind, alias, canonical, cutoff)"
 
 
-@query("v02_alias_normalise", oracle(
-    f"""WITH c AS (SELECT t.conv_id, t.turn, t.token, a.kind, a.alias, a.canonical, {sim_sql('t.token', 'a.alias')} AS s
-             FROM toks t CROSS JOIN aliases a),
- f AS (SELECT * FROM c WHERE token = alias OR (kind <> 'platform' AND s >= cutoff_of(kind))),
- best AS (SELECT conv_id, turn, kind, canonical FROM (
-            SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, turn, token, kind ORDER BY s DESC, alias) AS r FROM f) x WHERE r = 1),
- yrs AS (SELECT conv_id, turn, token AS year FROM toks WHERE regexp_full_match(token, '20[0-9]{{2}}'))
-SELECT DISTINCT * FROM (SELECT * FROM best
-  UNION ALL SELECT b.conv_id, b.turn, 'month_label', b.canonical || ', ' || y.year FROM best b JOIN yrs y ON b.conv_id = y.conv_id AND b.turn = y.turn
-   WHERE b.kind = 'month') u""".replace("cutoff_of(kind)", f"CASE kind WHEN 'month' THEN {MONTH_CUTOFF} ELSE {LANGUAGE_CUTOFF} END"),
-    extra=[("q", _Q_SQL), ("toks", _TOKENS_SQL), ("aliases", _alias_values_sql())]))
+# Pairs of aliases and tokens, and what they come to, in the question's order.
+_ORDERED_SQL = f"""SELECT conv_id, turn, token, MIN(i) AS i FROM (
+  SELECT conv_id, turn, lower(t) AS token, i FROM (
+    SELECT conv_id, turn, unnest(l) AS t, unnest(range(len(l))) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '{TOKEN_RE}') AS l FROM q) x) y
+  WHERE lower(t) NOT IN ({_STOP_SQL})
+  UNION ALL SELECT conv_id, turn, lower(t), 1000000 + i FROM (
+    SELECT conv_id, turn, unnest(l) AS t, unnest(range(len(l))) AS i FROM (
+      SELECT conv_id, turn, regexp_extract_all(text, '(?i)\\b(?:channel|for|about|of)\\s+([a-zA-Z])\\b', 1) AS l FROM q) x) y) z
+GROUP BY conv_id, turn, token"""
+_ALIAS_SQL = [
+    ("q", _Q_SQL), ("toks", _ORDERED_SQL), ("aliases", _alias_values_sql()),
+    ("al", "SELECT DISTINCT alias AS a, token AS b FROM aliases CROSS JOIN (SELECT DISTINCT token FROM toks) t WHERE kind <> 'platform'"),
+    *block_ratio_sql("al", MONTH_CUTOFF),
+    ("known", "SELECT DISTINCT month AS label FROM clips"),
+    ("found", """SELECT token, kind, canonical FROM (
+       SELECT r.b AS token, x.kind, x.canonical, ROW_NUMBER() OVER (PARTITION BY r.b, x.kind ORDER BY r.s DESC, x.alias DESC) AS rn
+         FROM al_ratio r JOIN aliases x ON x.alias = r.a WHERE x.kind <> 'platform' AND r.s >= x.cutoff) y WHERE rn = 1
+       UNION ALL SELECT t.token, x.kind, x.canonical FROM (SELECT DISTINCT token FROM toks) t JOIN aliases x ON x.alias = t.token WHERE x.kind = 'platform'"""),
+    ("years", "SELECT conv_id, turn, token AS year, i AS year_i FROM toks WHERE regexp_full_match(token, '20[0-9]{2}')"),
+    ("months", "SELECT t.conv_id, t.turn, f.canonical, t.i FROM toks t JOIN found f ON f.token = t.token WHERE f.kind = 'month'"),
+    ("added", """SELECT t.conv_id, t.turn, f.kind, f.canonical, CASE f.kind WHEN 'month' THEN 9 WHEN 'language' THEN 2 ELSE 3 END AS stage, t.i, 0 AS y
+         FROM toks t JOIN found f ON f.token = t.token
+       UNION ALL SELECT m.conv_id, m.turn, 'month_label', m.canonical || ', ' || y.year, 1, m.i, y.year_i FROM months m JOIN years y ON y.conv_id = m.conv_id AND y.turn = m.turn
+       UNION ALL SELECT m.conv_id, m.turn, 'month_label', k.label, 1, m.i, 0 FROM months m JOIN known k ON starts_with(k.label, m.canonical || ',')
+         WHERE NOT EXISTS (SELECT 1 FROM years y WHERE y.conv_id = m.conv_id AND y.turn = m.turn)"""),
+]
+
+
+def known_months(dom: Domain) -> DataFrame:
+    return dom.clips("month").select(F.col("month").alias("label")).where("label is not null").distinct()
+
+
+@query("v02_alias_normalise", oracle("SELECT DISTINCT conv_id, turn, kind, canonical FROM added", "clips", extra=_ALIAS_SQL))
 def v02(spark, sf):
-    toks = tokenise(questions(D(spark, sf)))
-    return alias_normalise(toks, alias_table(spark))
+    dom = D(spark, sf)
+    return alias_normalise(tokenise(questions(dom)), alias_table(spark), known_months(dom))
 
 
 # ---------------------------------------------------------------------------------
 # V03 entity catalogue, V04 fuzzy matching
 # ---------------------------------------------------------------------------------
-CATALOGUE = [("Channel", "channel_name"), ("Platform", "platform"), ("Input Type", "input_type"),
-             ("Output Type", "output_type"), ("Language", "language")]
+CATALOGUE = [("User", "user_name"), ("Channel", "channel_name"), ("Platform", "platform"), ("Input Type", "input_type"),
+             ("Output Type", "output_type"), ("Language", "language"), ("Month", "month")]
 
 
 def entity_catalogue(dom: Domain) -> DataFrame:
@@ -183,34 +198,83 @@ def v03(spark, sf):
     return entity_catalogue(D(spark, sf))
 
 
+def question_terms(tokens: DataFrame, added: DataFrame) -> DataFrame:
+    """The terms looked up for each question: its tokens, then the values that aliases add."""
+    keys = ["conv_id", "turn"]
+    own = tokens.select(*keys, "token", F.struct(F.lit(0).alias("stage"), "pos", F.lit(0).alias("then"), "token").alias("place"))
+    more = added.where(F.col("stage") < 9).select(*keys, F.col("canonical").alias("token"), F.struct("stage", "pos", "then", F.col("canonical").alias("token")).alias("place"))
+    return own.unionByName(more).groupBy(*keys, "token").agg(F.min("place").alias("place"))
+
+
 def fuzzy_match(tokens: DataFrame, catalogue: DataFrame, low: float = LOW, high: float = HIGH, top: int = TOP_MATCHES) -> DataFrame:
-    """Per (token, label) the best ``top`` values with similarity ≥ ``low``; band high/low."""
-    t = tokens.select("token").distinct().withColumn("tl", F.length("token"))
-    # lengths a catalogue value may have to reach the threshold with this token (exact bound)
-    t = t.select("token", F.explode(_length_window(F.col("tl"), low)).alias("vl"))
-    v = catalogue.select("label", "value", F.lower("value").alias("v")).withColumn("vl", F.length("v"))
+    """Per (token, label) the best ``top`` values with similarity ≥ ``low``; band high/low.
+    Values that differ only in case count as one (the greatest); equal similarity: the greater value first."""
+    t = tokens.select("token").distinct()
+    # lengths a catalogue value may have to reach the cutoff with this token (exact bound)
+    t = t.select("token", F.explode(length_window(F.length("token"), low)).alias("vl"))
+    v = catalogue.groupBy("label", F.lower("value").alias("v")).agg(F.max("value").alias("value")).withColumn("vl", F.length("v"))
     # AQE broadcasts the catalogue (dimension members, one row each) when it measures it small;
     # a larger one is shuffled on length and skewed length buckets are split.
-    pairs = t.join(v, "vl").withColumn("s", sim(F.col("token"), F.col("v"))).where(F.col("s") >= low)
+    pairs = t.join(v, "vl").withColumn("s", block_similarity(F.col("v"), F.col("token"), low)).where(F.col("s") >= low)
     from tidemark.operators.windows import top_n_per_group
 
     # two-stage (salted by value) so a token with many candidates is not ranked in one task
-    best = top_n_per_group(pairs, ["token", "label"], [F.col("s").desc(), "value"], top, salt=["value"])
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("token", "label").orderBy(F.col("s").desc(), "value")))
+    order = [F.col("s").desc(), F.col("v").desc()]
+    best = top_n_per_group(pairs, ["token", "label"], order, top, salt=["value"])
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("token", "label").orderBy(*order)))
     return best.select("token", "label", "value", round_half_up(F.col("s"), 6).alias("similarity"),
                        F.when(F.col("s") >= high, "high").otherwise("low").alias("confidence"), "rank")
 
 
+def entity_bands(terms: DataFrame, matches: DataFrame, labels=tuple(l for l, _ in CATALOGUE), top: int = TOP_MATCHES) -> DataFrame:
+    """V04 per question and label: the band (high, else low, else none) and its first ``top``
+    different values in the order of the question's terms, then of rank."""
+    keys = ["conv_id", "turn", "label"]
+    found = terms.join(matches, "token").groupBy(*keys, "confidence", "value").agg(F.min(F.struct("place", "rank")).alias("first"))
+    bands = found.groupBy(*keys).agg(F.min("confidence").alias("confidence"), F.array_sort(F.collect_list(F.struct("confidence", "first", "value"))).alias("all"))
+    # 'high' sorts before 'low', so the band's own values come first
+    own = F.slice(F.filter("all", lambda x: x["confidence"] == F.col("confidence")), 1, top)
+    bands = bands.select(*keys, "confidence", F.array_join(F.transform(own, lambda x: x["value"]), ", ").alias("matches"))
+    asked = terms.select("conv_id", "turn").distinct().select("conv_id", "turn", F.explode(F.array(*[F.lit(l) for l in labels])).alias("label"))
+    return asked.join(bands, keys, "left").select(*keys, F.coalesce("confidence", F.lit("none")).alias("confidence"), F.coalesce("matches", F.lit("")).alias("matches"))
+
+
+_MATCH_SQL = [
+    *_ALIAS_SQL,
+    ("terms", """SELECT conv_id, turn, token, MIN({'s': s, 'i': i, 'y': y, 't': token}) AS place FROM (
+       SELECT conv_id, turn, token, 0 AS s, i, 0 AS y FROM toks UNION ALL SELECT conv_id, turn, canonical, stage, i, y FROM added WHERE stage < 9) u
+       GROUP BY conv_id, turn, token"""),
+    ("cat", f"SELECT label, lower(value) AS v, MAX(value) AS value FROM ({_CAT_SQL}) c GROUP BY 1, 2"),
+    ("en", "SELECT DISTINCT v AS a, token AS b FROM cat JOIN (SELECT DISTINCT token FROM terms) t ON length(v) BETWEEN 0.5 * length(token) AND 2 * length(token)"),
+    *block_ratio_sql("en", LOW),
+    ("matched", f"""SELECT * FROM (SELECT r.b AS token, c.label, c.value, r.s, ROW_NUMBER() OVER (PARTITION BY r.b, c.label ORDER BY r.s DESC, c.v DESC) AS rank
+       FROM en_ratio r JOIN cat c ON c.v = r.a) x WHERE rank <= {TOP_MATCHES}"""),
+]
+
+
 @query("v04_entity_fuzzy_match", oracle(
-    f"""WITH t AS (SELECT DISTINCT token FROM toks), v AS ({_CAT_SQL}),
- p AS (SELECT t.token, v.label, v.value, {sim_sql('t.token', 'lower(v.value)')} AS s FROM t CROSS JOIN v),
- r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY token, label ORDER BY s DESC, value) AS rank FROM p WHERE s >= {LOW})
-SELECT token, label, value, {round_sql('s', 6)} AS similarity, CASE WHEN s >= {HIGH} THEN 'high' ELSE 'low' END AS confidence,
-       CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {TOP_MATCHES}""",
-    "clips", extra=[("q", _Q_SQL), ("toks", _TOKENS_SQL)]))
+    f"""SELECT token, label, value, {round_sql('s', 6)} AS similarity, CASE WHEN s >= {HIGH} THEN 'high' ELSE 'low' END AS confidence,
+       CAST(rank AS INTEGER) AS rank FROM matched""", "clips", extra=_MATCH_SQL))
 def v04(spark, sf):
     dom = D(spark, sf)
-    return fuzzy_match(tokenise(questions(dom)), entity_catalogue(dom))
+    toks = tokenise(questions(dom))
+    return fuzzy_match(question_terms(toks, alias_terms(toks, alias_table(spark), known_months(dom))), entity_catalogue(dom))
+
+
+@query("v04_entity_bands", oracle(
+    f"""WITH f AS (SELECT t.conv_id, t.turn, m.label, CASE WHEN m.s >= {HIGH} THEN 'high' ELSE 'low' END AS confidence, m.value, MIN({{'p': t.place, 'r': m.rank}}) AS first
+        FROM terms t JOIN matched m ON m.token = t.token GROUP BY ALL),
+ b AS (SELECT conv_id, turn, label, MIN(confidence) AS confidence FROM f GROUP BY ALL),
+ v AS (SELECT f.conv_id, f.turn, f.label, f.confidence, list(f.value ORDER BY f.first)[1:{TOP_MATCHES}] AS vals
+         FROM f JOIN b ON b.conv_id = f.conv_id AND b.turn = f.turn AND b.label = f.label AND b.confidence = f.confidence GROUP BY ALL)
+SELECT q.conv_id, q.turn, q.label, COALESCE(v.confidence, 'none') AS confidence, COALESCE(array_to_string(v.vals, ', '), '') AS matches
+  FROM (SELECT DISTINCT conv_id, turn, unnest([{', '.join(f"'{l}'" for l, _ in CATALOGUE)}]) AS label FROM terms) q
+  LEFT JOIN v ON v.conv_id = q.conv_id AND v.turn = q.turn AND v.label = q.label""", "clips", extra=_MATCH_SQL))
+def v04_bands(spark, sf):
+    dom = D(spark, sf)
+    toks = tokenise(questions(dom))
+    terms = question_terms(toks, alias_terms(toks, alias_table(spark), known_months(dom)))
+    return entity_bands(terms, fuzzy_match(terms, entity_catalogue(dom)))
 
 
 # ---------------------------------------------------------------------------------

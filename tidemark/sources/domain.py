@@ -294,9 +294,10 @@ def render_oracle(body: str, *views: str, extra: list[tuple[str, str]] | None =
     if not ctes:
         return body
     b = body.lstrip()
+    head = "WITH RECURSIVE " if any("UNION ALL" in s and n in s for n, s in (extra or [])) else "WITH "
     if b[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(ctes) + ",\n" + b[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+        return head + ",\n".join(ctes) + ",\n" + b[5:]
+    return head + ",\n".join(ctes) + "\n" + body
 
 
 def register_oracle_view(name: str, sql: str, deps: tuple[str, ...] = ()) -> None:
