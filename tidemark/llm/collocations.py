@@ -45,7 +45,7 @@ from tidemark.llm.common import HASHER, LOWER, U64, byte_class, materialise, mix
 MIN_COUNT = 10
 MAX_WORDS = 3
 TOP = 2000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 PARTITION_MASS = 4_000_000
 HOT = 20_000
 SALTS = 64
@@ -63,7 +63,9 @@ class MisraGries:
         self.capacity, self.error = capacity, 0
         self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def merge(self, keys: np.ndarray, counts: np.ndarray, error: int = 0) -> None:
+        """Adds another summary's counters (with that summary's own error)."""
+        self.error += error
         keys, counts = np.concatenate((self.keys, keys)), np.concatenate((self.counts, counts))
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
@@ -105,7 +107,8 @@ def _bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(limit: int):
-    """Rows (langs, ends, n_words, texts): texts of a chunk joined by line ends."""
+    """Rows (langs, ends, n_words, texts): texts of a chunk joined by line ends, compressed (Arrow
+    batches hold many chunks)."""
 
     def row(langs, blobs):
         texts = b"\n".join(blobs)
@@ -114,7 +117,7 @@ def _chunks(limit: int):
         n = np.diff(np.searchsorted(start, np.concatenate(([0], ends))))
         return pa.RecordBatch.from_arrays(
             [pa.array([langs], pa.list_(pa.string())), pa.array([ends.tolist()], pa.list_(pa.int64())),
-             pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([texts], pa.binary())],
+             pa.array([n.tolist()], pa.list_(pa.int64())), pa.array([zstandard.compress(texts)], pa.binary())],
             names=["langs", "ends", "n_words", "texts"])
 
     def chunks(batches):
@@ -192,7 +195,7 @@ def _from_planes(b: bytes) -> np.ndarray:
 
 
 def _open(row, partitions: int, max_words: int) -> _Chunk:
-    return _Chunk(row["langs"], np.array(row["ends"], np.int64), row["texts"], partitions, max_words)
+    return _Chunk(row["langs"], np.array(row["ends"], np.int64), zstandard.decompress(row["texts"]), partitions, max_words)
 
 
 def _summaries(partitions: int, max_words: int):
