@@ -45,8 +45,8 @@ def D(spark, sf):
 # ---------------------------------------------------------------------------------
 # Strategies
 # ---------------------------------------------------------------------------------
-def full_replace_ingest(spark, path: str, filename: str, table_base: str, sep: str = ",") -> tuple[str, int]:
-    """Read (all strings, malformed lines left out) → strip → 'Channels'→'Channel' → duration _raw/_secs → replace table."""
+def full_replace_ingest(spark, path: str, filename: str, table_base: str, sep: str | None = None) -> tuple[str, int]:
+    """Read (separator told from the file, all strings, malformed lines left out) → strip → 'Channels'→'Channel' → duration _raw/_secs → replace table."""
     df = duration_cols_raw_secs(normalise_channel_col(strip_strings(read_export_split(spark, path, sep)[0])))
     name = replace_table(spark, df, filename, table_base)
     return name, spark.table(name).count()

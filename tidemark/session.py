@@ -98,3 +98,9 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the library's own through the Hadoop FileSystem."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)

@@ -176,12 +176,44 @@ def read_export(spark, path: str, sep: str = ",") -> DataFrame:
     return spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
 
 
+SEPARATORS = [",", ";", "\t", "|"]
+
+
+def sniff_separator(spark, path: str, header: bool = True) -> str:
+    """The separator of an export, told from all of its lines in one pass.
+
+    For each candidate, fields are counted outside of quotes, line by line. Candidates whose
+    usual count also holds in the header (of the file that starts first) go before others, then
+    the one on which the larger share of the lines agrees, then the one with more fields, then
+    the order of ``SEPARATORS``. Lines with an open quote have no vote. A file of one column
+    (or none) has the first candidate. A byte-order mark belongs to no field and is skipped."""
+    plain = F.regexp_replace("value", r'"(?:[^"]|"")*"', "")
+    lines = spark.read.text(path).select(plain.alias("p"), F.col("_metadata.file_path").alias("f"),
+                                         (F.col("_metadata.file_block_start") == 0).alias("first"), F.monotonically_increasing_id().alias("i"))
+    lines = lines.where((F.length("p") > 0) & ~F.col("p").contains('"'))
+    counts = [(F.length("p") - F.length(F.replace(F.col("p"), F.lit(c), F.lit("")))).alias("n") for c in SEPARATORS]
+    votes = lines.select("f", "first", "i", F.posexplode(F.array(*counts)).alias("sep", "n"))
+    usual = votes.groupBy("sep", "n").agg(F.count(F.lit(1)).alias("lines")).groupBy("sep").agg(
+        F.max(F.struct("lines", "n")).alias("top"), F.sum("lines").alias("all"))
+    heads = votes.where("first").groupBy("sep").agg(F.min_by("n", F.struct("f", "i")).alias("head"))
+    best = None
+    for r in usual.join(heads, "sep", "left").collect():  # one row a candidate
+        if r["top"]["n"] > 0:
+            agrees = not header or r["head"] == r["top"]["n"]
+            rank = (agrees, r["top"]["lines"] / r["all"], r["top"]["n"], -r["sep"])
+            if best is None or rank > best[0]:
+                best = (rank, SEPARATORS[r["sep"]])
+    return best[1] if best else SEPARATORS[0]
+
+
 CORRUPT = "_corrupt_record"
 
 
-def read_export_split(spark, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+def read_export_split(spark, path: str, sep: str | None = None) -> tuple[DataFrame, DataFrame]:
     """S02/S03 for ingestion: (well-formed rows, malformed lines with their raw text). A line with
-    more or fewer fields than the header is malformed; it is set apart, never half-read."""
+    more or fewer fields than the header is malformed; it is set apart, never half-read. The
+    separator is told from the file unless given."""
+    sep = sep or sniff_separator(spark, path)
     fields = read_export(spark, path, sep).schema.fields
     schema = StructType([*fields, StructField(CORRUPT, StringType())])
     df = spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option(
@@ -329,13 +361,30 @@ def s02(spark, sf):
     lines.write.mode("overwrite").text(path)
     schema = StructType([StructField("video_id", LongType()), StructField("headline", StringType()),
                          StructField("_corrupt", StringType())])
-    r = (spark.read.schema(schema).option("sep", ";").option("mode", "PERMISSIVE")
+    r = (spark.read.schema(schema).option("sep", sniff_separator(spark, path, header=False)).option("mode", "PERMISSIVE")
          .option("columnNameOfCorruptRecord", "_corrupt").csv(path))
     # The split references a data column as well (a scan of the corrupt column alone is not allowed).
     return r.agg(F.count_if(F.col("_corrupt").isNull()).alias("good_rows"), F.count_if(F.col("_corrupt").isNotNull()).alias("bad_rows"),
                  F.count("video_id").alias("parsed_ids"))
 
 
+@query("s02_separators_told", oracle(
+    "SELECT s.sep, s.sep AS told, COUNT(*) AS data_rows, CAST(SUM(m.created_count) AS BIGINT) AS created FROM mart_channel_user m "
+    "CROSS JOIN (VALUES (','), (';'), (chr(9)), ('|')) s(sep) GROUP BY s.sep", "mart_channel_user"))
+def s02_told(spark, sf):
+    """One export in four formats, read without being told which."""
+    name = "channel user (combined).csv"
+    frame, base, out = export_frame(D(spark, sf), name), scratch_dir(spark, "formats"), None
+    for i, sep in enumerate(SEPARATORS):
+        path = os.path.join(base, str(i))
+        frame.write.option("header", True).option("sep", sep).csv(path)
+        told = sniff_separator(spark, path)
+        rows = read_export_split(spark, path, told)[0]
+        part = rows.select(F.lit(sep).alias("sep"), F.lit(told).alias("told"), F.col("Created Count").cast("bigint").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("sep", "told").agg(F.count(F.lit(1)).alias("data_rows"), F.sum("n").alias("created"))
+
+
 @query("s03_scan_csv_strings", oracle(
     "SELECT month, CAST(uploaded_count AS VARCHAR) AS total_uploaded FROM mart_monthly", "mart_monthly"))
 def s03(spark, sf):
@@ -362,21 +411,64 @@ def s05(spark, sf):
 STRATEGIES = {**{n: "full_replace" for n in AGG_EXPORTS}, **{n: "full_replace" for n in OTHER_EXPORTS}, "video_list.csv": "incremental"}
 
 
-def list_files(spark, base: str) -> DataFrame:
-    """One row per part file: export name, size, mtime, sha-256 of the content."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(base)
-    return f.select(
-        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("filename"),
-        "length", "modificationTime", F.sha2("content", 256).alias("part_hash"),
-    )
+def list_files(spark, base: str, suffix: str = ".csv") -> DataFrame:
+    """One row per part file: export name, path, size and time of change; no content is read."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*" + suffix).option("recursiveFileLookup", True).load(base)
+    return f.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("filename"), "path", "length", "modificationTime")
+
+
+HASH_RANGE = 64 << 20  # bytes that one task hashes at a time
+HASH_FAN = 1024  # hashes folded into one
+
+
+def _hash_ranges(batches):
+    """sha-256 of each byte range, read in blocks (path, at, size → at, hash)."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from tidemark.sources.changed_files import open_fs
+
+    for b in batches:
+        hashes = []
+        for path, at, size in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            system, name = open_fs(path)
+            h = hashlib.sha256()
+            with system.open_input_file(name) as f:
+                while size > 0 and (block := f.read_at(min(size, 4 << 20), at)):
+                    h.update(block)
+                    at, size = at + len(block), size - len(block)
+            hashes.append(h.hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(hashes, pa.string())], names=["filename", "path", "i", "hash"])
+
+
+def part_hashes(spark, files: DataFrame, range_bytes: int = HASH_RANGE, fan: int = HASH_FAN) -> DataFrame:
+    """(filename, path, hash) of files of any size, as a hash tree: byte ranges are hashed by
+    separate tasks, and the hex digests of up to ``fan`` neighbours, one after the other, are
+    hashed again, level by level, until one is left (at least one level, so that a small file's
+    hash is that of its one range's digest)."""
+    ranges = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
+    rows = files.select("filename", "path", "length", F.posexplode(ranges).alias("i", "at"))
+    rows = rows.select("filename", "path", "at", F.least(F.lit(range_bytes).cast("long"), F.col("length") - F.col("at")).alias("size"), F.col("i").cast("long").alias("i"))
+    # A range is much work behind a short row: deal them out one by one.
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, 1), "path", "i")
+    level = rows.mapInArrow(_hash_ranges, "filename string, path string, i long, hash string")
+    most = files.agg(F.max("length")).first()[0] or 0
+    n = max(1, -(-most // range_bytes))
+    while True:
+        level = level.groupBy("filename", "path", F.floor(F.col("i") / fan).alias("i")).agg(
+            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"))
+        n = -(-n // fan)
+        if n <= 1:
+            return level.select("filename", "path", "hash")
 
 
 def file_fingerprints(spark, base: str) -> DataFrame:
     """Per export: combined hash of its part hashes (bounded by its file count), rows = parts."""
     f = list_files(spark, base)
-    return f.groupBy("filename").agg(
-        F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("part_hash"))), 256).alias("hash"),
-        F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("parts"))
+    hashed = part_hashes(spark, f).groupBy("filename").agg(
+        F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("hash"))), 256).alias("hash"))
+    return f.groupBy("filename").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("parts")).join(hashed, "filename")
 
 
 def known_unknown(spark, files: DataFrame) -> DataFrame:
@@ -407,10 +499,17 @@ def s06(spark, sf):
     return known_unknown(spark, list_files(spark, base)).join(line_counts(spark, base), "filename").select("filename", "known", "data_lines")
 
 
-@query("s07_file_fingerprint")
+@query("s07_file_fingerprint", oracle(
+    """SELECT 'a.csv' AS filename, 1 AS parts, sha256(sha256(string_agg(d || chr(10), '' ORDER BY d))) AS part_hash FROM
+  (SELECT r_name || ',' || r_regionkey AS d FROM region) x"""))
 def s07(spark, sf):
-    base = write_exports(spark, sf, ["users.csv", "monthly.csv"])
-    return file_fingerprints(spark, base).select("filename", "hash", "parts")
+    """The regions as one sorted file; the tree of one small file has one range and one fold."""
+    base = scratch_dir(spark, "fingerprints")
+    lines = D(spark, sf).t("region").select(F.concat_ws(",", "r_name", "r_regionkey").alias("value"))
+    lines.coalesce(1).sortWithinPartitions("value").write.option("lineSep", "\n").text(os.path.join(base, "a.csv"))
+    files = list_files(spark, base, suffix=".txt")
+    return part_hashes(spark, files).join(files.groupBy("filename").agg(F.count(F.lit(1)).cast("int").alias("parts")), "filename").select(
+        "filename", "parts", F.col("hash").alias("part_hash"))
 
 
 @query("k01_write_parquet_mart", oracle("SELECT * FROM mart_users", "mart_users"))
