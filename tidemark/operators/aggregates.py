@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import horizontal_sum, publish_rate, round_half_up, round_sql, status_label, unpublished_gap
 from tidemark.plans.marts import marts_for, monthly_mart, publishing_long
 from tidemark.registry import query
-from tidemark.sources.domain import PLATFORM_COLS, Domain, oracle, register_oracle_view
+from tidemark.sources.domain import WIDE_COLS, Domain, oracle, register_oracle_view
 
 
 def D(spark, sf):
@@ -276,7 +276,7 @@ def a20(spark, sf):
     from tidemark.operators.reshape import publishing_wide
 
     w = publishing_wide(D(spark, sf))
-    return w.select("channel_name", horizontal_sum(PLATFORM_COLS).cast("bigint").alias("total_published"))
+    return w.select("channel_name", horizontal_sum(WIDE_COLS).cast("bigint").alias("total_published"))
 
 
 @query("a22_group_list", oracle(

@@ -180,10 +180,10 @@ def f09(spark, sf):
     LEFT JOIN mart_publishing m ON m.channel_name = c.channel_name AND m.platform = p.platform) x
  WHERE publish_count > 0 OR COALESCE(published_mins > 0, false)""", "mart_publishing"))
 def f10(spark, sf):
-    from tidemark.operators.reshape import melt_platforms, publishing_wide, publishing_wide_secs
+    from tidemark.operators.reshape import melt_platforms, publishing_totals, publishing_totals_secs
 
     dom = D(spark, sf)
-    long = melt_platforms(publishing_wide(dom), publishing_wide_secs(dom))
+    long = melt_platforms(publishing_totals(dom), publishing_totals_secs(dom))
     return long.where((F.col("publish_count") > 0) | F.coalesce(F.col("published_mins") > 0, F.lit(False)))
 
 

@@ -23,7 +23,7 @@ from tidemark.functions.expr import HMS_PATTERN, MONTH_LABEL_PATTERN, NULLISH, i
 from tidemark.operators.filters import HMS_TEXT_SQL, hms_text, qa_exact_mask
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
-from tidemark.sources.domain import PLATFORM_COLS, QA_ACCOUNTS, Domain, oracle
+from tidemark.sources.domain import QA_ACCOUNTS, WIDE_COLS, Domain, oracle
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 RESULT_COLS = ["name", "status", "message", "count", "pct", "field", "tbl"]
@@ -291,28 +291,37 @@ DUP_CHANNEL_USER = Block(
 )
 
 
+def missing_columns(spark, path: str, required: list[str]) -> list[str]:
+    """Q10: required columns that a stored export's header lacks."""
+    from tidemark.sources.exports import read_export
+
+    header = {c.strip() for c in read_export(spark, path).columns}
+    return [c for c in required if c not in header]
+
+
 def _publishing_frame(spark, sf):
     from tidemark.functions.expr import horizontal_sum
     from tidemark.operators.reshape import publishing_wide
+    from tidemark.sources.exports import PLATFORM_TITLES, write_exports
 
     w = publishing_wide(D(spark, sf))
+    stored = write_exports(spark, sf, ["publishing.csv"])
     # Rows for every channel (channels without any platform row are dead rows with all zeros).
     chans = D(spark, sf).clips("channel_name").distinct()
-    full = chans.join(w, "channel_name", "left").fillna(0, subset=PLATFORM_COLS)
-    present = [c for c in PLATFORM_COLS if c in full.columns]
-    missing_cols = len(PLATFORM_COLS) - len(present)
+    full = chans.join(w, "channel_name", "left").fillna(0, subset=WIDE_COLS)
+    missing = missing_columns(spark, f"{stored}/publishing.csv", PLATFORM_TITLES)
     return full.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(horizontal_sum(present) == 0).alias("dead"),
-        F.lit(missing_cols).cast("bigint").alias("missing_cols"),
-        F.lit(len(PLATFORM_COLS)).cast("bigint").alias("n_cols"),
-        F.count_if(F.least(*[F.col(c) for c in present]) < 0).alias("neg"),
+        F.count_if(horizontal_sum(WIDE_COLS) == 0).alias("dead"),
+        F.lit(len(missing)).cast("bigint").alias("missing_cols"),
+        F.lit(len(PLATFORM_TITLES)).cast("bigint").alias("n_cols"),
+        F.count_if(F.least(*[F.col(c) for c in WIDE_COLS]) < 0).alias("neg"),
     )
 
 
 PUBLISHING = Block(
     "publishing", _publishing_frame,
-    """SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE p IS NULL) AS dead, 0 AS missing_cols, 25 AS n_cols, 0 AS neg
+    """SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE p IS NULL) AS dead, 0 AS missing_cols, 26 AS n_cols, 0 AS neg
   FROM (SELECT DISTINCT channel_name FROM clips) c
   LEFT JOIN (SELECT channel_name AS cn, COUNT(*) AS p FROM clips WHERE platform IS NOT NULL GROUP BY 1) x ON c.channel_name = x.cn""",
     [Check("zero_pub:publishing.dead_channels", "", "warn_above", "dead", "n", 0.3),

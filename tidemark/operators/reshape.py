@@ -1,17 +1,19 @@
 """Reshaping (survey §2.8 R-keys): pivot, melt/unpivot, capped pivots, long option lists.
 
-Pivots always name their values explicitly (a fixed list, or a bounded top-N computed
-first), so Spark plans one aggregation with N conditional aggregates instead of a distinct
-pre-pass, and the output schema is known before the data is read.
+Pivots take their members from the data: sums per (row, member) become one map a row
+(``pivot_map``; as many entries as the row has members), without a list in the code, a pass for
+the distinct members or a collect. Where a table needs fixed columns, ``spread`` names them and
+adds up all other members in one more column, so nothing is lost. Capped pivots (R04) take the
+top members of a bounded ranking first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.registry import query
-from tidemark.sources.domain import PLATFORM_COLS, PLATFORMS, Domain, oracle
+from tidemark.sources.domain import OTHER_PLATFORMS, PLATFORM_COLS, PLATFORMS, Domain, oracle
 
 # The five region names of the driver data (languages of the mapping).
 LANGUAGES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -28,21 +30,39 @@ def D(spark, sf):
 # ---------------------------------------------------------------------------------
 # Wide publishing tables (the channel-wise export shape) and melting them back
 # ---------------------------------------------------------------------------------
-def publishing_wide(dom: Domain) -> DataFrame:
-    """channel × 25 platform columns of publish counts (0 when none)."""
-    c = dom.clips("channel_name", "platform").where(F.col("platform").isNotNull())
-    w = c.groupBy("channel_name").pivot("platform", PLATFORMS).agg(F.count(F.lit(1)))
-    return w.select("channel_name", *[F.coalesce(F.col(p), F.lit(0)).cast("bigint").alias(pc) for p, pc in zip(PLATFORMS, PLATFORM_COLS)])
+def pivot_map(df: DataFrame, row: str, member: str, value: Column, name: str = "totals") -> DataFrame:
+    """R03 for any members: (row, ``name`` map member → value). Null members are left out."""
+    per = df.where(F.col(member).isNotNull()).groupBy(row, member).agg(value.cast("bigint").alias("_v"))
+    return per.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(member, "_v"))).alias(name))
 
 
-def publishing_wide_secs(dom: Domain) -> DataFrame:
-    c = dom.clips("channel_name", "platform", "published_secs").where(F.col("platform").isNotNull())
-    w = c.groupBy("channel_name").pivot("platform", PLATFORMS).agg(F.sum("published_secs"))
-    return w.select("channel_name", *[F.coalesce(F.col(p), F.lit(0)).cast("bigint").alias(pc + "_secs") for p, pc in zip(PLATFORMS, PLATFORM_COLS)])
+def spread(maps: DataFrame, row: str, columns: dict[str, str], other: str, name: str = "totals") -> DataFrame:
+    """A map's named members as columns (0 where absent; ``columns``: member → column name), and
+    the sum of all others in the column ``other``."""
+    known = F.array(*[F.lit(m) for m in columns])
+    rest = F.map_values(F.map_filter(name, lambda k, _: ~F.array_contains(known, k)))
+    zero = F.lit(0).cast("bigint")
+    return maps.select(row, *[F.coalesce(F.try_element_at(name, F.lit(m)), zero).alias(c) for m, c in columns.items()],
+                       F.aggregate(rest, zero, lambda acc, x: acc + x).alias(other))
+
+
+def publishing_totals(dom: Domain) -> DataFrame:
+    """channel → its publish count on each platform, whatever the platforms."""
+    return pivot_map(dom.clips("channel_name", "platform"), "channel_name", "platform", F.count(F.lit(1)))
 
 
-def _brand_from_col(c):
-    return F.concat(F.lit("Brand#"), F.regexp_extract(c, r"brand_(\d+)", 1))
+def publishing_totals_secs(dom: Domain) -> DataFrame:
+    return pivot_map(dom.clips("channel_name", "platform", "published_secs"), "channel_name", "platform", F.sum("published_secs"))
+
+
+def publishing_wide(dom: Domain) -> DataFrame:
+    """channel × platform columns of publish counts (0 when none), other platforms in one column."""
+    return spread(publishing_totals(dom), "channel_name", dict(zip(PLATFORMS, PLATFORM_COLS)), OTHER_PLATFORMS)
+
+
+def publishing_wide_secs(dom: Domain) -> DataFrame:
+    columns = {p: c + "_secs" for p, c in zip(PLATFORMS, PLATFORM_COLS)}
+    return spread(publishing_totals_secs(dom), "channel_name", columns, OTHER_PLATFORMS + "_secs")
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str], var: str, val: str) -> DataFrame:
@@ -50,62 +70,75 @@ def melt(df: DataFrame, ids: list[str], values: list[str], var: str, val: str) -
     return df.unpivot(ids, values, var, val)
 
 
-def melt_platforms(wide: DataFrame, wide_secs: DataFrame | None = None) -> DataFrame:
-    """R05 shape: melt counts (and durations), join on (channel, platform)."""
-    long = melt(wide, ["channel_name"], PLATFORM_COLS, "pcol", "publish_count").select(
-        "channel_name", _brand_from_col("pcol").alias("platform"), "publish_count")
-    if wide_secs is None:
-        dom_secs = None
-    else:
-        dom_secs = melt(wide_secs, ["channel_name"], [c + "_secs" for c in PLATFORM_COLS], "pcol", "secs").select(
-            "channel_name", _brand_from_col("pcol").alias("platform"), "secs")
-    if dom_secs is None:
-        return long.withColumn("published_mins", F.lit(None).cast("double"))
-    j = long.join(dom_secs, ["channel_name", "platform"], "left")
+def melt_map(maps: DataFrame, row: str, var: str, val: str, at_least: list[str] = (), name: str = "totals") -> DataFrame:
+    """R01 for any members: one row an entry; members of ``at_least`` that a row lacks come as 0."""
+    entries = F.col(name)
+    if at_least:
+        zeros = F.map_from_arrays(F.array(*[F.lit(m) for m in at_least]), F.array(*[F.lit(0).cast("bigint") for _ in at_least]))
+        entries = F.map_zip_with(zeros, entries, lambda _, a, b: F.coalesce(b, a))
+    return maps.select(row, F.explode(entries).alias(var, val))
+
+
+def melt_platforms(totals: DataFrame, totals_secs: DataFrame) -> DataFrame:
+    """R05 shape: melt counts and durations, join on (channel, platform)."""
+    long = melt_map(totals, "channel_name", "platform", "publish_count", PLATFORMS)
+    secs = melt_map(totals_secs, "channel_name", "platform", "secs")
+    j = long.join(secs, ["channel_name", "platform"], "left")
     return j.select("channel_name", "platform", "publish_count", (F.coalesce("secs", F.lit(0)) / F.lit(60.0)).alias("published_mins"))
 
 
 _BRANDS_VALUES = ", ".join(f"('{p}')" for p in PLATFORMS)
+_BRANDS_SQL = ", ".join(f"'{p}'" for p in PLATFORMS)
 
 WIDE_SQL = "SELECT channel_name, " + ", ".join(
     f"CAST(COUNT(*) FILTER (WHERE platform = '{p}') AS BIGINT) AS {pc}" for p, pc in zip(PLATFORMS, PLATFORM_COLS)
-) + " FROM clips WHERE platform IS NOT NULL GROUP BY channel_name"
+) + f", CAST(COUNT(*) FILTER (WHERE platform NOT IN ({_BRANDS_SQL})) AS BIGINT) AS {OTHER_PLATFORMS} FROM clips WHERE platform IS NOT NULL GROUP BY channel_name"
 
 
 @query("r01_melt", oracle(
     f"""SELECT c.channel_name, b.platform, CAST(COALESCE(m.publish_count, 0) AS BIGINT) AS publish_count,
        COALESCE(m.published_mins, 0.0) AS published_mins
   FROM (SELECT DISTINCT channel_name FROM mart_publishing) c CROSS JOIN (VALUES {_BRANDS_VALUES}) b(platform)
-  LEFT JOIN mart_publishing m ON m.channel_name = c.channel_name AND m.platform = b.platform""", "mart_publishing"))
+  LEFT JOIN mart_publishing m ON m.channel_name = c.channel_name AND m.platform = b.platform
+UNION ALL SELECT channel_name, platform, CAST(publish_count AS BIGINT), published_mins FROM mart_publishing WHERE platform NOT IN ({_BRANDS_SQL})""", "mart_publishing"))
 def r01(spark, sf):
     dom = D(spark, sf)
-    return melt_platforms(publishing_wide(dom), publishing_wide_secs(dom))
+    return melt_platforms(publishing_totals(dom), publishing_totals_secs(dom))
 
 
 @query("r02_unpivot_sql", oracle(
-    f"""SELECT channel_name, platform, publish_count FROM (
-  SELECT c.channel_name, b.platform, CAST(COALESCE(m.publish_count, 0) AS BIGINT) AS publish_count
-    FROM (SELECT DISTINCT channel_name FROM mart_publishing) c CROSS JOIN (VALUES {_BRANDS_VALUES}) b(platform)
-    LEFT JOIN mart_publishing m ON m.channel_name = c.channel_name AND m.platform = b.platform) x
- WHERE publish_count > 0""", "mart_publishing"))
+    f"""SELECT channel_name, CASE WHEN platform IN ({_BRANDS_SQL}) THEN platform ELSE 'Other' END AS platform, CAST(SUM(publish_count) AS BIGINT) AS publish_count
+  FROM mart_publishing GROUP BY 1, 2""", "mart_publishing"))
 def r02(spark, sf):
-    wide = publishing_wide(D(spark, sf))
-    cols = ", ".join(PLATFORM_COLS)
-    u = spark.sql(
-        f"SELECT channel_name, pcol, publish_count FROM {{wide}} UNPIVOT (publish_count FOR pcol IN ({cols})) WHERE publish_count > 0",
-        wide=wide,
+    """The wide table's columns; what its last column adds up comes as 'Other'."""
+    names = dict(zip([*PLATFORM_COLS, OTHER_PLATFORMS], [*PLATFORMS, "Other"]))
+    cols = ", ".join(f"{c} AS `{p}`" for c, p in names.items())
+    return spark.sql(
+        f"SELECT channel_name, platform, publish_count FROM {{wide}} UNPIVOT (publish_count FOR platform IN ({cols})) WHERE publish_count > 0",
+        wide=publishing_wide(D(spark, sf)),
     )
-    return u.select("channel_name", _brand_from_col("pcol").alias("platform"), "publish_count")
 
 
 @query("r03_pivot_sum", oracle(
     "SELECT input_type, " + ", ".join(
         f"CAST(COUNT(*) FILTER (WHERE is_published AND language = '{l}') AS BIGINT) AS {lang_col(l)}" for l in LANGUAGES
-    ) + " FROM clips GROUP BY input_type", "clips"))
+    ) + ", CAST(COUNT(*) FILTER (WHERE is_published AND language NOT IN (" + ", ".join(f"'{l}'" for l in LANGUAGES)
+    + ")) AS BIGINT) AS other FROM clips GROUP BY input_type", "clips"))
 def r03(spark, sf):
     c = D(spark, sf).clips("input_type", "language", "is_published")
-    p = c.groupBy("input_type").pivot("language", LANGUAGES).agg(F.count_if("is_published"))
-    return p.select("input_type", *[F.coalesce(F.col(l), F.lit(0)).cast("bigint").alias(lang_col(l)) for l in LANGUAGES])
+    maps = pivot_map(c, "input_type", "language", F.count_if("is_published"))
+    return spread(maps, "input_type", {l: lang_col(l) for l in LANGUAGES}, "other")
+
+
+@query("r03_pivot_open", oracle(
+    """SELECT input_type, array_to_string(list(language || '=' || n ORDER BY language), ' ') AS published FROM (
+  SELECT input_type, language, COUNT(*) FILTER (WHERE is_published) AS n FROM clips WHERE language IS NOT NULL GROUP BY 1, 2) x GROUP BY input_type""", "clips"))
+def r03_open(spark, sf):
+    """The pivot as one map a row, its members whatever the data holds (here written out as text)."""
+    c = D(spark, sf).clips("input_type", "language", "is_published")
+    maps = pivot_map(c, "input_type", "language", F.count_if("is_published"))
+    entries = F.transform(F.array_sort(F.map_entries("totals")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return maps.select("input_type", F.array_join(entries, " ").alias("published"))
 
 
 CAP_COLS, CAP_ROWS = 10, 15

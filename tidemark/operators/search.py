@@ -15,12 +15,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import round_half_up, round_sql, with_scalars
 from tidemark.functions.similarity import block_ratio_sql, block_similarity, length_window
 from tidemark.registry import query
+from tidemark.session import scratch_dir
 from tidemark.sources.domain import Domain, oracle
 
 # ---------------------------------------------------------------------------------
@@ -412,21 +415,107 @@ def v08(spark, sf):
 SEARCH_TERMS = ["the", "of"]
 
 
-def inverted_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(token, doc) pairs of whole texts, lower-cased, distinct."""
-    return docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), 0)).alias("token")).distinct()
-
-
-def search_all_terms(index: DataFrame, terms: list[str], key: str = "doc_id") -> DataFrame:
-    """Documents containing every term (semi-join of the index on the term list, then a count)."""
-    t = [x.lower() for x in terms]
-    hits = index.where(F.col("token").isin(t)).groupBy(key).agg(F.count_distinct("token").alias("_m"))
-    return hits.where(F.col("_m") == len(set(t))).select(key)
+INDEX_BUCKETS = 64
+INDEX_BLOCK_BITS = 16  # documents of one block share all but the last 16 bits of their id
+
+
+def _delta_bytes(ids: np.ndarray) -> bytes:
+    """Ascending numbers as differences of 7 bits a byte, the high bit set on all but the last."""
+    gaps = np.diff(ids, prepend=0).astype(np.uint64)
+    parts = [(gaps >> np.uint64(7 * i)) & np.uint64(0x7F) for i in range(3)]  # below 2^21
+    size = 1 + (gaps >= 1 << 7) + (gaps >= 1 << 14)
+    out = np.zeros((len(gaps), 3), np.uint8)
+    for i in range(3):
+        out[:, i] = parts[i] | np.where(size > i + 1, 0x80, 0).astype(np.uint64)
+    return out[np.arange(3) < size[:, None]].tobytes()
+
+
+def _from_delta_bytes(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.int64)
+    last = np.flatnonzero(b < 0x80)
+    first = np.concatenate(([0], last[:-1] + 1))
+    place = np.arange(len(b)) - np.repeat(first, last - first + 1)
+    gaps = np.add.reduceat((b & 0x7F).astype(np.int64) << (7 * place), first)
+    return np.cumsum(gaps)
+
+
+def _posting_lists(key: str):
+    """Sorted (token, doc) rows of a task → one delta-coded list a token and block of documents."""
+
+    def encode(batches):
+        held = None  # the open list may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            tokens, docs = t.column("token").combine_chunks().dictionary_encode(), t.column(key).to_numpy()
+            block = docs >> INDEX_BLOCK_BITS
+            code = tokens.indices.to_numpy()
+            new = np.concatenate(([True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
+            start = np.flatnonzero(new)
+            held = t.slice(int(start[-1]))
+            yield from lists(t, docs, block, start[:-1], start[1:])
+        if held is not None and held.num_rows:
+            docs = held.column(key).to_numpy()
+            yield from lists(held, docs, docs >> INDEX_BLOCK_BITS, np.array([0]), np.array([len(docs)]))
+
+    def lists(t, docs, block, start, end):
+        if len(start):
+            low = docs & ((1 << INDEX_BLOCK_BITS) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [t.column("bucket").combine_chunks().take(pa.array(start)), t.column("token").combine_chunks().take(pa.array(start)), pa.array(block[start]),
+                 pa.array((end - start).astype(np.int32)), pa.array([_delta_bytes(low[i:j]) for i, j in zip(start, end, strict=True)], pa.binary())],
+                names=["bucket", "token", "block", "n", "docs"])
+
+    return encode
+
+
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", buckets: int = INDEX_BUCKETS) -> None:
+    """An inverted index kept as a table partitioned by token bucket. A row is the posting list
+    of a token in a block of 2^16 ids, so a frequent token is many rows of bounded size. Tokens
+    are the distinct runs [a-z0-9]+ of the whole lower-cased text; rows without id are left out."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), 0))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.explode(words).alias("token"))
+    rows = rows.select(_bucket(F.col("token"), buckets).alias("bucket"), "token", key, F.shiftright(key, INDEX_BLOCK_BITS).alias("block")).distinct()
+    # Dealt by token and block, so that no token is one task's alone.
+    rows = rows.repartition("bucket", "token", "block").sortWithinPartitions("bucket", "token", key)
+    coded = rows.select("bucket", "token", key).mapInArrow(_posting_lists(key), "bucket int, token string, block long, n int, docs binary")
+    coded.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(path)
+
+
+def search_all_terms(spark, path: str, terms: list[str], key: str = "doc_id", buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """Ids of the documents that hold every term, from the terms' buckets alone. The lists of
+    a block meet in one row; sorted lists are merged, the shortest first."""
+    wanted = sorted({t.lower() for t in terms})
+    if not wanted:
+        raise ValueError("no search terms")
+    at = [r[0] for r in spark.range(1).select(F.explode(F.array(*[_bucket(F.lit(t), buckets) for t in wanted]))).collect()]
+    lists = spark.read.schema("token string, block long, n int, docs binary, bucket int").parquet(path).where(F.col("bucket").isin(sorted(set(at))) & F.col("token").isin(wanted))
+    blocks = lists.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("n", "docs"))).alias("lists")).where(F.size("lists") == len(wanted))
+
+    def merge(batches):
+        for b in batches:
+            out = [np.zeros(0, np.int64)]
+            for block, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = _from_delta_bytes(found[0]["docs"])
+                for x in found[1:]:
+                    other = _from_delta_bytes(x["docs"])
+                    place = np.minimum(np.searchsorted(other, ids), len(other) - 1)
+                    ids = ids[other[place] == ids]
+                out.append(ids + (block << INDEX_BLOCK_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=[key])
+
+    return blocks.mapInArrow(merge, f"{key} long")
 
 
 @query("v09_catalogue_terms_search", oracle(
     f"""SELECT doc_id FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) i
  WHERE token IN ({', '.join(f"'{t}'" for t in SEARCH_TERMS)}) GROUP BY doc_id HAVING COUNT(DISTINCT token) = {len(set(SEARCH_TERMS))}"""))
 def v09(spark, sf):
-    d = D(spark, sf).t("documents").select("doc_id", "text")
-    return search_all_terms(inverted_index(d), SEARCH_TERMS)
+    path = scratch_dir(spark, "index")
+    write_index(D(spark, sf).t("documents").select("doc_id", "text"), path)
+    return search_all_terms(spark, path, SEARCH_TERMS)

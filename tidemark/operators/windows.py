@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import growth_pct, round_half_up, round_sql, with_scalars
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
-from tidemark.sources.domain import PLATFORM_COLS, Domain, oracle
+from tidemark.sources.domain import Domain, oracle
 
 
 def D(spark, sf):
@@ -83,11 +83,9 @@ def w02(spark, sf):
          ROW_NUMBER() OVER (PARTITION BY channel_name ORDER BY publish_count DESC, platform) AS rn
     FROM mart_publishing) x WHERE rn = 1""", "mart_publishing"))
 def w03(spark, sf):
-    from tidemark.operators.reshape import _brand_from_col, publishing_wide
+    from tidemark.operators.reshape import melt_map, publishing_totals
 
-    w = publishing_wide(D(spark, sf))
-    long = w.unpivot(["channel_name"], PLATFORM_COLS, "pcol", "publish_count").select(
-        "channel_name", _brand_from_col("pcol").alias("platform"), "publish_count")
+    long = melt_map(publishing_totals(D(spark, sf)), "channel_name", "platform", "publish_count")
     # Lexicographic platform tie-break, same as the oracle.
     return top1_per_group(long, ["channel_name"], [("publish_count", True), ("platform", False)])
 

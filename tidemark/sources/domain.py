@@ -62,6 +62,8 @@ def platform_col_name(brand: str) -> str:
 
 
 PLATFORM_COLS = [platform_col_name(b) for b in PLATFORMS]
+OTHER_PLATFORMS = "other_platforms"  # wide-table column of all platforms that have none of their own
+WIDE_COLS = [*PLATFORM_COLS, OTHER_PLATFORMS]
 
 # clip column -> tables it needs beyond lineitem
 _CLIP_NEEDS = {

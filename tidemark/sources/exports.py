@@ -28,7 +28,7 @@ from tidemark.operators.filters import HMS_TEXT_SQL, hms_text
 from tidemark.plans.marts import marts_for, monthly_mart
 from tidemark.registry import query
 from tidemark.session import scratch_dir
-from tidemark.sources.domain import PLATFORM_COLS, PLATFORMS, Domain, oracle, register_oracle_view
+from tidemark.sources.domain import PLATFORM_COLS, PLATFORMS, WIDE_COLS, Domain, oracle, register_oracle_view
 
 # ---------------------------------------------------------------------------------
 # Export header → standard column name (the reference's mapping).
@@ -76,7 +76,7 @@ OTHER_EXPORTS = ["monthly.csv", "monthly_duration.csv", "publishing.csv", "publi
 UNKNOWN_EXPORT = "notes.csv"  # an export no strategy is configured for
 ALL_EXPORTS = list(AGG_EXPORTS) + OTHER_EXPORTS + [UNKNOWN_EXPORT]
 
-PLATFORM_TITLES = [p.replace("#", " ") for p in PLATFORMS]  # 'Brand 7'
+PLATFORM_TITLES = [*(p.replace("#", " ") for p in PLATFORMS), "Other"]  # 'Brand 7'; all others in one column
 STRAY_SPACE_MOD = 97  # user names whose key % 97 == 0 get a trailing space in the export
 BLANK_ID_LINE = 7  # detail rows of line 7 have a blank Video ID
 DUP_LINE = 3  # detail rows of line 3 are exported twice
@@ -133,10 +133,10 @@ def export_frame(dom: Domain, name: str) -> DataFrame:
                         hms_text("created_secs").alias("Total Created Duration"), hms_text("published_secs").alias("Total Published Duration"))
     if name == "publishing.csv":
         w = publishing_wide(dom)
-        return w.select(F.col("channel_name").alias("Channels"), *[F.col(c).cast("string").alias(t) for c, t in zip(PLATFORM_COLS, PLATFORM_TITLES)])
+        return w.select(F.col("channel_name").alias("Channels"), *[F.col(c).cast("string").alias(t) for c, t in zip(WIDE_COLS, PLATFORM_TITLES)])
     if name == "publishing_duration.csv":
         w = publishing_wide_secs(dom)
-        return w.select(F.col("channel_name").alias("Channels"), *[hms_text(c + "_secs").alias(t + " Duration") for c, t in zip(PLATFORM_COLS, PLATFORM_TITLES)])
+        return w.select(F.col("channel_name").alias("Channels"), *[hms_text(c + "_secs").alias(t + " Duration") for c, t in zip(WIDE_COLS, PLATFORM_TITLES)])
     if name == "video_list.csv":
         c = dom.clips("video_id", "line_no", "headline", "channel_name", "is_published", "team_name", "input_type", "user_name",
                       "platform", "published_url")
@@ -412,7 +412,8 @@ STRATEGIES = {**{n: "full_replace" for n in AGG_EXPORTS}, **{n: "full_replace" f
 
 
 def list_files(spark, base: str, suffix: str = ".csv") -> DataFrame:
-    """One row per part file: export name, path, size and time of change; no content is read."""
+    """One row per part file: export name, path, size and time of change; no content is read.
+    Empty files are not listed (Spark's readers pass over them)."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*" + suffix).option("recursiveFileLookup", True).load(base)
     return f.select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("filename"), "path", "length", "modificationTime")
 
@@ -453,14 +454,18 @@ def part_hashes(spark, files: DataFrame, range_bytes: int = HASH_RANGE, fan: int
     # A range is much work behind a short row: deal them out one by one.
     rows = rows.repartition(max(spark.sparkContext.defaultParallelism, 1), "path", "i")
     level = rows.mapInArrow(_hash_ranges, "filename string, path string, i long, hash string")
-    most = files.agg(F.max("length")).first()[0] or 0
-    n = max(1, -(-most // range_bytes))
-    while True:
-        level = level.groupBy("filename", "path", F.floor(F.col("i") / fan).alias("i")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"))
-        n = -(-n // fan)
-        if n <= 1:
-            return level.select("filename", "path", "hash")
+    # n: hashes that the file has at this level; a file that is down to one stays as it is.
+    sizes = files.select("path", F.greatest(F.ceil(F.col("length") / range_bytes), F.lit(1)).cast("long").alias("n"))
+    level = level.join(sizes, "path")
+    most = max(1, -(-(files.agg(F.max("length")).first()[0] or 0) // range_bytes))
+    first = True
+    while first or most > 1:
+        folded = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "hash"))), lambda x: x["hash"]), ""), 256)
+        done = F.lit(False) if first else F.col("n") == 1
+        level = level.groupBy("filename", "path", "n", F.floor(F.col("i") / fan).alias("i")).agg(F.when(done, F.first("hash")).otherwise(folded).alias("hash"))
+        level = level.withColumn("n", F.ceil(F.col("n") / fan).cast("long"))
+        most, first = -(-most // fan), False
+    return level.select("filename", "path", "hash")
 
 
 def file_fingerprints(spark, base: str) -> DataFrame:
