@@ -519,9 +519,11 @@ def file_scores(results: DataFrame, other_weight: int = 2) -> DataFrame:
     g = results.groupBy("tbl").agg(
         F.count_if(F.col("status") == FAIL).alias("fails"),
         F.count_if(F.col("status") == WARN).alias("warns"),
+        F.count_if(~F.col("status").isin(FAIL, WARN, PASS)).alias("others"),
         F.count(F.lit(1)).alias("checks"),
     )
-    score = F.greatest(F.lit(0), F.lit(100) - F.col("fails") * 15 - F.col("warns") * 8).cast("int")
+    other = F.col("others") * other_weight
+    score = F.greatest(F.lit(0), F.lit(100) - F.col("fails") * 15 - F.col("warns") * 8 - other).cast("int")
     return g.select("tbl", "fails", "warns", "checks", score.alias("score"),
                     F.when(F.col("fails") > 0, FAIL).when(F.col("warns") > 0, WARN).otherwise(PASS).alias("status"))
 

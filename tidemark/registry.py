@@ -23,6 +23,7 @@ MODULES = [
     "tidemark.operators.ordering",
     "tidemark.operators.reshape",
     "tidemark.operators.quality",
+    "tidemark.operators.audit",
     "tidemark.operators.search",
     "tidemark.sources.exports",
     "tidemark.streaming.files",
