@@ -306,7 +306,7 @@ BLANK_INPUT = "5-LOW"
 def unknown_member_repair(fact: DataFrame, dim: DataFrame, fk: str, id_col: str, name_col: str, unknown: str = UNKNOWN_INPUT):
     """Null FK → id of the 'unknown' member, adding that member (id = max + 1) if absent."""
     have = dim.where(F.lower(F.col(name_col)) == unknown).select(F.col(id_col).alias("_uid"))
-    add = dim.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).cast("int").alias("_uid"))
+    add = dim.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).alias("_uid"))
     # Exactly one row either way: the existing member's id or the new one.
     uid = have.unionByName(add.join(have, how="left_anti")).agg(F.min("_uid").alias("_uid"))
     new_member = uid.join(dim.select(F.col(id_col).alias("_uid")), "_uid", "left_anti").select(
@@ -353,24 +353,51 @@ def j11(spark, sf):
     return m.join(s.dim("dim_user").select("user_id", "user_name"), "user_name")
 
 
+TOP_CREATORS = 5
+
+
+def kpi_bundle(dom: Domain) -> DataFrame:
+    """M23 as one row: totals, rates, minutes (whole seconds, divided once), the top creators by
+    uploads and all platforms by publications ("name=count", largest first, ties by name).
+
+    The counts come from one pass over the detail rows (QA accounts left out), grouped by user and
+    by platform at once; the rankings are taken from those groups."""
+    d = Star(dom).detail.where(~qa_exact_mask("uploaded_by"))
+    g = d.groupingSets([["uploaded_by"], ["published_platform"]], "uploaded_by", "published_platform").agg(
+        F.grouping("uploaded_by").alias("by_platform"), F.count(F.lit(1)).alias("n"), F.sum(F.col("is_published").cast("bigint")).alias("p"))
+    g = g.checkpoint(eager=True)  # a row per user and per platform
+    users, platforms = g.where("by_platform = 0"), g.where("by_platform = 1")
+    totals = users.agg(F.sum("n").alias("total_uploads"), F.sum("p").alias("total_published"), F.count("uploaded_by").alias("users"))
+
+    def listed(rows, name, count):
+        pair = F.struct((-F.col(count)).alias("c"), F.col(name).alias("v"))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(x["v"], F.lit("="), (-x["c"]).cast("string"))), ", ")
+
+    top = users.where("uploaded_by is not null").orderBy(F.col("n").desc(), "uploaded_by").limit(TOP_CREATORS)
+    secs = marts_for(dom, "users").where(~qa_exact_mask("user_name")).agg(*[F.sum(f"{x}_secs").alias(f"{x}_secs") for x in ("uploaded", "created", "published")])
+    row = with_scalars(totals, top.agg(listed(top, "uploaded_by", "n").alias("top_creators")),
+                       platforms.where("published_platform is not null").agg(listed(platforms, "published_platform", "p").alias("top_platforms")), secs)
+    pct = F.col("total_published").cast("double") * F.lit(100.0) / F.nullif(F.col("total_uploads"), F.lit(0))
+    minutes = [round_half_up(F.col(f"{x}_secs") / F.lit(60.0), 2).alias(f"{x}_mins") for x in ("uploaded", "created", "published")]
+    return row.select("total_uploads", F.col("total_uploads").alias("total_created"), "total_published", round_half_up(pct, 2).alias("publish_rate"),
+                      F.when(F.col("total_uploads") > 0, F.lit(1.0)).alias("multiplication_ratio"), *minutes, "users", "top_creators", "top_platforms")
+
+
+# A detail row is one upload and one created clip, as in the fact table.
 @query("m23_kpi_bundle", oracle(
-    f"""SELECT CAST(COUNT(*) AS BIGINT) AS total_uploads, CAST(SUM(created_count) AS BIGINT) AS total_created,
-       CAST(SUM(published_count) AS BIGINT) AS total_published,
+    f"""WITH s AS (SELECT SUM(uploaded_secs) AS u, SUM(created_secs) AS c, SUM(published_secs) AS p FROM mart_users
+   WHERE NOT COALESCE(lower(trim(user_name)) IN ({_QA_SQL}), false)),
+ cr AS (SELECT u.user_name AS v, SUM(f.uploaded_count) AS n FROM fact_video f JOIN dim_user u ON f.user_id = u.user_id GROUP BY 1 ORDER BY n DESC, v LIMIT {TOP_CREATORS}),
+ pl AS (SELECT d.platform_name AS v, SUM(f.published_count) AS n FROM fact_video f JOIN dim_platform d ON f.platform_id = d.platform_id GROUP BY 1)
+SELECT CAST(COUNT(*) AS BIGINT) AS total_uploads, CAST(SUM(created_count) AS BIGINT) AS total_created, CAST(SUM(published_count) AS BIGINT) AS total_published,
        {round_sql('CAST(SUM(published_count) AS DOUBLE) * 100.0 / NULLIF(CAST(SUM(created_count) AS DOUBLE), 0)', 2)} AS publish_rate,
-       {round_sql('SUM(created_mins)', 2)} AS created_mins, {round_sql('SUM(published_mins)', 2)} AS published_mins,
-       CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users
-  FROM fact_video""", "fact_video"))
+       {round_sql('CAST(SUM(created_count) AS DOUBLE) / NULLIF(CAST(SUM(uploaded_count) AS DOUBLE), 0)', 2)} AS multiplication_ratio,
+       {round_sql('(SELECT u FROM s) / 60.0', 2)} AS uploaded_mins, {round_sql('(SELECT c FROM s) / 60.0', 2)} AS created_mins,
+       {round_sql('(SELECT p FROM s) / 60.0', 2)} AS published_mins, CAST(COUNT(DISTINCT user_id) AS BIGINT) AS users,
+       (SELECT string_agg(v || '=' || n, ', ' ORDER BY n DESC, v) FROM cr) AS top_creators, (SELECT string_agg(v || '=' || n, ', ' ORDER BY n DESC, v) FROM pl) AS top_platforms
+  FROM fact_video""", "fact_video", "dim_user", "dim_platform", "mart_users"))
 def m23(spark, sf):
-    from tidemark.functions.expr import safe_ratio_pct
-
-    f = Star(D(spark, sf)).fact(keys=["user_id"])
-    g = f.agg(F.count(F.lit(1)).alias("total_uploads"), F.sum("created_count").cast("bigint").alias("total_created"),
-              F.sum("published_count").cast("bigint").alias("total_published"),
-              round_half_up(F.sum("created_mins"), 2).alias("created_mins"), round_half_up(F.sum("published_mins"), 2).alias("published_mins"),
-              F.count_distinct("user_id").alias("users"))
-    return g.select("total_uploads", "total_created", "total_published",
-                    round_half_up(safe_ratio_pct("total_published", "total_created"), 2).alias("publish_rate"),
-                    "created_mins", "published_mins", "users")
+    return kpi_bundle(D(spark, sf))
 
 
 @query("k05_delete_and_reload", oracle(
@@ -380,14 +407,14 @@ UNION ALL SELECT 'dim_date', COUNT(*) FROM dim_date UNION ALL SELECT 'fact_video
     "dim_user", "dim_input_type", "dim_platform", "dim_team", "dim_date", "fact_video"))
 def k05(spark, sf):
     from tidemark.session import scratch_dir
+    from tidemark.sources.exports import replace_table
 
     s = Star(D(spark, sf))
     base = scratch_dir(spark, "star")
     out = None
     for name in ("dim_user", "dim_input_type", "dim_platform", "dim_team", "dim_date", "fact_video"):
         df = s.fact() if name == "fact_video" else s.dim(name)
-        path = f"{base}/{name}"
-        df.write.mode("overwrite").parquet(path)  # overwrite = delete + reload, atomic per table
-        r = spark.read.parquet(path).agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n"))
+        # The new rows are written apart, then the table's location is switched: no reader sees a gap.
+        r = spark.table(replace_table(spark, df, f"star {name}", base)).agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n"))
         out = r if out is None else out.unionByName(r)
     return out
