@@ -208,14 +208,14 @@ def e11(spark, sf):
 
 def pipeline_gate(spark, sf, force: bool = False) -> DataFrame:
     """Ingest → validate → stop on FAIL unless forced → transform. Returns the stage log."""
-    from tidemark.operators.quality import FAIL, run_all
+    from tidemark.operators.quality import FAIL, stored_checks
     from tidemark.plans.marts import marts_for
 
     log = []
     base = write_exports(spark, sf, ["users.csv"])
     _, n = full_replace_ingest(spark, os.path.join(base, "users.csv"), "users.csv", scratch_dir(spark, "tables"))
     log.append(("ingest", "ok", n))
-    checks = run_all(spark, sf)
+    checks = stored_checks(spark, sf)
     fails = checks.where(F.col("status") == FAIL).count()
     log.append(("validate", "FAIL" if fails else "PASS", fails))
     if fails and not force:

@@ -104,3 +104,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a file or folder of the library's own through the Hadoop FileSystem."""
     p, fs = _fs(spark, path)
     fs.delete(p, True)
+
+
+def rename_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder; False if the target is there already."""
+    p, fs = _fs(spark, source)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    return not fs.exists(to) and bool(fs.rename(p, to))
+
+
+def file_states(spark: SparkSession, path: str) -> list[str]:
+    """"path size time of change" of a file, or of all files below a folder, sorted."""
+    p, fs = _fs(spark, path)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sorted(found)
