@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.registry import query
 from tidemark.session import scratch_dir
-from tidemark.sources.domain import Domain, oracle
+from tidemark.sources.domain import Domain, OracleSQL, oracle
 from tidemark.sources.exports import (
     ALL_EXPORTS,
     EXPORT_VIEWS,
@@ -175,7 +175,9 @@ def e08(spark, sf):
     return spark.createDataFrame([(1, n1), (2, n2), (3, n3)], "run int, new_rows bigint")
 
 
-@query("e09_change_detect")
+@query("e09_change_detect", oracle(
+    """SELECT * FROM (VALUES ('users.csv', 'unchanged'), ('languages.csv', 'unchanged')) v(filename, change)
+UNION ALL SELECT 'monthly.csv', CASE WHEN COUNT(*) FILTER (WHERE month = 'Jan, 1995') > 0 THEN 'changed' ELSE 'unchanged' END FROM mart_monthly""", "mart_monthly"))
 def e09(spark, sf):
     dom = D(spark, sf)
     base = write_exports(spark, sf, ["users.csv", "monthly.csv", "languages.csv"])
@@ -196,7 +198,16 @@ def e10(spark, sf):
     return routed.join(line_counts(spark, base), "filename").select("filename", "route", "data_lines")
 
 
-@query("e11_backfill")
+def _backfill_sql() -> str:
+    """After the second run: every known file skipped, with the rows that the first one loaded."""
+    rows = {n: f"SELECT COUNT(*) FROM {EXPORT_VIEWS[n]}" for n in ALL_EXPORTS if n in STRATEGIES}
+    rows["video_list.csv"] = f"SELECT COUNT(DISTINCT video_id) FROM clips WHERE line_no <> {BLANK_ID_LINE}"
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS filename, CAST(({rows[n]}) AS BIGINT) AS row_count, 'skipped' AS status" if n in rows else f"SELECT '{n}', CAST(0 AS BIGINT), 'error'"
+        for n in ALL_EXPORTS)
+
+
+@query("e11_backfill", oracle(_backfill_sql(), "clips", *sorted(set(EXPORT_VIEWS.values()) - {"region"})))
 def e11(spark, sf):
     base = write_exports(spark, sf)
     ledger_path = os.path.join(scratch_dir(spark, "ledger"), "file_registry")
@@ -227,7 +238,19 @@ def pipeline_gate(spark, sf, force: bool = False) -> DataFrame:
     return spark.createDataFrame(log, "stage string, status string, count bigint")
 
 
-@query("e12_pipeline_gate")
+def _gate_sql() -> OracleSQL:
+    from tidemark.operators.quality import BLOCKS, _views, run_all_sql
+
+    return oracle(
+        """WITH n AS (SELECT (SELECT COUNT(*) FROM mart_users) AS users, (SELECT COUNT(*) FROM checks WHERE status = 'FAIL') AS fails),
+ f AS (SELECT unnest([false, true]) AS forced)
+SELECT 'ingest' AS stage, 'ok' AS status, CAST(users AS BIGINT) AS count, forced FROM n, f
+UNION ALL SELECT 'validate', CASE WHEN fails > 0 THEN 'FAIL' ELSE 'PASS' END, fails, forced FROM n, f
+UNION ALL SELECT 'transform', CASE WHEN fails > 0 AND NOT forced THEN 'skipped' ELSE 'ok' END, CASE WHEN fails > 0 AND NOT forced THEN 0 ELSE users END, forced FROM n, f""",
+        *dict.fromkeys(["mart_users", *_views(BLOCKS)]), extra=[("checks", run_all_sql())])
+
+
+@query("e12_pipeline_gate", _gate_sql())
 def e12(spark, sf):
     a = pipeline_gate(spark, sf, force=False).withColumn("forced", F.lit(False))
     b = pipeline_gate(spark, sf, force=True).withColumn("forced", F.lit(True))
@@ -250,7 +273,14 @@ def cross_mart_incremental(spark, sf, base: str, force: bool = False) -> DataFra
     return spark.createDataFrame([(n, "built" if n in built else "skipped") for n in names], "mart string, status string")
 
 
-@query("e13_cross_mart_incremental")
+def _cross_sql() -> str:
+    from tidemark.operators.aggregates import CROSS_PAIRS
+
+    names = ", ".join(f"('{a}__{b}')" for a, b in CROSS_PAIRS)
+    return f"SELECT mart, CASE run WHEN 2 THEN 'skipped' ELSE 'built' END AS status, run FROM (VALUES {names}) m(mart) CROSS JOIN (SELECT unnest([1, 2, 3]) AS run) r"
+
+
+@query("e13_cross_mart_incremental", _cross_sql())
 def e13(spark, sf):
     base = scratch_dir(spark, "cross_marts")
     a = cross_mart_incremental(spark, sf, base).withColumn("run", F.lit(1))
