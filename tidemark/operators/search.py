@@ -412,6 +412,99 @@ def v08(spark, sf):
     return result_shape_profile(m)
 
 
+# Columns that are rates, columns that are labels whatever their type, names of time columns.
+RATE_COLS = ["publish_rate_pct", "upload_to_publish_rate_pct", "compression_ratio", "creation_multiplier"]
+LABEL_COLS = ["Month", "Channel", "User", "Input Type", "Output Type", "Language", "platform", "uploaded_by", "input_type", "published_platform",
+              "video_id", "headline", "_raw", "ingested_at"]
+TIME_COLS = ["month", "date", "week"]
+HEAT_ROWS, HEAT_COLS, TOP_DUAL, TOP_BARS, MOST_BARS = 20, 10, 15, 20, 4
+
+
+def chart_frame(df: DataFrame) -> tuple[str | None, DataFrame | None]:
+    """The chart that fits a result, and its data as rows (x, series, value, place).
+
+    A time column gives a line of all numbers, or the first volume with the first rate. Two
+    labels and one number give a heat map of sums, missing cells 0, up to 20 by 10 members. One
+    label gives its 15 largest rows with a rate, else up to four volumes of all rows, else the 20
+    largest rows of the one number. Results of fewer than two rows, and others, have no chart.
+    ``place`` ranks the rows of a capped chart (equal values by label); null elsewhere."""
+    labels = [c for c, t in df.dtypes if c in LABEL_COLS or c.endswith("_raw") or t == "string"]
+    numbers = [c for c in df.columns if c not in labels]
+    rates, volumes = [c for c in numbers if c in RATE_COLS], [c for c in numbers if c not in RATE_COLS]
+    time = next((c for c in df.columns if c.lower() in TIME_COLS), None)
+    size = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(labels[:2])]).first()
+    if size["n"] < 2:
+        return None, None
+
+    def long(rows, x, series):
+        entries = F.array(*[F.struct(F.lit(c).alias("series"), F.col(f"`{c}`").cast("double").alias("value")) for c in series])
+        return rows.select(F.col(f"`{x}`").cast("string").alias("x"), F.inline(entries), F.col("_place").alias("place"))
+
+    def top(by, n):
+        order = [F.col(f"`{by}`").desc(), F.col(f"`{labels[0]}`")]
+        first = df.orderBy(*order).limit(n)
+        return first.withColumn("_place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+    every = df.withColumn("_place", F.lit(None).cast("int"))
+    if time:
+        return ("dual_axis", long(every, time, [volumes[0], rates[0]])) if volumes and rates else ("line", long(every, time, numbers))
+    if len(labels) >= 2 and len(numbers) == 1 and size["m0"] <= HEAT_ROWS and size["m1"] <= HEAT_COLS:
+        row, col, value = labels[0], labels[1], numbers[0]
+        cells = df.groupBy(row, col).agg(F.sum(F.col(f"`{value}`").cast("double")).alias("value"))
+        # one map a row, laid out over all (at most 10) members of the second label
+        maps = cells.where(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, "value"))).alias("cells"))
+        full = with_scalars(maps, df.agg(F.collect_set(col).alias("members"))).select(F.col(row).alias("x"), "cells", F.explode("members").alias("series"))
+        return "heatmap", full.select("x", "series", F.coalesce(F.try_element_at("cells", F.col("series")), F.lit(0.0)).alias("value"), F.lit(None).cast("int").alias("place"))
+    if labels and volumes and len(rates) == 1:
+        return "dual_axis", long(top(volumes[0], TOP_DUAL), labels[0], [volumes[0], rates[0]])
+    if labels and len(volumes) >= 2:
+        return "bar", long(every, labels[0], volumes[:MOST_BARS])
+    if labels and len(numbers) == 1:
+        return "bar", long(top(numbers[0], TOP_BARS), labels[0], numbers)
+    return None, None
+
+
+_RATE_SQL = round_sql("CAST(published_count AS DOUBLE) * 100.0 / NULLIF(CAST(created_count AS DOUBLE), 0)", 2)
+
+
+def _unpivot_sql(name: str, chart: str, source: str, x: str, series: dict[str, str], place: str = "NULL") -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS result, '{chart}' AS chart, {x} AS x, '{c}' AS series, CAST({e} AS DOUBLE) AS value, CAST({place} AS INTEGER) AS place FROM {source}"
+                              for c, e in series.items())
+
+
+@query("v08_chart_frames", oracle(
+    " UNION ALL ".join([
+        _unpivot_sql("months", "dual_axis", "mart_monthly", "month", {"uploaded_count": "uploaded_count", "publish_rate_pct": _RATE_SQL}),
+        _unpivot_sql("month volumes", "line", "mart_monthly", "month", {"uploaded_count": "uploaded_count", "published_count": "published_count"}),
+        """SELECT 'cells' AS result, 'heatmap' AS chart, g.input_type AS x, g.language AS series, CAST(COALESCE(SUM(m.n), 0) AS DOUBLE) AS value, CAST(NULL AS INTEGER) AS place
+  FROM (SELECT a.input_type, b.language FROM (SELECT DISTINCT input_type FROM cells) a CROSS JOIN (SELECT DISTINCT language FROM cells) b) g
+  LEFT JOIN cells m ON m.input_type = g.input_type AND m.language = g.language GROUP BY ALL""",
+        _unpivot_sql("users", "dual_axis", f"(SELECT *, ROW_NUMBER() OVER (ORDER BY created_count DESC, user_name) AS rn FROM mart_users QUALIFY rn <= {TOP_DUAL}) u", "user_name",
+                     {"created_count": "created_count", "publish_rate_pct": _RATE_SQL}, "rn"),
+        _unpivot_sql("top users", "bar", f"(SELECT *, ROW_NUMBER() OVER (ORDER BY uploaded_count DESC, user_name) AS rn FROM mart_users QUALIFY rn <= {TOP_BARS}) u", "user_name",
+                     {"uploaded_count": "uploaded_count"}, "rn"),
+        _unpivot_sql("languages", "bar", "mart_languages", "language", {c: c for c in ("uploaded_count", "created_count", "published_count")})]),
+    "mart_monthly", "mart_users", "mart_languages", "clips",
+    extra=[("cells", "SELECT input_type, language, COUNT(*) AS n FROM clips WHERE platform = 'Brand#3' GROUP BY 1, 2")]))
+def v08_frames(spark, sf):
+    from tidemark.plans.marts import marts_for, monthly_mart
+
+    dom = D(spark, sf)
+    rate = round_half_up(F.col("published_count") * F.lit(100.0) / F.nullif(F.col("created_count"), F.lit(0)), 2).alias("publish_rate_pct")
+    months, users = monthly_mart(dom), marts_for(dom, "users")
+    cells = dom.clips("input_type", "language", "platform").where("platform = 'Brand#3'").groupBy("input_type", "language").agg(F.count(F.lit(1)).alias("n"))
+    results = {"months": months.select("month", "uploaded_count", rate), "month volumes": months.select("month", "uploaded_count", "published_count"), "cells": cells,
+               "users": users.select("user_name", "created_count", rate), "top users": users.select("user_name", "uploaded_count"),
+               "languages": marts_for(dom, "languages").select("language", "uploaded_count", "created_count", "published_count")}
+    out = None
+    for name, df in results.items():
+        chart, frame = chart_frame(df)
+        if frame is not None:
+            frame = frame.select(F.lit(name).alias("result"), F.lit(chart).alias("chart"), "x", "series", "value", "place")
+            out = frame if out is None else out.unionByName(frame)
+    return out
+
+
 SEARCH_TERMS = ["the", "of"]
 
 
