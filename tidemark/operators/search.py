@@ -365,12 +365,14 @@ UPDATED_LABELS = 5  # a new version arrives for every vector whose label is belo
 @query("v07_upsert_vectors", oracle(
     f"""SELECT vec_id, CASE WHEN label < {UPDATED_LABELS} THEN label + 100 ELSE label END AS label FROM embeddings"""))
 def v07(spark, sf):
-    from tidemark.sources.exports import upsert_ledger
+    from tidemark.sources.keyed_table import KeyedTable
 
     e = D(spark, sf).t("embeddings").select("vec_id", "label", "embedding")
-    old = e.withColumn("version", F.lit(1))
-    new = e.where(F.col("label") < UPDATED_LABELS).withColumn("label", F.col("label") + 100).withColumn("version", F.lit(2))
-    return upsert_ledger(old, new, "vec_id", "version").select("vec_id", "label")
+    base = scratch_dir(spark, "vectors")
+    stored = KeyedTable(spark, "vectors_" + base.rsplit("-", 1)[1], base, "vec_id", "version")
+    stored.upsert(e.withColumn("version", F.lit(1)))
+    stored.upsert(e.where(F.col("label") < UPDATED_LABELS).withColumn("label", F.col("label") + 100).withColumn("version", F.lit(2)))
+    return stored.rows().select("vec_id", "label")
 
 
 # ---------------------------------------------------------------------------------

@@ -599,6 +599,25 @@ def k04(spark, sf):
     return led.join(counts, "filename").select("filename", F.col("version").cast("bigint").alias("version"), "row_count")
 
 
+TOUCHED_ORDERS = 40  # orders whose rows arrive once more
+
+
+@query("k04_upsert_buckets", oracle(
+    f"""SELECT CAST(COUNT(*) AS BIGINT) AS orders, CAST(SUM(CASE WHEN o_orderkey <= {TOUCHED_ORDERS} THEN 2 ELSE 1 END) AS BIGINT) AS versions,
+  CAST(SUM(o_orderkey) AS BIGINT) AS keys, true AS few_rewritten FROM orders"""))
+def k04_buckets(spark, sf):
+    """A table of orders kept by bucket; a few orders come again, and only their buckets are rewritten."""
+    from tidemark.sources.keyed_table import KeyedTable
+
+    o = D(spark, sf).t("orders").select("o_orderkey", "o_totalprice")
+    base = scratch_dir(spark, "keyed")
+    t = KeyedTable(spark, "orders_" + base.rsplit("-", 1)[1], base, "o_orderkey", "version")
+    t.upsert(o.withColumn("version", F.lit(1)))
+    touched = t.upsert(o.where(F.col("o_orderkey") <= TOUCHED_ORDERS).withColumn("version", F.lit(2)))
+    return t.rows().agg(F.count(F.lit(1)).alias("orders"), F.sum("version").alias("versions"), F.sum("o_orderkey").alias("keys"),
+                        F.lit(len(touched) <= TOUCHED_ORDERS).alias("few_rewritten"))
+
+
 @query("k06_export_csv", oracle(
     """SELECT CAST(video_id AS VARCHAR) AS video_id, headline, CASE WHEN is_published THEN 'Published' ELSE 'Not Published' END AS status
   FROM clips WHERE lower(headline) LIKE '%red%' AND input_type = '1-URGENT'""", "clips"))
