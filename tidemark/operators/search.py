@@ -511,6 +511,7 @@ SEARCH_TERMS = ["the", "of"]
 
 
 INDEX_BUCKETS = 64
+INDEX_SPREAD = 64  # tasks that may share a bucket
 INDEX_BLOCK_BITS = 16  # documents of one block share all but the last 16 bits of their id
 
 
@@ -537,7 +538,8 @@ def _from_delta_bytes(raw: bytes) -> np.ndarray:
 
 
 def _posting_lists(key: str):
-    """Sorted (token, doc) rows of a task → one delta-coded list a token and block of documents."""
+    """Sorted (token, doc) rows of a task → one delta-coded list a token and block of documents;
+    a repeated row counts once."""
 
     def encode(batches):
         held = None  # the open list may go on in the next batch
@@ -546,6 +548,9 @@ def _posting_lists(key: str):
             tokens, docs = t.column("token").combine_chunks().dictionary_encode(), t.column(key).to_numpy()
             block = docs >> INDEX_BLOCK_BITS
             code = tokens.indices.to_numpy()
+            once = np.concatenate(([True], (code[1:] != code[:-1]) | (docs[1:] != docs[:-1])))
+            if not once.all():
+                t, code, docs, block = t.filter(pa.array(once)), code[once], docs[once], block[once]
             new = np.concatenate(([True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])))
             start = np.flatnonzero(new)
             held = t.slice(int(start[-1]))
@@ -575,11 +580,10 @@ def write_index(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     are the distinct runs [a-z0-9]+ of the whole lower-cased text; rows without id are left out."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), 0))
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.explode(words).alias("token"))
-    rows = rows.select(_bucket(F.col("token"), buckets).alias("bucket"), "token", key, F.shiftright(key, INDEX_BLOCK_BITS).alias("block")).distinct()
-    # Dealt by token and block, so that no token is one task's alone.
-    rows = rows.repartition("bucket", "token", "block").sortWithinPartitions("bucket", "token", key)
-    coded = rows.select("bucket", "token", key).mapInArrow(_posting_lists(key), "bucket int, token string, block long, n int, docs binary")
-    coded.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(path)
+    rows = rows.select(_bucket(F.col("token"), buckets).alias("bucket"), "token", key, F.shiftright(key, INDEX_BLOCK_BITS).alias("block"))
+    # One shuffle, dealt by bucket and block, so that no token is one task's alone.
+    rows = rows.repartition("bucket", F.pmod("block", F.lit(INDEX_SPREAD))).sortWithinPartitions("bucket", "token", key)
+    rows.select("bucket", "token", key).mapInArrow(_posting_lists(key), "bucket int, token string, block long, n int, docs binary").write.partitionBy("bucket").parquet(path)
 
 
 def search_all_terms(spark, path: str, terms: list[str], key: str = "doc_id", buckets: int = INDEX_BUCKETS) -> DataFrame:
