@@ -164,8 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     graded = graded.groupBy("label_id").agg(F.min("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("label_id", F.lit(17)), "label_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    # One row a label: repeated ids would otherwise exceed the bound.
-    rows = rows.join(chosen, "label_id").groupBy("label_id").agg(F.min_by("text", F.length("text")).alias("text"), F.first("grade").alias("grade"))
+    # At most ``sample`` ids are broadcast, so the texts that are not chosen stay where they are. One
+    # row a label: repeated ids would otherwise exceed the bound.
+    rows = rows.join(F.broadcast(chosen), "label_id").groupBy("label_id").agg(F.min_by("text", F.length("text")).alias("text"), F.first("grade").alias("grade"))
     found = rows.select("text", "grade").mapInArrow(_featurise, "x binary, grade int").collect()
     return fit([(np.frombuffer(r.x, np.int32), r.grade) for r in sorted(found, key=lambda r: (r.grade, bytes(r.x)))])
 
