@@ -5,7 +5,7 @@ words at spaces and tabs. A phrase is 2 to ``max_words`` consecutive words of a
 is counted per language.
 
 Pass 1. Texts are dealt into chunks of some megabytes, written once. A chunk counts its
-distinct n-grams (single words included) and sends them, as 32-bit fingerprints with counts, to
+distinct n-grams (single words included) and sends them, as 24-bit fingerprints with counts, to
 the hash partition of each n-gram. A partition merges these summaries in a Misra-Gries summary
 whose capacity exceeds the partition's mass divided by the threshold; so the total that merging
 subtracts from a counter stays below the threshold, and every n-gram that is frequent enough
@@ -50,7 +50,7 @@ PARTITION_MASS = 4_000_000
 HOT = 20_000
 SALTS = 64
 _STEP = U64(0x9E3779B97F4A7C15)
-_LOW = U64(0xFFFFFFFF)
+_LOW = U64((1 << 24) - 1)  # several times the n-grams of a partition
 
 PIECE_END = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 WORD = byte_class(lambda b: b not in (0x20, 0x09)) & ~PIECE_END
