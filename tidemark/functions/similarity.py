@@ -6,14 +6,15 @@ it. It is not symmetric: a is the known value, b the word looked up. Characters
 in very long words are not set aside.
 
 Candidates are found by two upper bounds before the blocks are: the lengths alone give
-2 min / (la + lb), and the characters in common, however ordered, give 2 C / (la + lb).
+2 min / (la + lb), and the characters in common, however ordered, give 2 C / (la + lb). Pairs of
+many strings are made from the counts of character classes that occur (``candidate_pairs``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 1 << 22  # cells of a block search at a time
@@ -27,6 +28,37 @@ def length_window(length: Column, cutoff: float) -> Column:
     return F.sequence(F.greatest(lo, F.lit(1)), F.greatest(hi, F.lit(1)))
 
 
+# Classes of characters that a string is summed up by; all others are one more class.
+CLASSES = ["0123456789", "ae", "io", "u", "t", "n", "s", "r", "hl", "dc", "mg", "pf", "kyz"]
+
+
+def class_counts(c: Column) -> Column:
+    """How many characters of each class a string has: an array, all other characters last."""
+    counts = [F.length(c) - F.length(F.translate(c, x, "")) for x in CLASSES]
+    return F.array(*[n.cast("smallint") for n in counts], F.length(F.translate(c, "".join(CLASSES), "")).cast("smallint"))
+
+
+def common_at_most(a: Column, b: Column) -> Column:
+    """The most characters that strings with these class counts can have in common."""
+    return sum((F.least(a[i], b[i]).cast("int") for i in range(1, len(CLASSES) + 1)), F.least(a[0], b[0]).cast("int"))
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, left: str, right: str, cutoff: float) -> DataFrame:
+    """Rows of ``a`` next to rows of ``b`` whose strings ``left`` and ``right`` (of one character at
+    least) may reach ``cutoff``; no pair that does is left out.
+
+    Strings with the same class counts are alike here, so the counts that occur are compared first
+    (joined on the lengths that the cutoff allows), and only counts that may reach it lead to
+    rows: what is compared grows with the different counts, not with rows times rows."""
+    a = a.withColumn("_ca", class_counts(F.col(left)))
+    b = b.withColumn("_cb", class_counts(F.col(right)))
+    ca = a.groupBy("_ca").agg(F.max(F.length(left)).alias("_la"))
+    cb = b.groupBy("_cb").agg(F.max(F.length(right)).alias("_lb"))
+    near = ca.select("_ca", "_la", F.explode(length_window(F.col("_la"), cutoff)).alias("_lb")).join(cb, "_lb")
+    near = near.where(2 * common_at_most(F.col("_ca"), F.col("_cb")) >= F.lit(cutoff) * (F.col("_la") + F.col("_lb")) - F.lit(1e-9))
+    return a.join(near.select("_ca", "_cb"), "_ca").join(b, "_cb").drop("_ca", "_cb")
+
+
 def _codes(strings: list[str], empty: int) -> tuple[np.ndarray, np.ndarray]:
     """Characters as a padded matrix, and lengths."""
     lens = np.array([len(s) for s in strings], np.int64)

@@ -5,9 +5,10 @@
   size is fixed by the lists below); close matches join on the alias lengths the cutoff allows.
 * Close matches and entity matching compare distinct tokens with distinct aliases or catalogue
   values by the matching-block ratio (``functions/similarity.py``). Candidate pairs are
-  generated EXACTLY by the lengths that the cutoff allows: each token is exploded into them and
-  joined on length — an equi-join, no nested loop, and no pair that could reach the cutoff is
-  skipped; common characters rule out most of the rest before any blocks are searched.
+  generated EXACTLY, by equi-joins and without a nested loop: for the alias lists on the lengths
+  that the cutoff allows, for the catalogue on the counts of character classes that may reach it;
+  no pair that could reach the cutoff is skipped, and common characters rule out most of the rest
+  before any blocks are searched.
 * Cosine top-k: the query vectors (one centroid per label, derived from the whole table) meet
   the stored vectors in blocks of ``QUERY_BLOCK``, each one array value scored where a vector is
   read; the ranking's literal limit prunes every task's rows before the shuffle.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import round_half_up, round_sql, with_scalars
-from tidemark.functions.similarity import block_ratio_sql, block_similarity, length_window
+from tidemark.functions.similarity import block_ratio_sql, block_similarity, candidate_pairs, length_window
 from tidemark.registry import query
 from tidemark.session import scratch_dir
 from tidemark.sources.domain import Domain, oracle
@@ -212,13 +213,13 @@ def question_terms(tokens: DataFrame, added: DataFrame) -> DataFrame:
 def fuzzy_match(tokens: DataFrame, catalogue: DataFrame, low: float = LOW, high: float = HIGH, top: int = TOP_MATCHES) -> DataFrame:
     """Per (token, label) the best ``top`` values with similarity ≥ ``low``; band high/low.
     Values that differ only in case count as one (the greatest); equal similarity: the greater value first."""
-    t = tokens.select("token").distinct()
-    # lengths a catalogue value may have to reach the cutoff with this token (exact bound)
-    t = t.select("token", F.explode(length_window(F.length("token"), low)).alias("vl"))
-    v = catalogue.groupBy("label", F.lower("value").alias("v")).agg(F.max("value").alias("value")).withColumn("vl", F.length("v"))
-    # AQE broadcasts the catalogue (dimension members, one row each) when it measures it small;
-    # a larger one is shuffled on length and skewed length buckets are split.
-    pairs = t.join(v, "vl").withColumn("s", block_similarity(F.col("v"), F.col("token"), low)).where(F.col("s") >= low)
+    # Each is read for its character classes and again for its rows, so neither is made twice.
+    t = tokens.select("token").distinct().checkpoint()
+    v = catalogue.groupBy("label", F.lower("value").alias("v")).agg(F.max("value").alias("value")).checkpoint()
+    # AQE broadcasts a side when it measures it small; a larger one is shuffled on its character
+    # classes and skewed ones are split.
+    pairs = candidate_pairs(t, v, "token", "v", low)
+    pairs = pairs.withColumn("s", block_similarity(F.col("v"), F.col("token"), low)).where(F.col("s") >= low)
     from tidemark.operators.windows import top_n_per_group
 
     # two-stage (salted by value) so a token with many candidates is not ranked in one task
