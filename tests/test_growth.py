@@ -30,3 +30,21 @@ def test_no_pair_that_reaches_the_cutoff_is_left_out(spark):
         got = {(r["token"], r["v"]) for r in candidate_pairs(a, b, "token", "v", cutoff).collect()}
         want = {(w, v) for w in words for v in values if v and block_ratio([v], [w])[0] >= cutoff}
         assert want <= got
+
+
+def test_details_by_upload_are_grouped_without_a_shuffle_of_their_own(spark):
+    """The join with the uploads comes last, by the column that marts group by."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from tidemark.plans.marts import marts_for
+
+        plan = marts_for(Domain(spark, SF_SMALL), "channels")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(channel_name" in plan  # the marts' own
+        assert not [line for line in plan.splitlines() if "hashpartitioning(channel_name" in line and "upload_id" in line]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_foreign_keys_are_counted_a_key_at_a_time(spark):
+    plan = quality._ref_frame(Domain(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
