@@ -48,3 +48,10 @@ def test_details_by_upload_are_grouped_without_a_shuffle_of_their_own(spark):
 def test_foreign_keys_are_counted_a_key_at_a_time(spark):
     plan = quality._ref_frame(Domain(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_pair_marts_group_by_the_pair_only(spark):
+    from tidemark.operators.aggregates import cross_marts
+
+    plan = cross_marts(Domain(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "keys=[pair" in plan

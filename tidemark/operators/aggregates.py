@@ -62,30 +62,17 @@ def group_two_dims(df: DataFrame, d1: str, d2: str) -> DataFrame:
 
 
 def cross_marts(dom: Domain, pairs=CROSS_PAIRS) -> DataFrame:
-    """Every pair in one GROUPING SETS pass; long output ``pair, d1, d2, …``."""
+    """Every pair in one aggregation; long output ``pair, d1, d2, …``. A row counts once for each
+    pair whose two values it has; a group holds its pair's two values and two counts, nothing else."""
     x = detail_for_cross(dom)
-    dims = CROSS_DIMS
-    g = x.groupingSets([[F.col(a), F.col(b)] for a, b in pairs], *[F.col(d) for d in dims]).agg(
+    both = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).alias("d1"), F.col(b).alias("d2")) for i, (a, b) in enumerate(pairs)])
+    rows = x.select("is_published", F.inline(both)).where(F.col("d1").isNotNull() & F.col("d2").isNotNull())
+    g = rows.groupBy("pair", "d1", "d2").agg(
         F.count(F.lit(1)).alias("created_count"),
         F.count_if("is_published").alias("published_count"),
-        F.grouping_id().alias("gid"),
     )
-    n = len(dims)
-
-    def gid_of(a, b):
-        return sum(1 << (n - 1 - i) for i, d in enumerate(dims) if d not in (a, b))
-
-    pair = None
-    d1 = None
-    d2 = None
-    for a, b in pairs:
-        cond = F.col("gid") == gid_of(a, b)
-        name = f"{a}|{b}"
-        pair = F.when(cond, F.lit(name)) if pair is None else pair.when(cond, F.lit(name))
-        d1 = F.when(cond, F.col(a)) if d1 is None else d1.when(cond, F.col(a))
-        d2 = F.when(cond, F.col(b)) if d2 is None else d2.when(cond, F.col(b))
-    out = g.select(pair.alias("pair"), d1.alias("d1"), d2.alias("d2"), "created_count", "published_count")
-    return _pair_stats(out.where(F.col("d1").isNotNull() & F.col("d2").isNotNull()))
+    names = F.array(*[F.lit(f"{a}|{b}") for a, b in pairs])
+    return _pair_stats(g.withColumn("pair", F.element_at(names, F.col("pair") + 1)))
 
 
 _DETAIL_SQL = """SELECT user_name, input_type, platform, is_published,
