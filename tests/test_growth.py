@@ -45,6 +45,54 @@ def test_details_by_upload_are_grouped_without_a_shuffle_of_their_own(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
 
 
+def test_exports_join_the_details_once(spark, monkeypatch):
+    made = []
+    for kind in ("clips", "uploads"):
+        real = getattr(Domain, kind)
+        monkeypatch.setattr(Domain, kind, lambda self, *c, _real=real, _kind=kind: made.append(_kind) or _real(self, *c))
+    base = exports.write_exports(spark, SF_SMALL)
+    assert sorted(made) == ["clips", "uploads"]
+    assert sorted(os.listdir(base)) == sorted(exports.ALL_EXPORTS)
+    assert all(f.endswith(".csv.gz") for f in os.listdir(os.path.join(base, "video_list.csv")) if f.startswith("part-"))
+    listed = {r["filename"] for r in exports.list_files(spark, base).collect()}
+    assert listed == set(exports.ALL_EXPORTS)
+    assert {r["filename"] for r in exports.line_counts(spark, base).collect()} == set(exports.ALL_EXPORTS)
+
+
+def test_four_formats_are_made_from_one_frame(spark, monkeypatch):
+    made = []
+    real = Domain.clips
+    monkeypatch.setattr(Domain, "clips", lambda self, *c: made.append(c) or real(self, *c))
+    reads = []
+    read = type(spark.read).parquet
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *p, **k: reads.append(p) or read(self, *p, **k))
+    assert len(Q["s02_separators_told"](spark, SF_SMALL).collect()) == 4
+    assert len(made) == 1 and any(p[0].endswith("rows") for p in reads)
+
+
+def test_separator_is_told_in_one_pass(spark, tmp_path):
+    """Heads come from the first lines of the file that starts first; the others only vote."""
+    (tmp_path / "a.csv").write_text('k;v\n1;2\n"x;y,";3\n')
+    (tmp_path / "b.csv").write_text("k;v\n" + "".join(f"{i},5;{i}\n" for i in range(9)))
+    assert exports.sniff_separator(spark, str(tmp_path)) == ";"
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "c.csv").write_text("")
+    assert exports.sniff_separator(spark, str(tmp_path / "empty")) == ","
+
+
+def test_known_ids_are_left_out_before_rows_are_sorted(spark, tmp_path):
+    from tidemark.plans.ingest import incremental_ingest
+
+    head = "Headline,Source,Published,Team Name,Type,Uploaded By,Video ID,Published Platform,Published URL\n"
+    row = "{h},s,Yes,t,i,u,{v},p,l\n".format
+    for name, rows in (("a", [("b", 1), ("a", 1), ("c", 2), ("z", "")]), ("b", [("0", 1), ("y", 3), ("x", 3), ("w", "n4")])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(head + "".join(row(h=h, v=v) for h, v in rows))
+    table = str(tmp_path / "table")
+    assert [incremental_ingest(spark, str(tmp_path / n), table) for n in ("a", "b", "b")] == [2, 1, 0]
+    assert sorted(map(tuple, spark.read.parquet(table).select("video_id", "headline").collect())) == [(1, "a"), (2, "c"), (3, "x")]
+
+
 def test_foreign_keys_are_counted_a_key_at_a_time(spark):
     plan = quality._ref_frame(Domain(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan

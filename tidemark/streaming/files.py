@@ -33,8 +33,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark.registry import query
 from tidemark.session import delete_path, list_dir, path_exists, scratch_dir
 from tidemark.sources.changed_files import changed_files
-from tidemark.sources.domain import Domain, oracle
-from tidemark.sources.exports import clean_aggregate, export_frame, write_exports
+from tidemark.sources.domain import Domain, StoredDomain, oracle
+from tidemark.sources.exports import EXPORT_CLIPS, clean_aggregate, export_frame, write_csv, write_exports
 
 DEBOUNCE_SECONDS = 3
 ROLLUP_WINDOW = "1 day"
@@ -219,13 +219,13 @@ def st03(spark, sf):
 @query("st04_stream_new_ids_only", oracle(
     f"SELECT DISTINCT CAST(video_id AS BIGINT) AS video_id FROM detail_export WHERE video_id IS NOT NULL", "detail_export"))
 def st04(spark, sf):
-    dom = D(spark, sf)
+    dom = StoredDomain(spark, sf, [*EXPORT_CLIPS, "created_ts"], [])
     src, table, ck = scratch_dir(spark, "st04_src"), scratch_dir(spark, "st04_table"), scratch_dir(spark, "st04_ck")
     full = export_frame(dom, "video_list.csv")
     # Two arrivals: rows of clips created before 1999, then everything (overlapping ids).
     early = dom.clips("video_id", "created_ts").where(F.col("created_ts") < F.lit("1999-01-01").cast("timestamp")).select(
         F.col("video_id").cast("string").alias("Video ID")).distinct()
-    full.join(early, "Video ID", "left_semi").select(*full.columns).write.option("header", True).csv(os.path.join(src, "a"))
+    write_csv(full.join(early, "Video ID", "left_semi").select(*full.columns), os.path.join(src, "a"))
 
     def sink(batch: DataFrame, batch_id: int):
         append_new_ids(batch, table, "video_id", spark)
@@ -235,7 +235,7 @@ def st04(spark, sf):
         return new_ids(s.select(F.col("Video ID").cast("bigint").alias("video_id")), "video_id")
 
     run_once(ids().writeStream.foreachBatch(sink).option("checkpointLocation", ck))
-    full.write.option("header", True).csv(os.path.join(src, "b"))
+    write_csv(full, os.path.join(src, "b"))
     run_once(ids().writeStream.foreachBatch(sink).option("checkpointLocation", ck))
     return spark.read.parquet(table)
 
