@@ -9,7 +9,7 @@ from conftest import SF_SMALL
 from tidemark.functions.similarity import block_ratio, candidate_pairs
 from tidemark.operators import quality
 from tidemark.sources import exports
-from tidemark.sources.domain import Domain
+from tidemark.sources.domain import Domain, StoredDomain
 
 Q = E.queries()
 
@@ -51,7 +51,8 @@ def test_exports_join_the_details_once(spark, monkeypatch):
         real = getattr(Domain, kind)
         monkeypatch.setattr(Domain, kind, lambda self, *c, _real=real, _kind=kind: made.append(_kind) or _real(self, *c))
     base = exports.write_exports(spark, SF_SMALL)
-    assert sorted(made) == ["clips", "uploads"]
+    # channels, output types, channels and users, details, publishing (two exports); users, languages, the rest (three)
+    assert sorted(made) == ["clips"] * 5 + ["uploads"] * 3
     assert sorted(os.listdir(base)) == sorted(exports.ALL_EXPORTS)
     assert all(f.endswith(".csv.gz") for f in os.listdir(os.path.join(base, "video_list.csv")) if f.startswith("part-"))
     listed = {r["filename"] for r in exports.list_files(spark, base).collect()}
@@ -103,3 +104,18 @@ def test_pair_marts_group_by_the_pair_only(spark):
 
     plan = cross_marts(Domain(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan and "keys=[pair" in plan
+
+
+def test_stored_rows_have_the_joins_of_their_request(spark, tmp_path):
+    """A customer without nation counts as a user, a part that comes twice repeats its own columns only."""
+    for t in ("lineitem", "orders", "supplier", "nation", "region"):
+        os.symlink(f"{SF_SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    c = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    c.withColumn("c_nationkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey"))).write.parquet(str(tmp_path / "customer.parquet"))
+    p = spark.read.parquet(f"{SF_SMALL}/part.parquet")
+    p.unionByName(p).write.parquet(str(tmp_path / "part.parquet"))
+    plain, kept = Domain(spark, str(tmp_path)), StoredDomain(spark, str(tmp_path), exports.SHARED_CLIPS, exports.SHARED_UPLOADS, same_joins=True)
+    for cols in (["channel_name", "upload_id"], ["channel_name", "platform"], ["user_name"], ["language"]):
+        assert kept.clips(*cols).count() == plain.clips(*cols).count()
+    for cols in (["user_name"], ["language"], ["month", "created_count"]):
+        assert kept.uploads(*cols).count() == plain.uploads(*cols).count()

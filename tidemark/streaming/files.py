@@ -33,8 +33,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tidemark.registry import query
 from tidemark.session import delete_path, list_dir, path_exists, scratch_dir
 from tidemark.sources.changed_files import changed_files
-from tidemark.sources.domain import Domain, StoredDomain, oracle
-from tidemark.sources.exports import EXPORT_CLIPS, clean_aggregate, export_frame, write_csv, write_exports
+from tidemark.sources.domain import Domain, oracle
+from tidemark.sources.exports import clean_aggregate, export_frame, write_csv, write_exports
 
 DEBOUNCE_SECONDS = 3
 ROLLUP_WINDOW = "1 day"
@@ -219,9 +219,11 @@ def st03(spark, sf):
 @query("st04_stream_new_ids_only", oracle(
     f"SELECT DISTINCT CAST(video_id AS BIGINT) AS video_id FROM detail_export WHERE video_id IS NOT NULL", "detail_export"))
 def st04(spark, sf):
-    dom = StoredDomain(spark, sf, [*EXPORT_CLIPS, "created_ts"], [])
+    dom = D(spark, sf)
     src, table, ck = scratch_dir(spark, "st04_src"), scratch_dir(spark, "st04_table"), scratch_dir(spark, "st04_ck")
-    full = export_frame(dom, "video_list.csv")
+    rows = scratch_dir(spark, "st04_rows")
+    export_frame(dom, "video_list.csv").write.option("compression", "zstd").parquet(rows)
+    full = spark.read.parquet(rows)  # joined once for both arrivals
     # Two arrivals: rows of clips created before 1999, then everything (overlapping ids).
     early = dom.clips("video_id", "created_ts").where(F.col("created_ts") < F.lit("1999-01-01").cast("timestamp")).select(
         F.col("video_id").cast("string").alias("Video ID")).distinct()
