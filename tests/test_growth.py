@@ -119,3 +119,84 @@ def test_stored_rows_have_the_joins_of_their_request(spark, tmp_path):
         assert kept.clips(*cols).count() == plain.clips(*cols).count()
     for cols in (["user_name"], ["language"], ["month", "created_count"]):
         assert kept.uploads(*cols).count() == plain.uploads(*cols).count()
+
+
+def odd_tables(spark, folder):
+    """Parts that come twice or are missing, orders, suppliers and customers too; keys that are null."""
+    for t in ("nation", "region"):
+        os.symlink(f"{SF_SMALL}/{t}.parquet", folder / f"{t}.parquet")
+    for t, key in (("part", "p_partkey"), ("orders", "o_orderkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        rows = spark.read.parquet(f"{SF_SMALL}/{t}.parquet").withColumn("k", F.col(key))
+        some = rows.where("k % 5 > 0").withColumn(key, F.when(F.col("k") % 7 > 0, F.col("k")))
+        some.unionByName(some.where("k % 3 = 0")).drop("k").write.parquet(str(folder / f"{t}.parquet"))
+    rows = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    for key in ("l_partkey", "l_orderkey", "l_suppkey", "l_returnflag", "l_quantity"):
+        rows = rows.withColumn(key, F.when(F.xxhash64(F.lit(key), *rows.columns) % 11 != 0, F.col(key)))
+    rows.write.parquet(str(folder / "lineitem.parquet"))
+    return str(folder)
+
+
+def test_details_laid_out_by_upload_are_those_of_each_request(spark, tmp_path):
+    from tidemark.sources.domain import LaidOutDomain
+
+    sf = odd_tables(spark, tmp_path)
+    plain, laid = Domain(spark, sf), LaidOutDomain(spark, sf, exports.SHARED_CLIPS, exports.SHARED_UPLOADS, same_joins=True)
+    for cols in (["upload_id", "line_no", "created_secs"], ["channel_name", "upload_id"], ["output_type", "upload_secs"], ["channel_name", "user_name", "is_published"],
+                 ["headline", "platform", "video_id", "published_url", "published_secs"], ["headline", "channel_name", "team_name", "input_type"], ["created_ts", "language"]):
+        assert sorted(map(str, laid.clips(*cols).collect())) == sorted(map(str, plain.clips(*cols).collect()))
+    for cols in (["user_name", "upload_secs", "created_count"], ["language", "published_secs"], ["month", "created_secs", "published_count"]):
+        assert sorted(map(str, laid.uploads(*cols).collect())) == sorted(map(str, plain.uploads(*cols).collect()))
+    for n in exports.ALL_EXPORTS:
+        assert sorted(map(str, exports.export_frame(laid, n).collect())) == sorted(map(str, exports.export_frame(plain, n).collect())), n
+
+
+def test_exports_shuffle_details_once(spark, tmp_path):
+    """Steps on laid out details: no shuffle by upload, nor by supplier for the supplier's name."""
+    from tidemark.plans.marts import marts_for
+    from tidemark.sources.domain import LaidOutDomain
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+    try:
+        laid = LaidOutDomain(spark, SF_SMALL, exports.SHARED_CLIPS, exports.SHARED_UPLOADS, same_joins=True)
+        for m in ("users", "channels", "output_types", "channel_user"):
+            plan = marts_for(laid, m)._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(l_suppkey" not in plan
+            assert plan.count("hashpartitioning(upload_id") <= (m in ("channels", "output_types"))  # of orders, where they are not stored
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_supplier_names_do_not_shuffle_details(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(20_000))
+    try:
+        plan = Domain(spark, SF_SMALL).clips("channel_name", "is_published")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_paths_are_decoded_once_a_file(spark, tmp_path):
+    (tmp_path / "a b.csv").mkdir()
+    (tmp_path / "a b.csv" / "part-0.csv").write_text("h\n1\n2\n")
+    names = spark.createDataFrame([("a b.csv",)], "filename string")
+    counts = names.join(exports.line_counts(spark, str(tmp_path)), "filename")
+    assert [tuple(r) for r in counts.collect()] == [("a b.csv", 2)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "url_decode" in line.lower()]
+
+
+def test_first_rows_are_carried_once(spark):
+    from tidemark.operators.windows import top1_per_group
+
+    d = spark.createDataFrame([(1, "b", None, 5), (1, "a", "y", 3), (1, "a", None, 4), (2, None, "z", 1)], "k int, a string, b string, n int")
+    best = top1_per_group(d, ["k"], [("a", False), ("b", False)])
+    assert sorted(map(tuple, best.collect())) == [(1, "a", None, 4), (2, None, "z", 1)]
+    assert sorted(map(tuple, top1_per_group(d.drop("n"), ["k"], [("a", False), ("b", False)]).collect())) == [(1, "a", None), (2, None, "z")]
+    assert "_row" not in top1_per_group(d.drop("n"), ["k"], [("a", False), ("b", False)])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_durations_as_text(spark):
+    from tidemark.operators.filters import hms_text
+
+    d = spark.createDataFrame([(0,), (59,), (3600,), (360_000_061,), (-1,), (None,)], "s long").select(hms_text("s").alias("t"))
+    assert [r["t"] for r in d.collect()] == ["0:00:00", "0:00:59", "1:00:00", "100000:01:01", "-1:59:59", "null:null:null"]

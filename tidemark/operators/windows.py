@@ -44,16 +44,19 @@ def top_n_per_group(df: DataFrame, group: list[str], order: list, n: int = 1, sa
 def top1_per_group(df: DataFrame, group: list[str], order: list[tuple[str, bool]]) -> DataFrame:
     """W01 as an aggregate: the first row per group by ``order`` = [(column, descending)], ties
     broken by the rest of the row. ``min(struct(keys…, row))`` is a partial + final aggregate,
-    so a group holding a third of the rows is reduced map-side, never ranked in one task.
+    so a group holding a third of the rows is reduced map-side, never ranked in one task. An
+    ascending key is its own column, so the row holds the other columns only.
     Descending keys must be numeric and non-null (they are negated)."""
     keys = []
     for i, (c, desc) in enumerate(order):
         if desc and dict(df.dtypes)[c] not in ("bigint", "int", "double", "float", "smallint", "tinyint"):
             raise ValueError(f"descending key {c} must be numeric")
         keys.append((-F.col(c) if desc else F.col(c)).alias(f"_k{i}"))
-    rest = [c for c in df.columns if c not in group]
-    best = df.groupBy(*group).agg(F.min(F.struct(*keys, F.struct(*[F.col(c) for c in rest]).alias("_row"))).alias("_b"))
-    return best.select(*[F.col(c) if c in group else F.col(f"_b._row.{c}").alias(c) for c in df.columns])
+    at = {c: f"_b._k{i}" for i, (c, desc) in reversed(list(enumerate(order))) if not desc}
+    rest = [c for c in df.columns if c not in group and c not in at]
+    row = [F.struct(*[F.col(c) for c in rest]).alias("_row")] if rest else []
+    best = df.groupBy(*group).agg(F.min(F.struct(*keys, *row)).alias("_b"))
+    return best.select(*[F.col(c) if c in group else F.col(at.get(c, f"_b._row.{c}")).alias(c) for c in df.columns])
 
 
 @query("w01_top1_per_group", oracle(
