@@ -6,7 +6,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import collocations, language_id, source_audit
@@ -74,6 +77,25 @@ def test_collocations_match_counting(spark, bounds):
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, 4, 40)
 
 
+def test_counted_phrases_are_sent_packed():
+    """A row for each hash partition and language, of phrases in order; it was a row a phrase."""
+    rows = [("en", b"a b c a b. C a b"), ("fr", b"a b a b")]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1].decode() for r in rows])], names=["lang", "text"])
+    row = next(collocations._chunks(1000)(iter([batch]))).to_pylist()[0]
+    c = collocations._open(row, 2, 3)
+    bits = [np.packbits(np.ones(c.edges[p + 1] - c.edges[p], bool)).tobytes() for p in range(2)]
+    row["answers"] = [{"part": p, "bits": zstandard.compress(b)} for p, b in enumerate(bits)]
+    sent = pa.Table.from_batches(collocations._count(2, 3)(iter([pa.RecordBatch.from_pylist([row])] * 2)))
+    assert sent.num_rows <= 2 * 2 * 2  # chunks, partitions, languages
+    got = {}
+    for part, lang in {(r["part"], r["lang"]) for r in sent.to_pylist()}:
+        own = sent.filter((pc.field("part") == part) & (pc.field("lang") == lang))
+        for r in collocations._sum(4)((pa.scalar(part), pa.scalar(lang)), own).to_pylist():
+            assert (r["lang"], r["phrase"]) not in got and r["k"] == len(r["phrase"].split())
+            got[r["lang"], r["phrase"]] = r["a"]
+    assert got == {("en", "a"): 6, ("en", "b"): 6, ("en", "c"): 4, ("en", "a b"): 6, ("en", "c a"): 4, ("en", "c a b"): 4, ("fr", "a"): 4, ("fr", "b"): 4, ("fr", "a b"): 4}
+
+
 def test_collocations_edges(spark):
     rows = EDGES
     got = collocations.collocations(frame(spark, rows), chunk_bytes=100_000).collect()

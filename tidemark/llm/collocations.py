@@ -12,8 +12,9 @@ subtracts from a counter stays below the threshold, and every n-gram that is fre
 survives. (Fingerprints that coincide only add survivors.) Each chunk gets back one bit for
 each n-gram it sent.
 
-Pass 2. The chunks count their survivors by their words, and Spark adds these up: exact numbers,
-of which those below the threshold are dropped. Parts of a frequent phrase are frequent
+Pass 2. The chunks count their survivors by their words and send them, sorted and packed, to their
+hash partition again, which adds them up: exact numbers, of which those below the threshold are
+dropped. Parts of a frequent phrase are frequent
 themselves, so all counts that a score needs are there.
 
 Bounds: a chunk holds about ``chunk_bytes`` of text, a partition about ``partition_mass``
@@ -257,36 +258,63 @@ def _answer(least: int):
 
 
 def _count(partitions: int, max_words: int):
-    """The survivors of each chunk by their words, with their occurrences there."""
+    """The survivors of each chunk by their words, with their occurrences there: packed, sorted,
+    for each hash partition and language."""
 
     def count(batches):
+        press = zstandard.ZstdCompressor()
         for b in small(batches, 1):
             row = b.to_pylist()[0]
             c = _open(row, partitions, max_words)
-            picked = [np.zeros(0, np.int64)]
+            picked, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a in row["answers"]:
                 lo, hi = c.edges[a["part"]], c.edges[a["part"] + 1]
                 hit = np.unpackbits(np.frombuffer(zstandard.decompress(a["bits"]), np.uint8))[: hi - lo].astype(bool)
                 picked.append(c.order[lo:hi][hit])
-            picked = np.sort(np.concatenate(picked))
-            raw, langs = c.buf.tobytes(), pa.array(c.langs, pa.string())
+                parts.append(np.full(len(picked[-1]), a["part"]))
+            picked, parts = np.concatenate(picked), np.concatenate(parts)
+            raw = c.buf.tobytes()
             words = pa.array([raw[s:e] for s, e in zip(c.start[c.first].tolist(), c.end[c.first].tolist(), strict=True)], pa.binary())
-            base = 0
+            base, found = 0, []
             for k, grams in enumerate(c.grams, 1):
-                own = picked[(picked >= base) & (picked < base + len(grams))]
-                ids, n = grams[own - base], c.count[own]
+                own = (picked >= base) & (picked < base + len(grams))
+                ids = grams[picked[own] - base]
                 base += len(grams)
-                for at in range(0, len(own), 1 << 16):
-                    some = ids[at : at + (1 << 16)]
-                    parts = [words.take(pa.array(some[:, i])) for i in range(k)]
-                    phrase = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, b" ")
-                    yield pa.RecordBatch.from_arrays(
-                        [langs.take(pa.array(c.lang[some[:, 0]])), phrase.cast(pa.string()), pa.array([k] * len(some), pa.int32()),
-                         pa.array(n[at : at + (1 << 16)], pa.int64())], names=["lang", "phrase", "k", "a"])
+                one = [words.take(pa.array(ids[:, i])) for i in range(k)]
+                found.append(pa.table({"group": parts[own] * len(c.langs) + c.lang[ids[:, 0]],
+                                       "phrase": one[0] if k == 1 else pc.binary_join_element_wise(*one, b" "), "a": c.count[picked[own]]}))
+            found = pa.concat_tables(found)
+            found = found.take(pc.sort_indices(found, [("group", "ascending"), ("phrase", "ascending")])).combine_chunks()
+            group, n = found.column("group").to_numpy(), found.column("a").to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True]))).tolist() if len(group) else []
+            rows = [(int(group[lo]) // len(c.langs), c.langs[int(group[lo]) % len(c.langs)], hi - lo,
+                     press.compress(_planes(n[lo:hi]) + b"\n".join(found.column("phrase").slice(lo, hi - lo).to_pylist())))
+                    for lo, hi in zip(edges, edges[1:])]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)],
+                                             names=["part", "lang", "n", "grams"])
 
     return count
 
 
+def _sum(least: int):
+    """The phrases of a hash partition and language with at least ``least`` occurrences."""
+
+    def total(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        phrases, counts = [], []
+        for n, blob in zip(t.column("n").to_pylist(), t.column("grams"), strict=True):
+            raw = zstandard.decompress(blob.as_py())
+            counts.append(_from_planes(raw[: 4 * n]).astype(np.int64))
+            phrases.append(pa.array(raw[4 * n :].split(b"\n"), pa.binary()))
+        g = pa.table({"phrase": pa.chunked_array(phrases), "a": np.concatenate(counts)}).group_by("phrase", use_threads=False).aggregate([("a", "sum")])
+        g = g.filter(pc.greater_equal(g.column("a_sum"), least))
+        phrase = g.column("phrase").cast(pa.string())
+        return pa.table({"lang": pa.array([key[1].as_py()] * len(g), pa.string()), "phrase": phrase,
+                         "k": pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32()), "a": g.column("a_sum")})
+
+    return total
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = MIN_COUNT,
                      max_words: int = MAX_WORDS, chunk_bytes: int = CHUNK_BYTES, partition_mass: int = PARTITION_MASS) -> tuple[DataFrame, DataFrame]:
     """(frequent, totals): every phrase of 1 to ``max_words`` words with at least ``least``
@@ -302,8 +330,8 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     answers = sent.groupBy("part").applyInArrow(_answer(least), "chunk long, part long, bits binary").where("bits is not null")
     answers = materialise(answers, "answers").groupBy("chunk").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
     own = chunks.select("chunk", "langs", "ends", "texts").join(answers.hint("shuffle_hash"), "chunk")
-    counted = own.mapInArrow(_count(partitions, max_words), "lang string, phrase string, k int, a long")
-    frequent = counted.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    counted = own.mapInArrow(_count(partitions, max_words), "part long, lang string, n long, grams binary")
+    frequent = counted.groupBy("part", "lang").applyInArrow(_sum(least), "lang string, phrase string, k int, a long")
     return materialise(frequent, "frequent"), totals
 
 
